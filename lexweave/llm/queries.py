@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, quality, sharding, simhash
+from . import decontaminate, exact_dedup, language, quality, sharding, simhash, urls
 from .common import crc_fold
 
 
+#: The rules of the url query.
+URL_RULES = [urls.Rule.parse(x) for x in ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")]
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -26,6 +30,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest_of(decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
@@ -50,6 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language": op2_language,
+    "op3_url_filter": op3_url_filter,
     "op5_decontaminate": op5_decontaminate,
     "op7_simhash": op7_simhash,
     "op9_sharding": op9_sharding,
