@@ -70,3 +70,20 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64 if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, axis=0, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def beside(docs: DataFrame, doc_id: str, text: str, mapped, fields: str, whole: bool) -> DataFrame:
+    """docs through mapInArrow with `fields` beside doc_id, or with `whole` beside the struct `row` of all
+    columns. Column 0 of a batch is what stays, column 1 the text."""
+    if not whole:
+        return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(mapped, f"doc_id long, {fields}")
+    others = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest"), F.col(text).alias("text"))
+    out = others.mapInArrow(mapped, f"rest {others.schema['rest'].dataType.simpleString()}, text string, {fields}")
+    row = F.struct(*[F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]).alias("row")
+    return out.select(row, *[c for c in out.columns if c not in ("rest", "text")])
+
+
+def carried(batch: pa.RecordBatch, whole: bool, made: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    """The batch that a function of beside() gives."""
+    kept, called = ([batch.column(0), batch.column(1)], ["rest", "text"]) if whole else ([batch.column(0)], ["doc_id"])
+    return pa.RecordBatch.from_arrays([*kept, *made], [*called, *names])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import beside, carried, texts_of
 
 #: Word bytes stay, A-Z is lower-cased, all else is a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -107,52 +107,54 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
 
 
 _SPAN = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-_OUT = "doc_id long, n_words long, words array<struct<first:int,last:int>>, spans array<struct<first:int,last:int>>, items array<string>"
+_OUT = "n_words long, words array<struct<first:int,last:int>>, spans array<struct<first:int,last:int>>, items array<string>"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", slice_chars: int = 4_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", slice_chars: int = 4_000_000, whole: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, words (merged ranges of hit words), spans (the same as
     code-point offsets of the original text, end exclusive), items (sorted ids, as strings).
 
     A null text has no words; items without words and null item ids have no windows. Items that share
     a window are all named. Repeated documents are judged one by one, repeated items count once. With
-    an empty benchmark nothing is hit. Other columns are ignored.
+    an empty benchmark nothing is hit. Other columns are ignored; with `whole` each row has the struct
+    `row` of all its columns in doc_id's place, so a filter needs no join.
     """
     rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
     # the benchmark's windows go to every task, in slices of bounded size
     items = [(r["i"], r["t"].encode()) for r in rows.toLocalIterator()]
     slices = _slices(items, window, slice_chars)
     spark = docs.sparkSession
-    flow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    flow = docs
     for k, patterns in enumerate(slices):
-        shared, last = spark.sparkContext.broadcast(patterns), k == len(slices) - 1
+        shared, more = spark.sparkContext.broadcast(patterns), k > 0
 
-        def passed(batches: Iterator[pa.RecordBatch], shared=shared, k=k, last=last) -> Iterator[pa.RecordBatch]:
+        def passed(batches: Iterator[pa.RecordBatch], shared=shared, k=k, more=more, whole=whole or len(slices) > 1) -> Iterator[pa.RecordBatch]:
             patterns = shared.value
             automaton = _automaton((shared._jbroadcast.id() if shared._jbroadcast else id(patterns), k), patterns)
             for batch in batches:
-                raws = texts_of(batch.column(1))
                 n_words, words, spans, items = [], [], [], []
-                before = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)) if batch.num_columns > 2 else None
-                for i, raw in enumerate(raws):
+                before = batch.column(0).to_pylist() if more else None
+                for i, raw in enumerate(texts_of(batch.column(1))):
                     n, hit, names = scan(raw, automaton, patterns)
                     if before:
-                        hit = _merged(hit, [(x["first"], x["last"]) for x in before[i][0]])
-                        names |= set(before[i][1])
+                        hit = _merged(hit, [(x["first"], x["last"]) for x in before[i]["__words"]])
+                        names |= set(before[i]["__items"])
+                    at = word_spans(raw.decode("utf-8", "replace")) if hit else []
                     n_words.append(n)
                     words.append([{"first": a, "last": b} for a, b in hit])
+                    spans.append([{"first": at[a][0], "last": at[b - 1][1]} for a, b in hit])
                     items.append(sorted(names))
-                    if last:
-                        at = word_spans(raw.decode("utf-8", "replace")) if hit else []
-                        spans.append([{"first": at[a][0], "last": at[b - 1][1]} for a, b in hit])
-                cols = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(words, _SPAN), pa.array(spans, _SPAN), pa.array(items, pa.list_(pa.string()))]
-                names = ["doc_id", "n_words", "words", "spans", "items"]
-                if not last:
-                    cols, names = [cols[0], batch.column(1), cols[2], cols[4]], ["doc_id", "text", "words", "items"]
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-        flow = flow.mapInArrow(passed, _OUT if last else "doc_id long, text string, words array<struct<first:int,last:int>>, items array<string>")
-    return flow
+                made = [pa.array(n_words, pa.int64()), pa.array(words, _SPAN), pa.array(spans, _SPAN), pa.array(items, pa.list_(pa.string()))]
+                yield carried(batch, whole, made, ["n_words", "words", "spans", "items"])
+
+        found = beside(flow, doc_id, text, passed, _OUT, whole or len(slices) > 1)
+        if k < len(slices) - 1:  # what is known so far rides along to the next slice
+            known = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+            flow = found.select(*known, F.col("words").alias("__words"), F.col("items").alias("__items"))
+    if len(slices) > 1:
+        own = F.struct(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]).alias("row") if whole else F.col(f"row.`{doc_id}`").cast("long").alias("doc_id")
+        found = found.select(own, "n_words", "words", "spans", "items")
+    return found
 
 
 def digest_of(found: DataFrame) -> DataFrame:

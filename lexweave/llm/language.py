@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import segment_sums, text_buffers, texts_of
+from .common import beside, carried, segment_sums, text_buffers, texts_of
 
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -187,16 +187,17 @@ def _costs(path: tuple[int, ...], table: dict[tuple[int, ...], np.ndarray], symb
     return out
 
 
-_OUT = "doc_id long, lang_pred string, score double, bits_per_byte double"
+_OUT = "lang_pred string, score double, bits_per_byte double"
 
 
-def identify(docs: DataFrame, model: PpmModel, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def identify(docs: DataFrame, model: PpmModel, *, text: str = "text", doc_id: str = "doc_id", whole: bool = False) -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte of every row's whole text.
 
     score is the posterior of the predicted language under equal priors, with the evidence of a text
     spread over at most 64 bytes' worth of code, so that long texts don't all score 1. A text that is
     null or has no letter is `und` with score 0, as is every text if nothing was learned; ties go to
-    the language first in order. Repeated rows get one row each; an empty table gives none.
+    the language first in order. Repeated rows get one row each; an empty table gives none. With `whole` each row is
+    (row: all its columns, lang_pred, score, bits_per_byte), so a filter needs no join.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -216,9 +217,10 @@ def identify(docs: DataFrame, model: PpmModel, *, text: str = "text", doc_id: st
             else:
                 lettered[:], best, score, rate = False, np.zeros(len(sizes), int), np.zeros(len(sizes)), np.zeros(len(sizes))
             pred = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(rate.astype(np.float64))], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+            made = [pa.array(pred, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(rate.astype(np.float64))]
+            yield carried(batch, whole, made, ["lang_pred", "score", "bits_per_byte"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(mapped, _OUT)
+    return beside(docs, doc_id, text, mapped, _OUT, whole)
 
 
 def code_length(text: bytes, table: dict[tuple[int, ...], np.ndarray], symbol: np.ndarray, order: int) -> float:
