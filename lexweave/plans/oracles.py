@@ -63,10 +63,10 @@ _GREEDY = f"""WITH RECURSIVE {WORDS}, {_WP_SINGLE}, {_WP_PAIRS},
                 FROM (SELECT word, st, unnest(range(st, least(length(word), st + (SELECT k FROM longest) - 1) + 1)) AS en
                       FROM (SELECT word, unnest(range(1, length(word) + 1)) AS st FROM words)))
               SEMI JOIN vocab USING (token) GROUP BY word, st),
-    walk(word, at, out) AS (SELECT word, 1::BIGINT, []::VARCHAR[] FROM words
+    walk(word, pos, out) AS (SELECT word, 1::BIGINT, []::VARCHAR[] FROM words
         UNION ALL SELECT k.word, c.en + 1, list_append(k.out, CASE WHEN c.st > 1 THEN '##' ELSE '' END || substr(k.word, c.st, c.en - c.st + 1))
-        FROM walk k JOIN cands c ON c.word = k.word AND c.st = k.at),
-    greedy AS (SELECT w.word, w.n, coalesce(k.out, ['[UNK]']) AS tokens FROM words w LEFT JOIN walk k ON k.word = w.word AND k.at = length(w.word) + 1)"""
+        FROM walk k JOIN cands c ON c.word = k.word AND c.st = k.pos),
+    greedy AS (SELECT w.word, w.n, coalesce(k.out, ['[UNK]']) AS tokens FROM words w LEFT JOIN walk k ON k.word = w.word AND k.pos = length(w.word) + 1)"""
 
 _WP_LOOP = f"""WITH RECURSIVE {WORDS}, start AS (SELECT {_wrapped(_PIECES)} AS s, n FROM words),
     loop(it, l, r, segs) AS (
@@ -74,11 +74,14 @@ _WP_LOOP = f"""WITH RECURSIVE {WORDS}, start AS (SELECT {_wrapped(_PIECES)} AS s
         UNION ALL
         SELECT p.it + 1, b.l, b.r, list_transform(p.segs, lambda x: {{'s': replace(x.s, chr(1) || b.l || chr(2) || chr(1) || b.r || chr(2), chr(1) || b.l || (CASE WHEN b.r LIKE '##%' THEN substr(b.r, 3) ELSE b.r END) || chr(2)), 'n': x.n}})
         FROM loop p, LATERAL (
-            SELECT l, r FROM (
-                SELECT g.l, g.r, g.c, m.cs FROM
-                    (SELECT l, r, sum(n) AS c FROM (SELECT t[i] AS l, t[i + 1] AS r, n FROM (SELECT {_opened('x.s')} AS t, x.n AS n FROM (SELECT unnest(p.segs) AS x)), LATERAL (SELECT unnest(range(1, len(t) + 1)) AS i)) WHERE r IS NOT NULL GROUP BY 1, 2) g,
-                    (SELECT map(list(tok), list(c)) AS cs FROM (SELECT tok, sum(n) AS c FROM (SELECT unnest({_opened('x.s')}) AS tok, x.n AS n FROM (SELECT unnest(p.segs) AS x)) GROUP BY tok)) m)
-            WHERE c >= 2 ORDER BY c::DOUBLE / (cs[l]::DOUBLE * cs[r]::DOUBLE) DESC, l, r LIMIT 1) b WHERE p.it < 10)"""
+            SELECT x.l AS l, x.r AS r FROM (
+                SELECT unnest(ps) AS x, cs FROM (
+                    SELECT list({{'l': l, 'r': r, 'c': c}}) FILTER (WHERE r IS NOT NULL AND c >= 2) AS ps, map(list(l) FILTER (WHERE r IS NULL), list(c) FILTER (WHERE r IS NULL)) AS cs FROM (
+                        SELECT e.l AS l, e.r AS r, sum(n) AS c FROM (
+                            SELECT unnest(list_concat(list_transform(range(1, len(t)), lambda i: {{'l': t[i], 'r': t[i + 1]}}), list_transform(t, lambda y: {{'l': y, 'r': NULL::VARCHAR}}))) AS e, n
+                            FROM (SELECT {_opened('x.s')} AS t, x.n AS n FROM (SELECT unnest(p.segs) AS x)))
+                        GROUP BY 1, 2)))
+            ORDER BY x.c::DOUBLE / (cs[x.l]::DOUBLE * cs[x.r]::DOUBLE) DESC, x.l, x.r LIMIT 1) b WHERE p.it < 10)"""
 
 ORACLES: dict[str, str] = {
     "scan_words": f"WITH {LINES} SELECT word, count(*)::BIGINT AS n FROM (SELECT regexp_split_to_array(value, '\\s+')[1] AS word FROM lines WHERE value <> '' AND value NOT LIKE '#%') GROUP BY word",
