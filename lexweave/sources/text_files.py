@@ -12,7 +12,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, value) of text files split at line feeds only; invalid UTF-8 is an error.
 
     Line numbers need a file whole; for files too large for that use `lines`."""
-    whole = spark.read.format("binaryFile").load(path).select("path", F.validate_utf8(F.decode(F.col("content"), F.lit("utf-8"))).alias("value"))
+    whole = spark.read.format("binaryFile").load(path).select("path", F.validate_utf8(F.col("content").cast("string")).alias("value"))
     cut = F.split("value", "\n")
     return whole.select("path", F.posexplode(cut).alias("line_no", "value"))
 
