@@ -24,7 +24,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space the longest stays."""
+    """Of texts that are equal but for white space the longest stays. Rows without a doc_id go: nothing
+    later could name them."""
     return docs.join(exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
 
 

@@ -221,16 +221,3 @@ def identify(docs: DataFrame, model: PpmModel, *, text: str = "text", doc_id: st
             yield carried(batch, whole, made, ["lang_pred", "score", "bits_per_byte"])
 
     return beside(docs, doc_id, text, mapped, _OUT, whole)
-
-
-def code_length(text: bytes, table: dict[tuple[int, ...], np.ndarray], symbol: np.ndarray, order: int) -> float:
-    """Bits of one text, coded byte by byte with explicit escapes; for tests."""
-    start = int(symbol.max()) + 1 if len(symbol) else 1
-    history, total = [start] * order, 0.0
-    for byte in text:
-        s, path = int(symbol[byte]), tuple(reversed(history))
-        while path and path not in table:
-            path = path[:-1]
-        total += _costs(path, table, start)[s]
-        history = [*history[1:], s] if order else []
-    return total

@@ -107,8 +107,9 @@ class Machine:
 
 
 def fit(idx: np.ndarray, weight: np.ndarray, at: np.ndarray, stats: np.ndarray, label: np.ndarray, *, buckets: int, rank: int = 6, epochs: int = 12, rate: float = 0.02, decay: float = 1e-4, batch: int = 128, seed: int = 1) -> Machine:
-    """Logistic loss, Adam steps over mini-batches; the same rows in the same order give the same
-    machine."""
+    """Logistic loss, Adam steps over mini-batches of `batch` rows (a fortieth of fewer than 40 times as
+    many); the same rows in the same order give the same machine."""
+    batch = max(8, min(batch, len(label) // 40))
     rng = np.random.default_rng(seed)
     width = buckets + stats.shape[1]
     mean, scale = (stats.mean(0), stats.std(0) + 1e-6) if len(stats) else (np.zeros(stats.shape[1]), np.ones(stats.shape[1]))
