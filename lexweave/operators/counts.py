@@ -38,17 +38,51 @@ def coverage_cut(chars: DataFrame, coverage: float) -> DataFrame:
     return ranked.where(F.col("before") < F.floor(F.col("total") * F.lit(float(coverage)))).select("ch", "c")
 
 
-def substring_counts(texts: DataFrame, column: str, longest: int = 16, chunk: int = 256) -> DataFrame:
-    """(token, c) of all substrings up to `longest` code points, over (column, n).
-
-    Texts are cut into overlapping pieces first (a code-point offset costs as much as it is large).
-    Windows of full length are counted before they are opened into their prefixes, so what is shuffled
-    is distinct windows, not substrings."""
+def overlapping_pieces(texts: DataFrame, column: str, longest: int = 16, chunk: int = 256) -> DataFrame:
+    """(piece, starts, n): texts cut so that each substring starts in the first `starts` places of one
+    piece. A code-point offset costs as much as it is large, so pieces are short."""
     size = F.length(column)
-    pieces = texts.select(F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk))).alias("k"), column, "n").select(F.substring(F.col(column), (F.col("k") * chunk + 1).cast("int"), F.lit(chunk + longest - 1)).alias("piece"), "n", F.least(F.lit(chunk), size - F.col("k") * chunk).cast("int").alias("starts"))
-    windows = pieces.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("starts")), lambda i: F.substring(F.col("piece"), i, F.lit(longest)))).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
-    opened = windows.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(F.col("w"), F.lit(1), i))).alias("token"), "n")
-    return opened.groupBy("token").agg(F.sum("n").alias("c"))
+    cut = texts.select(F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk))).alias("k"), column, "n")
+    return cut.select(F.substring(F.col(column), (F.col("k") * chunk + 1).cast("int"), F.lit(chunk + longest - 1)).alias("piece"), F.least(F.lit(chunk), size - F.col("k") * chunk).cast("int").alias("starts"), "n")
+
+
+def substrings_of_length(pieces: DataFrame, length: int) -> DataFrame:
+    """(token, n) of every place that has so many characters left."""
+    last = F.least(F.col("starts"), F.length("piece") - (length - 1))
+    places = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col("piece"), i, F.lit(length)))
+    return pieces.where(last >= 1).select(F.explode(places).alias("token"), "n")
+
+
+def top_substrings(texts: DataFrame, column: str, k: int, longest: int = 16) -> list[tuple[str, int]]:
+    """The k most frequent substrings of 2 to `longest` code points, over (column, n); ties in byte order.
+
+    Level by level: a substring is never more frequent than what is left without its first or last
+    character, so each level counts only places whose two shorter parts still reach the k-th best count
+    so far. That is about k parts, sent to the tasks; only sums of those are shuffled."""
+    from ..plans.tables import written
+
+    if k <= 0:
+        return []
+    spark, best, least = texts.sparkSession, [], 1
+    pieces = written(overlapping_pieces(texts, column, longest))
+    alive: DataFrame | None = None
+    for length in range(2, longest + 1):
+        found = substrings_of_length(pieces, length)
+        if alive is not None:
+            front, back = F.substring(F.col("token"), 1, length - 1), F.substring(F.col("token"), 2, length - 1)
+            found = found.join(F.broadcast(alive), front == F.col("part"), "left_semi").join(F.broadcast(alive), back == F.col("part"), "left_semi")
+        sums = found.groupBy("token").agg(F.sum("n").alias("c")).where(F.col("c") >= least)
+        level = [(r["token"], r["c"]) for r in sums.orderBy(F.desc("c"), "token").limit(2 * k + 1).collect()]
+        best = sorted([*best, *level], key=lambda x: (-x[1], x[0].encode()))[:k]
+        if len(best) == k:
+            least = best[-1][1]
+        parts = [t for t, c in level if c >= least]
+        if not parts:
+            break
+        # with more ties than were fetched nothing is ruled out for the next level
+        whole = len(level) <= 2 * k or level[-1][1] < least
+        alive = spark.createDataFrame([(t,) for t in parts], "part string") if whole else None
+    return best
 
 
 def corpus_stats(rows: DataFrame, column: str) -> DataFrame:

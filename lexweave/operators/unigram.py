@@ -81,9 +81,8 @@ def seed(marked: DataFrame, most: int) -> Model:
     """All characters in byte order, then the most frequent longer substrings up to `most` pieces in
     all, all equally likely. marked: (s, n)."""
     chars = sorted(r["ch"] for r in counts.character_counts(marked, "s").select("ch").collect())  # an alphabet
-    extra = counts.substring_counts(marked, "s", LONGEST).where(F.length("token") > 1)
-    top = extra.orderBy(F.desc("c"), "token").limit(max(0, most - len(chars))).collect()
-    return Model.uniform([*chars, *(r["token"] for r in top)])
+    top = counts.top_substrings(marked, "s", max(0, most - len(chars)), LONGEST)
+    return Model.uniform([*chars, *(t for t, _ in top)])
 
 
 def expected(marked: DataFrame, model: Model) -> DataFrame:

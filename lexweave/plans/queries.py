@@ -127,8 +127,7 @@ def packed_pairs(spark, sf_dir):
 
 def seed_substrings(spark, sf_dir):
     """The 300 most frequent substrings of two to sixteen characters of marked sentences."""
-    found = counts.substring_counts(_marked(spark, sf_dir), "s").where(F.length("token") > 1)
-    return found.orderBy(F.desc("c"), "token").limit(300)
+    return spark.createDataFrame(counts.top_substrings(_marked(spark, sf_dir), "s", 300), "token string, c long")
 
 
 def bpe_train(spark, sf_dir):
