@@ -117,35 +117,36 @@ def _unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc ids, text hashes, bytes, offsets) of about `limit` bytes of text at a time, by doc id."""
-    ids, keys, texts, held = [], [], [], 0
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(doc ids, text hashes, first window, bytes, offsets) of about `limit` bytes of text at a time, by
+    doc id. A longer text comes in several parts, which overlap so that each window is in one of them."""
+    held, size = [], 0
 
-    def block():
-        order = np.argsort(np.array(ids, np.int64), kind="stable")
-        body = [texts[k] for k in order.tolist()]
-        return np.array(ids, np.int64)[order], np.array(keys, np.int64)[order], np.frombuffer(b"".join(body), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in body])]).astype(np.int64)
+    def block(held: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, ...]:
+        held.sort(key=lambda x: (x[0], x[2]))
+        ids, keys, bases = (np.array([h[k] for h in held], np.int64) for k in range(3))
+        return ids, keys, bases, np.frombuffer(b"".join(h[3] for h in held), np.uint8), np.concatenate([[0], np.cumsum([len(h[3]) for h in held])]).astype(np.int64)
 
     for batch in batches:
         for i, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
-            if len(t) >= WIDTH:
-                ids.append(i)
-                keys.append(k)
-                texts.append(t)
-                held += len(t)
-                if held >= limit:
-                    yield block()
-                    ids, keys, texts, held = [], [], [], 0
-    if ids:
-        yield block()
+            for at in range(0, len(t) - width + 1, limit):
+                part = t[at : at + limit + width - 1]
+                held.append((i, k, at, part))
+                size += len(part)
+                if size >= limit:
+                    yield block(held)
+                    held, size = [], 0
+    if held:
+        yield block(held)
 
 
 def _deal(parts: int, width: int, limit: int):
     """Runs of each block to their buckets, and the block's own repeats to their documents."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, keys, raw, offsets in _blocks(batches, limit):
+        for ids, keys, bases, raw, offsets in _blocks(batches, limit, width):
             doc, lo, hi, off, key, whole = runs_of(raw, offsets, width)
+            lo, hi = lo + bases[doc], hi + bases[doc]
             rows = np.empty(len(doc), _RUN)
             rows["key"], rows["whole"], rows["doc"], rows["text"] = key, whole, ids[doc], keys[doc]
             rows["lo"], rows["span"], rows["off"] = lo, hi - lo, off
@@ -446,7 +447,7 @@ def _finish():
     return mapped
 
 
-def remove_repeats(docs: DataFrame, *, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id", block_bytes: int = 1 << 20, local_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id", block_bytes: int = 1 << 20, local_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed byte ranges, end exclusive), kept_sha256.
 
     A null or empty text has no bytes. A null doc_id stands after all others. Rows that share a doc_id

@@ -28,7 +28,7 @@ def test_against_brute_force(spark, seed, alphabet):
     rows += [(500, "ab" * 400), (501, "a" * 1500), (502, "a" * 99), (503, "a" * 100), (504, rows[0][1] * 3), (505, "\0" * 300 + "q"), (506, "\0" * 150)]
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, spans string").repartition(3)
     want = sd.brute_force([(d, t.encode()) for d, t in rows])
-    for local in (16 << 20, 700):
+    for local in (2 << 20, 700):
         got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in sd.remove_repeats(docs, local_bytes=local, block_bytes=2000).collect()}
         assert got == want
 
