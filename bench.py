@@ -23,7 +23,7 @@ def main() -> None:
     )
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     words, sentences = S.histogram(S.words_of(docs), "word"), S.histogram(S.sentences_of(docs), "sentence")
-    few = S.histogram(S.sentences_of(docs.where("doc_id is not null")).limit(5000), "sentence")  # as many lines as the baseline's
+    few = words.orderBy("word").limit(5000).withColumnRenamed("word", "sentence")  # words as lines, as many as the baseline's
     runs = {
         "histogram": lambda: words.agg(F.sum("n")).first(),
         "pair_counts": lambda: words.select(F.explode(T.adjacent(T.characters("word"))).alias("p"), "n").groupBy("p.l", "p.r").agg(F.sum("n")).count(),

@@ -7,7 +7,9 @@ longest one, so a text costs its length times that cap.
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +22,8 @@ from . import counts
 
 #: What an unknown character costs, and the floor of a count (fixed values).
 UNKNOWN_LP, FLOOR, LONGEST = -100.0, 1e-10, 16
+#: Distinct sentences of at most this many characters in all are learned from in memory.
+COMPACT_CHARS = 200_000
 
 
 @dataclass
@@ -40,19 +44,34 @@ class Model:
         return dict(zip(self.vocab, self.log_probs, strict=True))
 
 
-def viterbi(text: str, index: dict[str, float], longest: int) -> tuple[list[str], float]:
-    """Best pieces and their log probability. Of equal scores the smallest start wins. Where the end
-    can't be reached, single characters, unknown ones at a fixed cost."""
-    n = len(text)
-    best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
-    for end in range(1, n + 1):
-        top, at = -math.inf, -1
-        for start in range(max(0, end - longest), end):
-            if best[start] > -math.inf and (lp := index.get(text[start:end])) is not None and best[start] + lp > top:
-                top, at = best[start] + lp, start
-        best[end], back[end] = top, at
-    if best[n] == -math.inf:
-        return list(text), math.fsum(index.get(c, UNKNOWN_LP) for c in text)
+def closed(index: dict[str, float]) -> dict[str, float | None]:
+    """The index with every prefix of its pieces beside them, as None: where a look-up fails, no longer
+    piece can start."""
+    out: dict[str, float | None] = {t[:k]: None for t in index for k in range(1, len(t))}
+    out.update(index)
+    return out
+
+
+def viterbi(text: str, index: dict[str, float | None], longest: int) -> tuple[list[str], float]:
+    """Best pieces and their log probability; index as closed() gives it. Of equal scores the smallest
+    start wins. Where the end can't be reached, single characters, unknown ones at a fixed cost."""
+    n, none, get = len(text), -math.inf, index.get
+    best, back = [0.0] + [none] * n, [0] * (n + 1)
+    for start in range(n):
+        base = best[start]
+        if base == none:
+            continue
+        for end in range(start + 1, min(n, start + longest) + 1):
+            lp = get(text[start:end], none)
+            if lp is None:
+                continue
+            if lp == none:
+                break
+            if base + lp > best[end]:
+                best[end], back[end] = base + lp, start
+    if best[n] == none:
+        known = [get(c) for c in text]
+        return list(text), math.fsum(UNKNOWN_LP if p is None else p for p in known)
     out, end = [], n
     while end:
         out.append(text[back[end] : end])
@@ -62,7 +81,7 @@ def viterbi(text: str, index: dict[str, float], longest: int) -> tuple[list[str]
 
 def segmented(rows: DataFrame, model: Model, column: str) -> DataFrame:
     """rows with tokens and lp (of the best path through `column`) beside them."""
-    index = model.index()
+    index = closed(model.index())
     longest = max([len(t) for t in model.vocab], default=1)
     shared = rows.sparkSession.sparkContext.broadcast((index, longest))
     place = rows.columns.index(column)
@@ -103,9 +122,30 @@ def log_likelihood(marked: DataFrame, model: Model) -> float:
     return segmented(marked, model, "s").agg(F.sum(F.col("lp") * F.col("n"))).first()[0] or 0.0
 
 
-def em_step(marked: DataFrame, model: Model) -> tuple[Model, dict[str, float]]:
-    found = {r["token"]: float(r["c"]) for r in expected(marked, model).collect()}  # at most the vocabulary
-    return maximised(model, found), found
+def em_step(marked: DataFrame | list[tuple[str, int]], model: Model) -> tuple[Model, dict[str, float]]:
+    """marked: a table (s, n), or its rows where they are few."""
+    if isinstance(marked, list):
+        index, longest, found = closed(model.index()), max([len(t) for t in model.vocab], default=1), Counter()
+        for s, n in marked:
+            for t in viterbi(s, index, longest)[0]:
+                found[t] += n
+        known = set(model.vocab)
+        counted = {t: float(c) for t, c in found.items() if t in known}
+    else:
+        counted = {r["token"]: float(r["c"]) for r in expected(marked, model).collect()}  # at most the vocabulary
+    return maximised(model, counted), counted
+
+
+def seed_of(rows: list[tuple[str, int]], most: int) -> Model:
+    """seed(), of few rows."""
+    found: Counter = Counter()
+    for s, n in rows:
+        for a in range(len(s)):
+            for b in range(a + 1, min(len(s), a + LONGEST) + 1):
+                found[s[a:b]] += n
+    chars = sorted(t for t in found if len(t) == 1)
+    extra = heapq.nsmallest(max(0, most - len(chars)), ((-c, t) for t, c in found.items() if len(t) > 1))
+    return Model.uniform([*chars, *(t for _, t in extra)])
 
 
 def pruned(model: Model, found: dict[str, float], ratio: float) -> Model:
@@ -118,13 +158,19 @@ def pruned(model: Model, found: dict[str, float], ratio: float) -> Model:
     return Model([model.vocab[k] for k in kept], [model.log_probs[k] for k in kept])
 
 
-def train(marked: DataFrame, target: int, factor: float, iterations: int, ratio: float) -> tuple[Model, list[int]]:
+def train(marked: DataFrame, target: int, factor: float, iterations: int, ratio: float, compact_chars: int = COMPACT_CHARS) -> tuple[Model, list[int]]:
     """EM and pruning until the target is reached or nothing can be removed, then EM once more.
-    marked: (s, n) of distinct sentences. Also gives the vocabulary sizes on the way."""
+    marked: (s, n) of distinct sentences; up to `compact_chars` characters, counted first, are learned
+    from in memory. Also gives the vocabulary sizes on the way."""
     from ..plans.tables import written
 
-    marked = written(marked)
-    model = seed(marked, int(target * factor))
+    size = marked.agg(F.sum(F.length("s").cast("long"))).first()[0] or 0
+    if size <= compact_chars:
+        marked = [(r["s"], r["n"]) for r in marked.collect()]
+        model = seed_of(marked, int(target * factor))
+    else:
+        marked = written(marked.repartition(max(int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")), marked.sparkSession.sparkContext.defaultParallelism)))
+        model = seed(marked, int(target * factor))
     sizes = [len(model.vocab)]
     while len(model.vocab) > target:
         found: dict[str, float] = {}

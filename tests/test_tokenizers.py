@@ -124,8 +124,9 @@ def test_text_functions(spark):
 
 def test_viterbi():
     index = {"▁": -1.0, "a": -1.0, "b": -1.0, "▁a": -0.5, "▁ab": -0.1}
-    assert unigram.viterbi("▁ab", index, 16) == (["▁ab"], -0.1)
-    assert unigram.viterbi("ab", {"ab": -2.0, "a": -1.0, "b": -1.0}, 16)[0] == ["ab"]
+    closed = unigram.closed
+    assert unigram.viterbi("▁ab", closed(index), 16) == (["▁ab"], -0.1)
+    assert unigram.viterbi("ab", closed({"ab": -2.0, "a": -1.0, "b": -1.0}), 16)[0] == ["ab"]
     assert unigram.viterbi("▁q", {"▁": -1.0}, 16) == (["▁", "q"], -101.0)
     assert unigram.viterbi("", index, 16) == ([], 0.0)
     rng = random.Random(3)
@@ -136,7 +137,7 @@ def test_viterbi():
         for mask in range(2 ** (len(text) - 1)):
             cut = [0, *(i for i in range(1, len(text)) if mask >> (i - 1) & 1), len(text)]
             best = max(best, sum(index.get(text[a:b], -math.inf) for a, b in zip(cut, cut[1:], strict=False)))
-        tokens, lp = unigram.viterbi(text, index, 16)
+        tokens, lp = unigram.viterbi(text, closed(index), 16)
         assert abs(lp - best) < 1e-9 and "".join(tokens) == text
 
 
@@ -150,6 +151,8 @@ def test_unigram_training(spark):
     assert len(unigram.pruned(after, found, 0.2).vocab) == 18
     assert {"a", "b", "c", "▁"} <= set(unigram.pruned(after, found, 0.5).vocab)
     model = Unigram.train(rows, UnigramConfig(10, 10.0, 3, 0.2))
+    spread, sizes = unigram.train(marked, 10, 10.0, 3, 0.2, compact_chars=0)
+    assert spread.vocab == model.model.vocab and sizes == model.sizes and spread.log_probs == pytest.approx(model.model.log_probs)
     assert model.sizes == [22, 18, 15, 12, 10]
     assert set(model.model.vocab) == {"a", "b", "c", "▁", "▁a", "▁ab", "▁abc", "▁abca", "▁abcab", "▁abcabc"}
     assert sorted(round(p, 6) for p in model.model.log_probs)[0] == -26.427048
