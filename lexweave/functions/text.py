@@ -98,8 +98,8 @@ def is_protected(token: Column | str) -> Column:
 
 def covered(tokens: Column, alphabet: list[str]) -> Column:
     """Characters outside the alphabet become <unk>. The alphabet is a literal; its size is checked."""
-    known = F.array(*[F.lit(c) for c in alphabet]) if alphabet else F.array().cast("array<string>")
-    return F.transform(tokens, lambda c: F.when(F.array_contains(known, c), c).otherwise(F.lit(UNK)))
+    known = F.lit("".join(alphabet))  # single characters, so a substring test is a membership test
+    return F.transform(tokens, lambda c: F.when(F.contains(known, c), c).otherwise(F.lit(UNK)))
 
 
 def all_of(conditions: list[Column]) -> Column:

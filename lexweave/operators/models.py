@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.tables import written
 from . import counts, merges, unigram
 
 
@@ -47,7 +48,7 @@ class Bpe:
 
     @staticmethod
     def train(words: DataFrame, config: BpeConfig | None = None, **how) -> Bpe:
-        config = config or BpeConfig()
+        config, words = config or BpeConfig(), written(words)  # read several times
         segments = words.select(T.characters("word").alias("tokens"), "n")
         return Bpe(merges.learn(segments, least=config.min_pair_count, done=lambda rules, _: rules >= config.num_merges, **how))
 
@@ -69,7 +70,7 @@ class WordPiece:
     @staticmethod
     def train(words: DataFrame, config: WordPieceConfig | None = None, **how) -> WordPiece:
         """The vocabulary lists the base pieces in byte order, then merges in the order they came."""
-        config = config or WordPieceConfig()
+        config, words = config or WordPieceConfig(), written(words)
         segments = words.select(T.continuation_pieces("word").alias("tokens"), "n")
         seeds = sorted(r["token"] for r in segments.select(F.explode("tokens").alias("token")).distinct().collect())  # at most twice the alphabet
         rules = merges.learn(segments, by_score=True, least=config.min_pair_count, done=lambda _, size: size >= config.vocab_size, join=merges.continued, seeds=seeds, **how)
@@ -114,7 +115,7 @@ class SentenceBpe:
     @staticmethod
     def train(sentences: DataFrame, config: SentenceBpeConfig | None = None, **how) -> SentenceBpe:
         """The vocabulary lists <unk>, the covered characters by frequency, then merges in order."""
-        config = config or SentenceBpeConfig()
+        config, sentences = config or SentenceBpeConfig(), written(sentences)
         chars = SentenceBpe.alphabet(sentences, config.character_coverage)
         marked = sentences.select(T.marked_sentence("sentence").alias("s"), "n").where("s <> ''")
         segments = marked.select(T.covered(T.characters("s"), chars).alias("tokens"), "n")
