@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, exact_dedup, language, packing, pii, quality, sharding, simhash, suffix_dedup, urls
 from .common import crc_fold
+from .oracles import ORACLES  # noqa: F401
 
 
 #: The rules of the url query.
@@ -86,12 +87,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
 }
-
-ORACLES: dict[str, str] = {
-    "op1_exact_dedup": r"""
-        WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
-                          regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents),
-             g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY content ORDER BY points DESC, doc_id) AS keep_id,
-                          count(*) OVER (PARTITION BY content) AS group_size FROM d)
-        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256 FROM g""",
-}
