@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,31 +43,63 @@ def continued(left: str, right: str) -> str:
     return left + right.removeprefix(CONTINUES)
 
 
+@dataclass
+class Segments:
+    """Weighted segmentations as arrays: token names, and each row's token numbers, size and weight."""
+
+    names: list[str]
+    ids: np.ndarray
+    size: np.ndarray
+    weight: np.ndarray
+
+    @staticmethod
+    def of(rows: list[tuple[list[str], int]]) -> Segments:
+        names: dict[str, int] = {}
+        ids = [names.setdefault(t, len(names)) for tokens, _ in rows for t in tokens]
+        return Segments(list(names), np.array(ids, np.int64), np.array([len(t) for t, _ in rows], np.int64), np.array([n for _, n in rows], np.int64))
+
+    @staticmethod
+    def collected(segments: DataFrame) -> Segments:
+        """Of a table (tokens, n) of bounded size."""
+        table = segments.select(F.array_join("tokens", CLOSE + OPEN).alias("s"), "n").toArrow().combine_chunks()
+        lists = pc.split_pattern(pc.cast(table["s"], pa.large_string()), CLOSE + OPEN)
+        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.large_list(pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        weight = table["n"].to_numpy()
+        return Segments(coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), sizes.astype(np.int64), weight.astype(np.int64))
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, and where each begins in it. Small keys take linear time."""
+    small = len(keys) and keys.max() < 1 << 16
+    order = np.argsort(keys.astype(np.uint16) if small else keys, kind="stable")
+    sorted_ = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(keys) else order
+
+
 class LinkedSegments:
-    """Segmentations in linked arrays, with the places of every pair."""
-
-    def __init__(self, rows: list[tuple[list[str], int]]):
-        self.names: list[str] = []
-        self.number: dict[str, int] = {}
-        ids, weights, sizes = [], [], []
-        for tokens, n in rows:
-            ids += [self.intern(t) for t in tokens]
-            sizes.append(len(tokens))
-            weights.append(n)
-        self.symbol = np.array(ids, np.int64)
-        size = np.array(sizes, np.int64)
-        self.weight = np.repeat(np.array(weights, np.int64), size)
+    """Segmentations in linked arrays, with the places of every pair. A place takes a pair at most once:
+    its token only grows."""
+
+    def __init__(self, rows: Segments):
+        self.names = list(rows.names)
+        self.number = {t: k for k, t in enumerate(self.names)}
+        self.symbol = rows.ids.copy()
+        self.weight = np.repeat(rows.weight, rows.size)
         total = len(self.symbol)
         self.after = np.arange(1, total + 1)
         self.before = np.arange(-1, total - 1)
-        ends = np.cumsum(size)[size > 0]
+        self.taken = np.zeros(total, bool)
+        ends = np.cumsum(rows.size)[rows.size > 0]
         self.after[ends - 1] = -1
         self.before[np.concatenate([[0], ends[:-1]]) if len(ends) else ends] = -1
         self.places: dict[int, list[np.ndarray]] = {}
         self.count: dict[int, int] = {}
         self.tokens = dict(enumerate(np.bincount(self.symbol, self.weight, len(self.names)).astype(np.int64).tolist())) if total else {}
         self.touched: set[int] = set()
-        self._add(np.flatnonzero(self.after >= 0))
+        at, v = np.flatnonzero(self.after >= 0), len(self.names)
+        self._add(self.symbol[at] * v + self.symbol[self.after[at]], at, lambda k: (k // v << 32) | k % v)
 
     def intern(self, token: str) -> int:
         if token not in self.number:
@@ -73,48 +107,55 @@ class LinkedSegments:
             self.names.append(token)
         return self.number[token]
 
-    def _codes(self, at: np.ndarray) -> np.ndarray:
-        return (self.symbol[at] << 32) | self.symbol[self.after[at]]
-
-    def _add(self, at: np.ndarray) -> None:
-        codes = self._codes(at)
-        order = np.argsort(codes, kind="stable")
-        codes, at = codes[order], at[order]
-        if not len(codes):
+    def _add(self, keys: np.ndarray, at: np.ndarray, code_of: Callable[[int], int]) -> None:
+        """New pairs at these places; those with one key are one pair."""
+        order, lead = _grouped(keys)
+        if not len(order):
             return
-        lead = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        at, keys = at[order], keys[order]
         sums = np.add.reduceat(self.weight[at], lead)
-        for code, s, a, b in zip(codes[lead].tolist(), sums.tolist(), lead.tolist(), [*lead[1:].tolist(), len(at)], strict=True):
+        for key, s, a, b in zip(keys[lead].tolist(), sums.tolist(), lead.tolist(), [*lead[1:].tolist(), len(at)], strict=True):
+            code = code_of(key)
             self.places.setdefault(code, []).append(at[a:b])
             self.count[code] = self.count.get(code, 0) + s
             self.touched.add(code)
 
-    def _drop(self, at: np.ndarray) -> None:
-        codes, where = np.unique(self._codes(at), return_inverse=True)
-        for code, s in zip(codes.tolist(), np.bincount(where, self.weight[at]).astype(np.int64).tolist(), strict=True):
-            self.count[code] -= s
+    def _drop(self, keys: np.ndarray, at: np.ndarray, code_of: Callable[[int], int]) -> None:
+        sums = np.bincount(keys, self.weight[at]).astype(np.int64) if len(keys) else keys
+        for key in np.flatnonzero(sums).tolist():
+            code = code_of(key)
+            self.count[code] -= int(sums[key])
             self.touched.add(code)
 
     def merge(self, left: int, right: int, merged: str) -> int:
         """One pass, left to right, without overlap."""
         m, code = self.intern(merged), (left << 32) | right
-        at = np.unique(np.concatenate(self.places.pop(code, [np.zeros(0, np.int64)])))
+        at = np.concatenate(self.places.pop(code, [np.zeros(0, np.int64)]))
         at = at[(self.symbol[at] == left) & (self.after[at] >= 0)]
         at = at[self.symbol[self.after[at]] == right]
         if left == right and len(at):
+            at = np.sort(at)
             fresh = np.concatenate([[True], self.after[at[:-1]] != at[1:]])
             start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
             at = at[(np.arange(len(at)) - start) % 2 == 0]
-        gone = self.after[at]
-        old = np.unique(np.concatenate([at, gone[self.after[gone] >= 0], self.before[at][self.before[at] >= 0]]))
-        self._drop(old)
+        gone, prior = self.after[at], self.before[at]
+        tail = self.after[gone] >= 0
+        # a pair between two merged places counts as what follows the first of them
+        self.taken[gone] = True
+        lead = (prior >= 0) & ~self.taken[prior]
+        self.taken[gone] = False
+        prior, follow = prior[lead], at[tail]
         moved = int(self.weight[at].sum())
+        self.count[code] = self.count.get(code, 0) - moved
+        self.touched.add(code)
+        self._drop(self.symbol[prior], prior, lambda x: (x << 32) | left)
+        self._drop(self.symbol[self.after[gone[tail]]], follow, lambda y: (right << 32) | y)
         self.symbol[at], self.symbol[gone] = m, -1
         self.after[at] = self.after[gone]
-        follow = self.after[at] >= 0
-        self.before[self.after[at[follow]]] = at[follow]
+        self.before[self.after[follow]] = follow
         self.after[gone] = -1
-        self._add(np.unique(np.concatenate([at[follow], self.before[at][self.before[at] >= 0]])))
+        self._add(self.symbol[prior], prior, lambda x: (x << 32) | m)
+        self._add(self.symbol[self.after[follow]], follow, lambda y: (m << 32) | y)
         for t, d in ((left, -moved), (right, -moved), (m, moved)):
             self.tokens[t] = self.tokens.get(t, 0) + d
         return m
@@ -158,7 +199,7 @@ def _by_score(state: LinkedSegments, least: int) -> Iterator[tuple[int, int]]:
         yield int(left[pick]), int(right[pick])
 
 
-def learn_compact(rows: list[tuple[list[str], int]], *, by_score: bool, least: int, done: Callable[[int, int], bool], join: Callable[[str, str], str], seeds: list[str]) -> list[tuple[str, str, str]]:
+def learn_compact(rows: Segments, *, by_score: bool, least: int, done: Callable[[int, int], bool], join: Callable[[str, str], str], seeds: list[str]) -> list[tuple[str, str, str]]:
     """Rules until `done(number of rules, size of vocabulary)` or no pair is left."""
     state = LinkedSegments(rows)
     vocab, rules = set(seeds), []
@@ -246,11 +287,5 @@ def learn(segments: DataFrame, *, by_score: bool = False, least: int = 2, done:
     segments = segments.where(F.size("tokens") > 0)
     size = segments.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
     if size <= compact_symbols:
-        rows = [(s.split(CLOSE + OPEN), n) for s, n in _columns(segments.select(F.array_join("tokens", CLOSE + OPEN).alias("s"), "n"))]
-        return learn_compact(rows, by_score=by_score, least=least, done=done, join=join, seeds=seeds or [])
+        return learn_compact(Segments.collected(segments), by_score=by_score, least=least, done=done, join=join, seeds=seeds or [])
     return learn_distributed(segments.select(held(F.col("tokens")).alias("s"), "n"), by_score=by_score, least=least, done=done, join=join, seeds=seeds or [])
-
-
-def _columns(rows: DataFrame):
-    table = rows.toArrow()
-    return zip(*(table.column(k).to_pylist() for k in range(table.num_columns)), strict=True)

@@ -164,12 +164,13 @@ def train(marked: DataFrame, target: int, factor: float, iterations: int, ratio:
     from in memory. Also gives the vocabulary sizes on the way."""
     from ..plans.tables import written
 
+    parts = max(int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")), marked.sparkSession.sparkContext.defaultParallelism)
+    marked = written(marked.repartition(parts))  # read several times
     size = marked.agg(F.sum(F.length("s").cast("long"))).first()[0] or 0
     if size <= compact_chars:
         marked = [(r["s"], r["n"]) for r in marked.collect()]
         model = seed_of(marked, int(target * factor))
     else:
-        marked = written(marked.repartition(max(int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")), marked.sparkSession.sparkContext.defaultParallelism)))
         model = seed(marked, int(target * factor))
     sizes = [len(model.vocab)]
     while len(model.vocab) > target:

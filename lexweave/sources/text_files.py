@@ -55,14 +55,27 @@ def _required(rows: DataFrame, path: str) -> DataFrame:
     return rows
 
 
+#: Tables under this many bytes a core are dealt to all cores before their texts are cut up.
+SMALL_SPLIT = 16 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A small table in few splits (one row group, say) over all cores; any other as it is."""
+    if table.isStreaming:
+        return table
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores) if size < cores * SMALL_SPLIT else table
+
+
 def words_of(table: DataFrame, text: str = "text") -> DataFrame:
     """word: everything between white space in a text column."""
-    return table.select(F.explode(F.split(text, r"\s+")).alias("word")).where("word <> ''")
+    return spread(table.select(F.col(text).alias("text"))).select(F.explode(F.split("text", r"\s+")).alias("word")).where("word <> ''")
 
 
 def sentences_of(table: DataFrame, text: str = "text") -> DataFrame:
     """sentence: the useful lines of a text column."""
-    return useful(table.select(F.explode(F.split(text, "\n")).alias("value"))).select(F.col("value").alias("sentence"))
+    return useful(spread(table.select(F.col(text).alias("text"))).select(F.explode(F.split("text", "\n")).alias("value"))).select(F.col("value").alias("sentence"))
 
 
 def histogram(rows: DataFrame, column: str) -> DataFrame:

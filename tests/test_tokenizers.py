@@ -79,7 +79,7 @@ def test_batches_equal_one_at_a_time():
     for seed in range(300):
         rng = random.Random(seed)
         rows = [(list("".join(rng.choices("abcde", k=rng.randint(1, 8)))), rng.randint(1, 4)) for _ in range(12)]
-        want = merges.learn_compact(rows, by_score=False, least=2, done=lambda n, _: n >= 12, join=merges.plain, seeds=[])
+        want = merges.learn_compact(merges.Segments.of(rows), by_score=False, least=2, done=lambda n, _: n >= 12, join=merges.plain, seeds=[])
         known, state, got = set("abcde"), rows, []
         while len(got) < 12:
             c = Counter()
