@@ -2,9 +2,9 @@
 
 DataFrame functions only. Four kinds of entities are found by pattern. What surrounds an entity is its
 context. Over the whole corpus, a term t discloses an entity e if enough different contexts of e hold
-t (copies of one context count once), if knowing t makes e likely, P(e|t) = n(t,e) / n(t), both among
-the contexts of all entities and among all documents, and if it tells enough bits, log2 n(t,e) N / (n(t) n(e)). Such terms become spans of kind `term` wherever they
-stand and are generalised with the entities, or removed.
+t (copies of one context count once), if knowing t makes e likely, P(e|t) = n(t,e) / n(t), and if it
+tells enough bits, log2 n(t,e) N / (n(t) n(e)). So a term may disclose several entities. Such terms
+become spans of kind `term` wherever they stand and are generalised with the entities, or removed.
 
 A span's start is the length of what splits before it, so all offsets count code points. Patterns are
 anchored to where a run begins or the last match ended, and possessive: the same matches as the plain
@@ -121,15 +121,12 @@ def disclosing_terms(found: DataFrame, text: str, rule: Disclosure) -> DataFrame
     # a term cut off by the edge of the context doesn't count
     words = F.array_distinct(F.regexp_extract_all(F.concat(F.regexp_replace("b", r"^\p{L}+", ""), F.lit(" "), F.regexp_replace("a", r"\p{L}+$", "")), F.lit(_TERM), F.lit(0)))
     joint = near.select("entity", F.explode(words).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint"))
-    # a term that stands beside many entities tells none of them, whatever its other uses
-    beside = joint.groupBy("term").agg(F.sum("joint").alias("n_beside"))
-    likely = joint.where(F.col("joint") >= rule.contexts).join(beside, "term").where(F.col("joint") >= rule.likely * F.col("n_beside")).drop("n_beside")
-    pairs = written(likely.join(seen, "entity"))
+    pairs = written(joint.where(F.col("joint") >= rule.contexts).join(seen, "entity"))
     if pairs.isEmpty():
         return pairs.selectExpr("term", "entity", "joint", "0D AS p", "0D AS bits")
     each = found.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(_TERM), F.lit(0)))).alias("term"))
-    # a small list of terms, by its written size, is sent to the texts; a large one is joined by shuffle
-    counts = each.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # counted before the join, so that no join sees a row for each use of a common term
+    counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = found.count()
     told = pairs.join(counts, "term").select("term", "entity", "joint", (F.col("joint") / F.col("n_term")).alias("p"), F.log2(F.col("joint") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity"))).alias("bits"))
     return told.where((F.col("p") >= rule.likely) & (F.col("bits") >= rule.bits))

@@ -68,3 +68,9 @@ def test_terms_that_reveal(spark):
     assert got[11] == got[12] == got[25] == ""
     clean = {r.doc_id: r.text for r in pii.sanitised(found).collect()}
     assert clean[10] == "<term> again, Zanzibarish" and "<email> about" in clean[0] and clean[11] == rows[6][1]
+
+
+def test_term_beside_several_entities_reveals_each(spark):
+    rows = [(k, f"{w} Zanzibar {w} bob@x.org or +1 234 567 8901 or 10.1.2.3") for k, w in enumerate(("one", "two", "three"))]
+    docs = spark.createDataFrame(rows + [(10, "Zanzibar"), *((20 + k, "plain words") for k in range(400))], "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in pii.digest_of(pii.find(docs)).collect()}[10] == "term:0:8"
