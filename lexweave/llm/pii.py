@@ -3,8 +3,9 @@
 DataFrame functions only. Four kinds of entities are found by pattern. What surrounds an entity is its
 context. Over the whole corpus, a term t discloses an entity e if enough different contexts of e hold
 t (copies of one context count once), if knowing t makes e likely, P(e|t) = n(t,e) / n(t), and if it
-tells enough bits, log2 n(t,e) N / (n(t) n(e)). So a term may disclose several entities. Such terms
-become spans of kind `term` wherever they stand and are generalised with the entities, or removed.
+tells enough bits, log2 n(t,e) N / (n(t) n(e)). All n count documents, copies included: those with t near
+e, with t, with e, and all. So a term may disclose several entities. Such terms become spans of kind
+`term` wherever they stand and are generalised with the entities, or removed.
 
 A span's start is the length of what splits before it, so all offsets count code points. Patterns are
 anchored to where a run begins or the last match ended, and possessive: the same matches as the plain
@@ -113,23 +114,30 @@ def disclosing_terms(found: DataFrame, text: str, rule: Disclosure) -> DataFrame
 
     Only terms near an entity can disclose it, so those are gathered first, and then counted over the
     documents of the whole corpus."""
-    around = found.where(F.size("base") > 0).select(F.col(text).alias("t"), F.explode("base").alias("s"))
-    before = F.substring(F.col("t"), F.greatest(F.col("s.start") + 1 - rule.reach, F.lit(1)), F.least(F.col("s.start"), F.lit(rule.reach)))
-    after = F.substring(F.col("t"), F.col("s.end") + 1, F.lit(rule.reach))
-    near = around.select(F.xxhash64("s.kind", "s.value").alias("entity"), before.alias("b"), after.alias("a")).distinct()
-    seen = near.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= rule.contexts)
+    ends = lambda s: (F.greatest(s["start"] + 1 - rule.reach, F.lit(1)), F.least(s["start"], F.lit(rule.reach)))
+    context = lambda s: F.struct(F.xxhash64(s["kind"], s["value"]).alias("entity"), F.substring(F.col(text), *ends(s)).alias("b"), F.substring(F.col(text), s["end"] + 1, F.lit(rule.reach)).alias("a"))
+    held = written(found.where(F.size("base") > 0).select(F.transform("base", context).alias("near")))
     # a term cut off by the edge of the context doesn't count
-    words = F.array_distinct(F.regexp_extract_all(F.concat(F.regexp_replace("b", r"^\p{L}+", ""), F.lit(" "), F.regexp_replace("a", r"\p{L}+$", "")), F.lit(_TERM), F.lit(0)))
-    joint = near.select("entity", F.explode(words).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint"))
-    pairs = written(joint.where(F.col("joint") >= rule.contexts).join(seen, "entity"))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.concat(F.regexp_replace(c["b"], r"^\p{L}+", ""), F.lit(" "), F.regexp_replace(c["a"], r"\p{L}+$", "")), F.lit(_TERM), F.lit(0)))
+    near = held.select(F.explode("near").alias("c")).select("c.entity", "c.b", "c.a").distinct()
+    contexts = near.select("entity", F.explode(words({"b": F.col("b"), "a": F.col("a")})).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= rule.contexts)
+    # how many documents hold the entity, the term near it, and the term near any entity
+    documents = lambda each, name: held.select(F.explode(F.array_distinct(each)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias(name))
+    entities = documents(F.col("near.entity"), "n_entity").withColumnRenamed("x", "entity")
+    beside = documents(F.flatten(F.transform("near", words)), "n_beside").withColumnRenamed("x", "term")
+    told = documents(F.flatten(F.transform("near", lambda c: F.transform(words(c), lambda w: F.concat_ws(" ", c["entity"].cast("string"), w)))), "joint")
+    joint = told.select(F.substring_index("x", " ", 1).cast("long").alias("entity"), F.substring_index("x", " ", -1).alias("term"), "joint")
+    # the term stands in as many documents at least as it does near entities
+    likely = contexts.drop("contexts").join(joint, ["entity", "term"]).join(beside, "term").where(F.col("joint") >= rule.likely * F.col("n_beside")).drop("n_beside")
+    pairs = written(likely.join(entities, "entity"))
     if pairs.isEmpty():
         return pairs.selectExpr("term", "entity", "joint", "0D AS p", "0D AS bits")
     each = found.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(_TERM), F.lit(0)))).alias("term"))
     # counted before the join, so that no join sees a row for each use of a common term
     counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = found.count()
-    told = pairs.join(counts, "term").select("term", "entity", "joint", (F.col("joint") / F.col("n_term")).alias("p"), F.log2(F.col("joint") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity"))).alias("bits"))
-    return told.where((F.col("p") >= rule.likely) & (F.col("bits") >= rule.bits))
+    shown = pairs.join(counts, "term").select("term", "entity", "joint", (F.col("joint") / F.col("n_term")).alias("p"), F.log2(F.col("joint") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity"))).alias("bits"))
+    return shown.where((F.col("p") >= rule.likely) & (F.col("bits") >= rule.bits))
 
 
 def find(docs: DataFrame, *, rule: Disclosure | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -137,7 +145,7 @@ def find(docs: DataFrame, *, rule: Disclosure | None = None, text: str = "text",
     then kind) of every row's whole text.
 
     A null text counts as empty; an empty table gives no rows; repeated rows get one row each, and copies
-    of one context count once in the statistics. Other columns are ignored. Term spans never overlap an
+    of one context are one context in the statistics, but as many documents. Other columns are ignored. Term spans never overlap an
     entity.
     """
     rule = rule or Disclosure()

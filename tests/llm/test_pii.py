@@ -74,3 +74,9 @@ def test_term_beside_several_entities_reveals_each(spark):
     rows = [(k, f"{w} Zanzibar {w} bob@x.org or +1 234 567 8901 or 10.1.2.3") for k, w in enumerate(("one", "two", "three"))]
     docs = spark.createDataFrame(rows + [(10, "Zanzibar"), *((20 + k, "plain words") for k in range(400))], "doc_id long, text string")
     assert {r.doc_id: r.spans for r in pii.digest_of(pii.find(docs)).collect()}[10] == "term:0:8"
+
+
+def test_copies_count_alike_on_both_sides(spark):
+    rows = [(k, f"{w} Zanzibar {w} bob@x.org") for k, w in enumerate(("one", "two", "three", "four", "five")) for _ in range(20)]
+    docs = spark.createDataFrame(rows + [(10, "Zanzibar"), *((20 + k, "plain words") for k in range(6000))], "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in pii.digest_of(pii.find(docs)).collect()}[10] == "term:0:8"
