@@ -1,8 +1,8 @@
 """Packing by lexical retrieval.
 
 A document's ids are cut into full windows, which need no company, and a remainder. Remainders are
-dealt to shards of bounded size. Each shard keeps a BM25 inverted index over its remainders' index
-terms (their rarest ids: the vocabulary is in merge order, so high ids are rare). The longest unused
+dealt to shards of bounded size. Each shard keeps a BM25 inverted index over all ids of its
+remainders but the end id; ids that many remainders hold are kept as dense rows. The longest unused
 remainder opens a sequence and queries the index; its unused neighbours fill the window greedily, best
 score first, and what is left open goes to the largest remainders that still fit.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import texts_of
 
-WINDOW, END_ID, TERMS, SHARD_ROWS = 4096, 2, 48, 4096
+WINDOW, END_ID, SHARD_ROWS = 4096, 2, 4096
 _loaded: dict[str, WordEncoder] = {}
 
 
@@ -136,8 +136,8 @@ def _cut(path: str, window: int, end_id: int):
                     whole = n // window * window
                     full = [{"start": s, "length": window, "crc": zlib.crc32(body[4 * s : 4 * (s + window)])} for s in range(0, whole, window)]
                     rest = body[4 * whole :]
-                    ids, tf = np.unique(np.frombuffer(rest, "<u4"), return_counts=True)
-                    terms = np.stack([ids[-TERMS:], np.minimum(tf[-TERMS:], 255).astype(np.uint32)]).astype("<u4").tobytes() if n > whole else None
+                    ids, tf = np.unique(np.frombuffer(rest, "<u4")[:-1], return_counts=True)
+                    terms = np.stack([ids, tf]).astype("<u4").tobytes() if n > whole else None
                     out.append((n, full, whole if n > whole else None, n - whole if n > whole else None, zlib.crc32(rest) if n > whole else None, terms))
                 lo = hi
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
@@ -166,14 +166,22 @@ class Bm25:
         self.at = np.concatenate([[0], np.cumsum(df)])
         self.own = np.split(term, np.cumsum(size)[:-1]) if self.n else []
         self.df = df
+        common = np.flatnonzero(4 * df > self.n)
+        self.row = np.full(len(df), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n))
+        here = self.row[term] >= 0
+        self.dense[self.row[term[here]], doc[here]] = weight[here]
 
     def scores(self, seed: int) -> np.ndarray:
         """Of every remainder for the seed's terms; terms of one remainder only find nobody."""
-        terms = [t for t in self.own[seed].tolist() if self.df[t] > 1]
-        if not terms:
-            return np.zeros(self.n)
-        docs = np.concatenate([self.doc[self.at[t] : self.at[t + 1]] for t in terms])
-        return np.bincount(docs, np.concatenate([self.weight[self.at[t] : self.at[t + 1]] for t in terms]), self.n)
+        terms = self.own[seed][self.df[self.own[seed]] > 1]
+        rows = self.row[terms]
+        out, rare = self.dense[rows[rows >= 0]].sum(0), terms[rows < 0].tolist()
+        if rare:
+            docs = np.concatenate([self.doc[self.at[t] : self.at[t + 1]] for t in rare])
+            out += np.bincount(docs, np.concatenate([self.weight[self.at[t] : self.at[t + 1]] for t in rare]), self.n)
+        return out
 
 
 def fill(lengths: np.ndarray, index: Bm25, window: int) -> list[list[int]]:

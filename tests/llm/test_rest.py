@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +209,15 @@ def test_packing(spark):
     assert abs(got[1] - want) < 1e-9 and got[2] == 0
 
 
+def test_packing_indexes_all_ids():
+    text = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)} {k}" for k in range(300)) + " common" * 300
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, ""])], ["doc_id", "text"])
+    (out,) = packing._cut(q.tokenizer_path(), 4096, 2)(iter([batch]))
+    got = np.frombuffer(out.column("terms")[0].as_py(), "<u4").reshape(2, -1).tolist()
+    want = Counter(packing.encoder(q.tokenizer_path()).slow.encode(text, add_special_tokens=False).ids)
+    assert dict(zip(*got, strict=True)) == want and len(want) > 48 and out.column("terms")[1].as_py() == b""
+
+
 def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
