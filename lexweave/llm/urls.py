@@ -69,14 +69,13 @@ def suffix_bucket(host: Column) -> Column:
 
 def _entropy(text: Column) -> Column:
     """Shannon entropy of the characters, in bits."""
-    chars, n = F.split(text, ""), F.length(text).cast("double")
-    each = F.transform(F.array_distinct(chars), lambda c: F.size(F.array_remove(chars, c)).cast("double"))
-    return F.when(n > 0, F.aggregate(each, F.lit(0.0), lambda a, left: a - (n - left) / n * F.log2((n - left) / n))).otherwise(0.0)
+    n = F.length(text).cast("double")
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0))  # of equal characters
+    return F.when(n > 0, F.aggregate(runs, F.lit(0.0), lambda a, r: a - F.length(r) / n * F.log2(F.length(r) / n))).otherwise(0.0)
 
 
 def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
     """Each rounded to 6 places, so that equal urls land in equal bins everywhere."""
-    text = F.substring(F.coalesce(url, F.lit("")), 1, 4096)  # the entropy of longer ones is of their first 4096 characters
     whole = F.coalesce(url, F.lit(""))
     count = lambda c, pattern: F.length(F.regexp_replace(c, f"[^{pattern}]", "")).cast("double")
     query = F.when(F.instr(whole, "?") > 0, F.substring_index(F.substring(whole, F.instr(whole, "?") + 1, F.length(whole)), "#", 1)).otherwise("")
@@ -88,8 +87,8 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "depth": count(path, "/"),
         "digits": count(whole, "0-9") / F.greatest(F.lit(1.0), F.length(whole).cast("double")),
         "path_digits": count(path, "0-9"),
-        "entropy": _entropy(text),
-        "host_entropy": _entropy(F.substring(host, 1, 256)),
+        "entropy": _entropy(whole),
+        "host_entropy": _entropy(host),
         "parameters": F.when(F.length(query) > 0, count(query, "&") + 1).otherwise(0.0),
         "language": F.pmod(F.xxhash64(F.regexp_extract(path, r"^/([a-z]{2})/", 1)), F.lit(64)).cast("double"),
         "extension": F.length(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)).cast("double"),

@@ -89,6 +89,16 @@ def test_url_rules_and_trees(spark):
     assert wrong == 0
 
 
+def test_url_entropy_of_whole_strings(spark):
+    made = ["x" * 5000 + "y" * 5000, "", "aab\n\n\U0001f600é.*", "abc" * 200_000, "q" * 300 + "r" * 300]
+    rows = spark.createDataFrame(list(enumerate(made)), "k int, u string")
+    values = urls.features(F.col("u"), F.col("u"), F.lit(""))
+    for r in rows.select("k", values["entropy"].alias("e"), values["host_entropy"].alias("h")).collect():
+        n = len(made[r.k])
+        want = -sum(c / n * math.log2(c / n) for c in Counter(made[r.k]).values())
+        assert abs(r.e - want) < 2e-6 and abs(r.h - want) < 2e-6, (r, want)
+
+
 def bits(text, train, order=3):
     """Code length by explicit contexts, escapes and exclusions."""
     table = defaultdict(Counter)
