@@ -41,6 +41,31 @@ def test_edges(spark):
     assert sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").where("false")).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """A string that another document has earlier leaves every row of the id, whatever follows it there."""
+    q = "".join(chr(0x21 + k) for k in np.random.default_rng(7).integers(0, 90, 400))
+    rows = [(1, "zz" + q[:150]), (5, q + "1"), (5, q + "2")]
+    for local in (1 << 20, 300):
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), local_bytes=local).collect())
+        assert got == [(1, 152, 0), (5, 401, 150), (5, 401, 150)]
+
+
+def test_hot_passage_and_hot_rows(spark):
+    """One passage in every document, with ends that differ, overfills a block under one anchor; one row
+    that stands many times keeps its place."""
+    rng = random.Random(11)
+    shared = "".join(rng.choices("abcdefgh ", k=260))
+    rows = [(d, "".join(rng.choices("klmnop", k=rng.randint(30, 90))) + shared + "".join(rng.choices("qrstuv", k=50))) for d in range(120)]
+    want = sd.brute_force([(d, t.encode()) for d, t in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for block in (1 << 20, 4000, 200):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in sd.remove_repeats(docs, block_bytes=block, local_bytes=900, bucket_bytes=2000).collect()}
+        assert got == want
+    same = spark.createDataFrame([(3, shared)] * 500 + [(9, shared)], "doc_id long, text string").repartition(7)
+    got = {(r.doc_id, r.n_removed) for r in sd.remove_repeats(same, local_bytes=2000).collect()}
+    assert got == {(3, 0), (9, 260)}
+
+
 def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = sd.brute_force([(r.doc_id, r.text.encode()) for r in docs.collect()])
