@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, exact_dedup, language, packing, pii, quality, sharding, simhash, suffix_dedup, urls
-from .common import crc_fold
+from .common import crc_fold, shared_dir
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -56,7 +57,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(_read(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +65,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard(_read(spark, sf_dir, "documents"), 8)
+    placed = sharding.shard(_read(spark, sf_dir, "documents"), 8, map_folder=f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}")
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).drop("vslot")
 
 

@@ -42,7 +42,7 @@ def test_decontaminate_table(spark):
 def test_simhash_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = sh.brute_force({r.doc_id: r.text for r in docs.collect()})
-    got = {r.doc_id: (r.fp & (2**64 - 1), r.component_id) for r in sh.near_groups(docs).collect()}
+    got = {r.doc_id: (int.from_bytes(r.fp, "big"), r.component_id) for r in sh.near_groups(docs).collect()}
     assert got == want
     assert len({c for _, c in want.values()}) < len(want)
 
@@ -54,14 +54,73 @@ def test_simhash_edges(spark):
     assert sh.near_groups(frame(spark, rows).where("false")).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_gray_index_is_exact(seed):
-    rng = random.Random(seed)
-    centres = [rng.getrandbits(64) for _ in range(40)]
-    fps = np.array(sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for c in centres for _ in range(25)}), np.uint64)
-    got = {tuple(sorted(p)) for a, b in sh.GrayIndex(fps).links(4) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
-    assert got == {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
+@pytest.mark.parametrize(("seed", "lanes"), [(1, 1), (2, 1), (3, 4)])
+def test_gray_index_is_exact(seed, lanes):
+    rng, bits, distance = random.Random(seed), 64 * lanes, 4 if lanes == 1 else 40
+    centres = [rng.getrandbits(bits) for _ in range(40)]
+    made = sorted({c ^ sum(1 << b for b in rng.sample(range(bits), rng.randint(0, distance + 1))) for c in centres for _ in range(25)})
+    fps = np.frombuffer(b"".join(f.to_bytes(8 * lanes, "big") for f in made), ">u8").astype(np.uint64).reshape(-1, lanes)
+    got = {tuple(sorted(p)) for a, b in sh.GrayIndex(fps).links(distance) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]).sum(2) <= distance
+    want = {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
+    assert got == want
+    forest = sh._Forest(len(made))
+    for a, b in sh.GrayIndex(fps).links(distance, forest):
+        forest.join(a, b)
+    full = sh._Forest(len(made))
+    full.join(*(np.array(x) for x in zip(*sorted(want), strict=True)))
+    assert (forest.roots() == full.roots()).all()
+    order = sorted(range(len(made)), key=lambda k: tuple(sh.gray_rank(fps[k : k + 1])[0].tolist()))
+    assert order == sorted(range(len(made)), key=lambda k: _rank(made[k])) and _rank(made[0]) ^ (_rank(made[0]) >> 1) == made[0]
+
+
+def _rank(x):
+    out = 0
+    while x:
+        out ^= x
+        x >>= 1
+    return out
+
+
+@pytest.mark.parametrize("n", [100, 10**6, 10**9, 10**11])
+def test_exact_tables_bring_all_within_the_distance_together(n):
+    tables, rng = sh.NARROW.tables(n), random.Random(5)
+    assert n / 2 ** len(tables[0]) <= 2 * sh._BUCKET or len(tables) == 70
+    for _ in range(300):
+        changed = set(rng.sample(range(64), 4))
+        assert any(not changed & set(t.tolist()) for t in tables)
+
+
+def test_wide_tables_keep_their_promise():
+    rng = np.random.default_rng(3)
+    tables = sh.WIDE.tables(10**6)
+    met = [any(not changed[t].any() for t in tables) for changed in (np.isin(np.arange(256), rng.choice(256, 40, replace=False)) for _ in range(400))]
+    assert np.mean(met) > 0.9
+
+
+def test_wide_groups(spark):
+    """Copies with a few words changed are one group; each row has its place, whatever its id."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(900)]
+    rows = []
+    for k in range(60):
+        base = rng.choices(vocab, k=300)
+        rows.append((1000 - k, " ".join(base)))
+        if k < 30:
+            base[rng.randint(0, 299)] = "other"
+            rows.append((k, " ".join(base)))
+    rows += [(None, None), (None, ""), (5000, "tail"), (5000, "tail"), (5001, "tail"), (7, "seven")]
+    docs = frame(spark, rows).repartition(3)
+    path = sh.written(docs)
+    kept = sh.one_of_each(path)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert sorted(str(d) for d, _ in got) == sorted(["None", "5000", "7", *map(str, range(30)), *(str(1000 - k) for k in range(30, 60))])
+    assert sh.one_of_each(path.where("false")).count() == 0
+    texts = {k: t for k, (_, t) in enumerate(rows[:40])}
+    want = sh.brute_force(texts, sh.WIDE)
+    found = {r.doc_id: (int.from_bytes(r.fp, "big"), r.component_id) for r in sh.near_groups(frame(spark, list(texts.items())), sh.WIDE).collect()}
+    assert found == want
 
 
 def test_components_of_a_chain(spark):
