@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns the
 columns of `documents`, the last one pieces of packed sequences. run() applies them in order, each
 stage's rows written and read again in between.
+
+Every stage carries whole rows, so rows that repeat a doc_id are judged one by one and rows without a
+doc_id stay like any other (the last one's pieces have none either). Null and empty texts have no
+language and go in the first stage. Other columns, whatever their names, pass unchanged up to the last
+stage, which drops them. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,15 +29,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space the longest stays. Rows without a doc_id go: nothing
-    later could name them."""
-    return docs.join(exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    """Of texts that are equal but for white space the longest stays, then the one with the smallest
+    doc_id, then one of those that repeat it."""
+    return exact_dedup.one_of_each(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies the document with the smallest doc_id stays."""
-    kept = simhash.near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of near copies, about 0.8 or more of whose five-word shingles are the same, the document with the
+    smallest doc_id stays."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
