@@ -7,29 +7,32 @@ order over 256 bytes. Statistics are frozen after learning, so the code length o
 does not depend on how texts are batched: it is the sum, over its bytes, of the cost in the longest
 context that the language's tree knows. The text is coded in the language that needs the fewest bits.
 
-For scoring, all languages' contexts share one suffix tree and each (context, byte) has its finished
-cost in every language, so a byte takes one step a level and one look-up.
+For scoring, the contexts of a few languages share one suffix tree, in which each (context, byte) has its
+finished cost in each of them, so a byte takes one step a level and one look-up for all of these. A
+language adds a bounded table to the model, at most contexts x symbols x 4 bytes.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import beside, carried, segment_sums, text_buffers, texts_of
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = r"\p{L}"
 UNKNOWN = "und"
+#: Languages that share a tree.
+_TOGETHER = 4
 
 
 @dataclass
-class PpmModel:
+class PpmTree:
     languages: list[str]
     symbol: np.ndarray  # byte -> symbol number; bytes never seen share the last one
     child: np.ndarray  # context, symbol before it -> longer context, or -1
@@ -74,6 +77,21 @@ class PpmModel:
         return out
 
 
+@dataclass
+class PpmModel:
+    """Trees of a few languages each."""
+
+    trees: list[PpmTree]
+
+    @property
+    def languages(self) -> list[str]:
+        return [la for t in self.trees for la in t.languages]
+
+    def classify(self, raw: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+        """Code length of each text in each language."""
+        return np.concatenate([np.zeros((len(offsets) - 1, 0)), *[t.classify(raw, offsets, chunk) for t in self.trees]], axis=1)
+
+
 def _gram_counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
     """(lang, context and symbol as one number, count): 9 bits a symbol, 256 marks the start."""
     found: dict[str, dict[int, int]] = {}
@@ -91,25 +109,31 @@ def _gram_counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(mine), pa.string()), pa.array(list(mine), pa.int64()), pa.array(list(mine.values()), pa.int64())], ["lang", "gram", "n"])
 
 
-def learn(labelled: DataFrame, *, per_language: int = 300, most_languages: int = 64, order: int = 3, most_contexts: int = 12_000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> PpmModel:
-    """Trees from a bounded sample: about `per_language` documents of each language (those with the
-    smallest hash of their id), of the `most_languages` most frequent ones. A tree keeps contexts seen
-    at least twice; of all languages' contexts together the `most_contexts` most frequent stay."""
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("long")).alias("h")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
-    if not sizes:
-        return build({}, order, most_contexts)
-    share = F.create_map(*[F.lit(x) for la, n in sizes.items() for x in (la, int(min(1.0, per_language / n) * (2**62 - 1)))])
-    sample = rows.where(F.coalesce(F.shiftrightunsigned("h", 2) <= F.element_at(share, F.col("lang")), F.lit(False))).select("lang", "text")
+def learn(labelled: DataFrame, *, per_language: int = 300, order: int = 3, contexts: int = 3_000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> PpmModel:
+    """Trees from a bounded sample: about `per_language` documents of each language, those with the
+    smallest hash of their id and text. Every language in the table is learned. A tree keeps contexts
+    seen at least twice; of languages that share one the most frequent `contexts` for each stay."""
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("h")).where("lang is not null and text is not null")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = F.when(F.col("n") <= per_language, F.lit(2**62)).otherwise((F.lit(float(per_language) * 2**62) / F.col("n")).cast("long"))
+    shares = rows.sparkSession.createDataFrame([(r["lang"], r["share"]) for r in sizes.select("lang", share.alias("share")).collect()], "lang string, share long")  # a row a language
+    sample = rows.join(F.broadcast(shares), "lang").where(F.shiftrightunsigned("h", 2) <= F.col("share")).select("lang", "text")
     grams = sample.mapInArrow(lambda b: _gram_counts(b, order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[int, int]] = {la: {} for la in sizes}
-    for r in grams.collect():
-        counts[r["lang"]][r["gram"]] = r["n"]
-    return build(counts, order, most_contexts)
+    counts: dict[str, dict[int, int]] = {}
+    for r in grams.toLocalIterator():
+        counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
+    return build(counts, order, contexts)
+
+
+def build(counts: dict[str, dict[int, int]], order: int, contexts: int) -> PpmModel:
+    """The trees of languages in order, _TOGETHER to a tree, from counts of (order context symbols, symbol)."""
+    known = sorted(la for la, c in counts.items() if c)
+    groups = [known[k : k + _TOGETHER] for k in range(0, len(known), _TOGETHER)]
+    return PpmModel([_tree({la: counts[la] for la in g}, order, contexts * len(g)) for g in groups])
 
 
-def build(counts: dict[str, dict[int, int]], order: int, most_contexts: int) -> PpmModel:
-    """The shared tree and its costs from counts of (order context symbols, symbol)."""
+def _tree(counts: dict[str, dict[int, int]], order: int, most_contexts: int) -> PpmTree:
+    """The shared tree and its costs."""
     languages = sorted(la for la, c in counts.items() if c)
     used = np.zeros(256, bool)
     grams = {}
@@ -164,7 +188,7 @@ def build(counts: dict[str, dict[int, int]], order: int, most_contexts: int) ->
             if own not in done[j]:
                 done[j][own] = _costs(own, table, start)
             cost[k, :start, j] = done[j][own]
-    return PpmModel(languages, symbol, child, cost, order)
+    return PpmTree(languages, symbol, child, cost, order)
 
 
 def _costs(path: tuple[int, ...], table: dict[tuple[int, ...], np.ndarray], symbols: int) -> np.ndarray:
@@ -195,19 +219,21 @@ def identify(docs: DataFrame, model: PpmModel, *, text: str = "text", doc_id: st
 
     score is the posterior of the predicted language under equal priors, with the evidence of a text
     spread over at most 64 bytes' worth of code, so that long texts don't all score 1. A text that is
-    null or has no letter is `und` with score 0, as is every text if nothing was learned; ties go to
-    the language first in order. Repeated rows get one row each; an empty table gives none. With `whole` each row is
+    null or has no letter (Unicode category L) is `und` with score 0, as is every text if nothing was
+    learned; ties go to the language first in order. Repeated rows get one row each; an empty table gives
+    none; a null doc_id stays null. With `whole` each row is
     (row: all its columns, lang_pred, score, bits_per_byte), so a filter needs no join.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: PpmModel = shared.value
+        languages = model.languages
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))
-            lettered = np.array([bool(_LETTER.search(t)) if t else False for t in batch.column(1).to_pylist()], bool)
+            lettered = pc.fill_null(pc.match_substring_regex(batch.column(1), _LETTER), False).to_numpy(zero_copy_only=False).copy()
             sizes = np.diff(offsets)
-            if model.languages and len(sizes):
+            if languages and len(sizes):
                 bits = model.classify(raw, offsets)
                 best = bits.argmin(1)
                 least = bits[np.arange(len(best)), best]
@@ -216,7 +242,7 @@ def identify(docs: DataFrame, model: PpmModel, *, text: str = "text", doc_id: st
                 rate = least / np.maximum(1, sizes)
             else:
                 lettered[:], best, score, rate = False, np.zeros(len(sizes), int), np.zeros(len(sizes)), np.zeros(len(sizes))
-            pred = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
+            pred = [languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
             made = [pa.array(pred, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(rate.astype(np.float64))]
             yield carried(batch, whole, made, ["lang_pred", "score", "bits_per_byte"])
 

@@ -225,6 +225,22 @@ def test_language_code_lengths(spark):
     assert {r.lang_pred for r in language.identify(frame(spark), none).collect()} == {"und"}
 
 
+def test_many_languages_and_letters(spark):
+    """Each of 70 languages is learned; only letters make a text tell a language; rows stay rows."""
+    rng = random.Random(6)
+    speak = {f"l{k:02d}": [" ".join("".join(chr(0x61 + (k * 7 + rng.randint(0, 5) * (k % 9 + 1)) % 26) for _ in range(5)) + chr(0x4E00 + k) for _ in range(12)) for _ in range(6)] for k in range(70)}
+    rows = [(k, t, la) for k, (la, t) in enumerate((la, t) for la, texts in speak.items() for t in texts[:5])]
+    model = language.learn(spark.createDataFrame([*rows, (None, None, "l00"), (1, "x", None)], "doc_id long, text string, lang string"))
+    assert model.languages == sorted(speak)
+    asked = [(k, texts[5]) for k, texts in enumerate(speak.values())] + [(100 + k, t) for k, t in enumerate(["½ 12", "²", "Ⅷ ①", "_", "\u0301", None])] + [(None, speak["l03"][5]), (3, speak["l03"][5])]
+    docs = spark.createDataFrame([(d, t, "x", "y", 0.5, "r") for d, t in asked], "doc_id long, text string, lang_pred string, rest string, bits_per_byte double, row string")
+    told = Counter((r.doc_id, r.lang_pred) for r in language.identify(docs, model).collect())
+    assert told[3, "l03"] == 2 and told[None, "l03"] == 1
+    assert sum(told[k, f"l{k:02d}"] > 0 for k in range(70)) >= 68 and all(told[100 + k, "und"] for k in range(6))
+    whole = language.identify(docs, model, whole=True)
+    assert whole.select("row.*").columns == docs.columns and whole.count() == len(asked)
+
+
 def test_language_and_quality_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     told = q.op2_language(spark, SF).join(docs, "doc_id").where("held_out")
