@@ -1,7 +1,8 @@
 """URL filters: explicit rules first, then gradient-boosted trees on lexical features.
 
 DataFrame functions only. Features are length, depth, digit ratio, entropy, parameter counts and
-suffix statistics (how often labelled hosts with the same hashed last label were blocked). The trees
+target statistics: how often labelled urls were blocked whose host has the same last label, and whose
+path begins with the same two-letter segment, by hash. The trees
 are learned from labelled URLs, here those that a rule covers. Features are cut into a few bins, so a
 tree level is one aggregation over (leaf, feature, bin), and a finished model is a plain expression.
 Gradients are summed as integers, so the same rows give the same trees in any order.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SUFFIX_BUCKETS = 256
+BUCKETS = 256
 _SCALE = 1_000_000
 
 
@@ -63,8 +64,10 @@ def matched(rules: list[Rule], host: Column, path: Column, what: str) -> Column:
     return out
 
 
-def suffix_bucket(host: Column) -> Column:
-    return F.pmod(F.xxhash64(F.substring_index(host, ".", -1)), F.lit(SUFFIX_BUCKETS)).cast("int")
+def keys_of(host: Column, path: Column) -> dict[str, Column]:
+    """The hashed keys of the target statistics."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    return {"suffix": bucket(F.substring_index(host, ".", -1)), "language": bucket(F.regexp_extract(path, r"^/([a-z]{2})/", 1))}
 
 
 def _entropy(text: Column) -> Column:
@@ -90,7 +93,6 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "entropy": _entropy(whole),
         "host_entropy": _entropy(host),
         "parameters": F.when(F.length(query) > 0, count(query, "&") + 1).otherwise(0.0),
-        "language": F.pmod(F.xxhash64(F.regexp_extract(path, r"^/([a-z]{2})/", 1)), F.lit(64)).cast("double"),
         "extension": F.length(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)).cast("double"),
         "secure": F.startswith(whole, F.lit("https:")).cast("double"),
     }
@@ -99,9 +101,10 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
 
 @dataclass
 class Trees:
-    """Suffix statistics, bin edges of each feature, and trees of nested (feature, bin, left, right)."""
+    """Target statistics by bucket, bin edges of each feature, and trees of nested (feature, bin, left,
+    right)."""
 
-    suffix: list[float]
+    rates: dict[str, list[float]]
     edges: dict[str, list[float]]
     trees: list = field(default_factory=list)
     bias: float = 0.0
@@ -110,8 +113,10 @@ class Trees:
         """How many edges lie below the value."""
         return {k: reduce(lambda a, b: a + b, [(values[k] > e).cast("int") for e in edges], F.lit(0)) for k, edges in self.edges.items()}
 
-    def suffix_rate(self, host: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(x) for x in self.suffix]), suffix_bucket(host) + 1)
+    def values(self, url: Column, host: Column, path: Column) -> dict[str, Column]:
+        """All features; a statistic is the blocked share of the url's bucket."""
+        keys = keys_of(host, path)
+        return features(url, host, path) | {k: F.element_at(F.array(*[F.lit(x) for x in rate]), keys[k] + 1) for k, rate in self.rates.items()}
 
     def margin(self, binned: dict[str, Column]) -> Column:
         return reduce(lambda a, b: a + b, [_value(t, binned) for t in self.trees], F.lit(self.bias))
@@ -146,23 +151,24 @@ def learn(labelled: DataFrame, *, rounds: int = 6, depth: int = 3, rate: float =
     """Trees from rows of (url, host, path, blocked 0/1); about `most_rows` of them at most, those
     with the smallest hash of the url. Without rows every url is allowed."""
     rows = labelled.where("blocked is not null").select("url", "host", "path", F.col("blocked").cast("int").alias("y"))
-    totals = rows.groupBy(suffix_bucket(F.col("host")).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()  # as many rows as buckets
-    n, blocked = sum(r["n"] for r in totals), sum(r["y"] for r in totals)
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), b.alias("b")) for k, b in keys_of(F.col("host"), F.col("path")).items()])).alias("at")
+    totals = rows.select("y", keys).groupBy("at.k", "at.b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()  # statistics x buckets
+    n, blocked = sum(r["n"] for r in totals if r["k"] == "suffix"), sum(r["y"] for r in totals if r["k"] == "suffix")
     prior = (blocked + 0.5) / (n + 1)
-    suffix = [prior] * SUFFIX_BUCKETS
+    rates = {k: [round(prior, 6)] * BUCKETS for k in ("suffix", "language")}
     for r in totals:
-        suffix[r["b"]] = round((r["y"] + 10 * prior) / (r["n"] + 10), 6)
-    model = Trees(suffix, {}, [], round(math.log(prior / (1 - prior)), 6) if n else -1.0)
+        rates[r["k"]][r["b"]] = round((r["y"] + 10 * prior) / (r["n"] + 10), 6)
+    model = Trees(rates, {}, [], round(math.log(prior / (1 - prior)), 6) if n else -1.0)
     if not n or blocked in (0, n):
         model.bias = 1.0 if n and blocked == n else -1.0
         return model
     share = int(min(1.0, most_rows / n) * (2**62 - 1))
     picked = rows.where(F.shiftrightunsigned(F.xxhash64("url"), 2) <= share)
-    values = features(F.col("url"), F.col("host"), F.col("path")) | {"suffix": model.suffix_rate(F.col("host"))}
+    values = model.values(F.col("url"), F.col("host"), F.col("path"))
     table = picked.select("y", *[v.alias(k) for k, v in values.items()])
     names = list(values)
     quantiles = table.agg(*[F.percentile(k, F.array(*[F.lit(q / bins) for q in range(1, bins)])).alias(k) for k in names]).first()
-    model.edges = {k: sorted({round(x, 6) for x in quantiles[k]} | ({0.0} if k in ("parameters", "extension", "hyphens") else set())) if k != "language" else [float(x) for x in range(63)] for k in names}
+    model.edges = {k: sorted({round(x, 6) for x in quantiles[k]} | ({0.0} if k in ("parameters", "extension", "hyphens") else set())) for k in names}
     binned = model.bins({k: F.col(k) for k in names})
     packed = written(table.select("y", *[b.alias(k) for k, b in binned.items()]).groupBy("y", *names).agg(F.count(F.lit(1)).alias("w")))
     cols = {k: F.col(k) for k in names}
@@ -219,7 +225,7 @@ def judge(pages: DataFrame, rules: list[Rule], *, model: Trees | None = None, ur
     ruled = rows.withColumns({"rule": matched(rules, F.col("host"), F.col("path"), "name"), "said": matched(rules, F.col("host"), F.col("path"), "verdict")})
     if model is None:
         model = learn(ruled.where("said is not null").select("url", "host", "path", (F.col("said") == "block").cast("int").alias("blocked")))
-    values = features(F.col("url"), F.col("host"), F.col("path")) | {"suffix": model.suffix_rate(F.col("host"))}
+    values = model.values(F.col("url"), F.col("host"), F.col("path"))
     used = {k: v for k, v in values.items() if k in model.edges}
     scored = ruled.withColumns({f"__{k}": b for k, b in model.bins(used).items()})
     margin = model.margin({k: F.col(f"__{k}") for k in used})

@@ -162,6 +162,52 @@ def test_url_rules_and_trees(spark):
     assert wrong == 0
 
 
+def test_url_trees_against_brute_force(spark):
+    """The first tree's splits are the best there are, its leaves the steps of their rows."""
+    rng = random.Random(9)
+    made = sorted({("http%s://%s%d.%s/%s/%d?a=%d" % (rng.choice(["", "s"]), rng.choice(["cas-", "n"]), rng.randint(0, 30), rng.choice(["com", "net"]), rng.choice(["de", "fr", "x/y/z"]), rng.randint(0, 9999), rng.randint(0, 9)),) for _ in range(400)})
+    host, path = urls.parts_of(F.col("url"))
+    rows = spark.createDataFrame(made, "url string").select("url", host.alias("host"), path.alias("path")).withColumn("blocked", (F.contains("host", F.lit("cas-")) & (F.crc32(F.col("url").cast("binary")) % 5 > 0) | F.contains("path", F.lit("/9"))).cast("int"))
+    model = urls.learn(rows, rounds=1, depth=2, rate=0.5, bins=8)
+    binned = model.bins(model.values(F.col("url"), F.col("host"), F.col("path")))
+    names = sorted(binned)
+    got = rows.select("blocked", *[binned[k].alias(k) for k in names]).collect()
+    x, y = np.array([[r[k] for k in names] for r in got]), np.array([r.blocked for r in got])
+    p = 1 / (1 + np.exp(-model.bias))
+    g, h = np.round((y - p) * 1e6) / 1e6, np.full(len(y), round(p * (1 - p), 6))
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+
+    def gain(m, f, b):
+        left, right = m & (x[:, f] <= b), m & (x[:, f] > b)
+        return score(left) + score(right) - score(m) if min(h[left].sum(), h[right].sum()) >= 1 else -1
+
+    def check(tree, m, depth):
+        best = max([gain(m, f, b) for f in range(len(names)) for b in range(x[:, f].max() + 1)]) if depth < 2 else -1
+        if isinstance(tree, float):
+            assert best <= 1e-6 and abs(tree - 0.5 * g[m].sum() / (h[m].sum() + 1)) < 1e-5
+            return 0
+        name, at, low, high = tree
+        f = names.index(name)
+        assert gain(m, f, at) >= best - 1e-6
+        return 1 + check(low, m & (x[:, f] <= at), depth + 1) + check(high, m & (x[:, f] > at), depth + 1)
+
+    assert check(model.trees[0], np.ones(len(y), bool), 0) >= 2
+    judged = urls.judge(spark.createDataFrame([(None, made[0][0], 1.0), (None, None, 1.0)], "page_id long, url string, score double"), [], model=model).collect()
+    assert [r.page_id for r in judged] == [None, None]
+
+
+def test_urls_of_held_out_hosts(spark):
+    """Trees learned from the ruled urls of some hosts tell those of others."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    host, path = urls.parts_of(F.col("url"))
+    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    rows = rows.withColumn("said", urls.matched(q.URL_RULES, F.col("host"), F.col("path"), "verdict")).where("said is not null")
+    held = F.pmod(F.xxhash64("host"), F.lit(4)) == 0
+    model = urls.learn(rows.where(~held).select("url", "host", "path", (F.col("said") == "block").cast("int").alias("blocked")))
+    told = urls.judge(rows.where(held).select("page_id", "url"), [], model=model).join(rows.select("page_id", "said"), "page_id")
+    assert told.where("said = verdict").count() >= 0.9 * told.count()
+
+
 def test_url_entropy_of_whole_strings(spark):
     made = ["x" * 5000 + "y" * 5000, "", "aab\n\n\U0001f600é.*", "abc" * 200_000, "q" * 300 + "r" * 300]
     rows = spark.createDataFrame(list(enumerate(made)), "k int, u string")
