@@ -56,7 +56,7 @@ def _places(source: str, pattern: str, kind: int) -> str:
 
 
 PII = rf"""
-    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents),
          m AS ({_places("d", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0)}
                UNION ALL {_places("d", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 1)}
                UNION ALL {_places("d", r"[0-9]([\x20-]?[0-9])+", 2)}
@@ -69,14 +69,13 @@ PII = rf"""
                                        list_sum([CASE WHEN i % 2 = 0 THEN digits[i + 1]::int WHEN digits[i + 1]::int > 4 THEN digits[i + 1]::int * 2 - 9
                                                       ELSE digits[i + 1]::int * 2 END FOR i IN range(length(digits))]) % 10 = 0
                                   ELSE length(digits) BETWEEN 10 AND 15 END),
-         near AS (SELECT DISTINCT kind, value, substring(text, greatest(start + 1 - 60, 1), least(start, 60)) AS b, substring(text, stop + 1, 60) AS a
+         near AS (SELECT row, kind, value, substring(text, greatest(start + 1 - 60, 1), least(start, 60)) AS b, substring(text, stop + 1, 60) AS a
                   FROM base JOIN d USING (doc_id)),
-         entities AS (SELECT kind, value, count(*) AS n_entity FROM near GROUP BY ALL HAVING count(*) >= 3),
-         beside AS (SELECT kind, value, unnest(list_distinct(regexp_extract_all(
+         beside AS (SELECT row, kind, value, b, a, unnest(list_distinct(regexp_extract_all(
                            regexp_replace(b, '^\p{{L}}+', '') || ' ' || regexp_replace(a, '\p{{L}}+$', ''), '\p{{L}}{{3,}}'))) AS term FROM near),
-         joints AS (SELECT kind, value, term, count(*) AS joint FROM beside GROUP BY ALL),
-         shares AS (SELECT *, sum(joint) OVER (PARTITION BY term) AS n_beside FROM joints),
-         likely AS (SELECT term, joint, n_entity FROM shares JOIN entities USING (kind, value) WHERE joint >= 3 AND joint >= 0.5 * n_beside),
+         entities AS (SELECT kind, value, count(DISTINCT row) AS n_entity FROM near GROUP BY ALL),
+         joints AS (SELECT kind, value, term, count(DISTINCT row) AS joint, count(DISTINCT (b, a)) AS contexts FROM beside GROUP BY ALL),
+         likely AS (SELECT term, joint, n_entity FROM joints JOIN entities USING (kind, value) WHERE contexts >= 3),
          counts AS (SELECT term, count(*) AS n_term
                     FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '\p{{L}}{{3,}}'))) AS term FROM d) SEMI JOIN likely USING (term) GROUP BY term),
          terms AS (SELECT DISTINCT term FROM likely JOIN counts USING (term)

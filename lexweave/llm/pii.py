@@ -115,7 +115,7 @@ def disclosing_terms(found: DataFrame, text: str, rule: Disclosure) -> DataFrame
     Only terms near an entity can disclose it, so those are gathered first, and then counted over the
     documents of the whole corpus."""
     ends = lambda s: (F.greatest(s["start"] + 1 - rule.reach, F.lit(1)), F.least(s["start"], F.lit(rule.reach)))
-    context = lambda s: F.struct(F.xxhash64(s["kind"], s["value"]).alias("entity"), F.substring(F.col(text), *ends(s)).alias("b"), F.substring(F.col(text), s["end"] + 1, F.lit(rule.reach)).alias("a"))
+    context = lambda s: F.struct(F.concat_ws(":", s["kind"].cast("string"), s["value"]).alias("entity"), F.substring(F.col(text), *ends(s)).alias("b"), F.substring(F.col(text), s["end"] + 1, F.lit(rule.reach)).alias("a"))
     held = written(found.where(F.size("base") > 0).select(F.transform("base", context).alias("near")))
     # a term cut off by the edge of the context doesn't count
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.concat(F.regexp_replace(c["b"], r"^\p{L}+", ""), F.lit(" "), F.regexp_replace(c["a"], r"\p{L}+$", "")), F.lit(_TERM), F.lit(0)))
@@ -125,8 +125,8 @@ def disclosing_terms(found: DataFrame, text: str, rule: Disclosure) -> DataFrame
     documents = lambda each, name: held.select(F.explode(F.array_distinct(each)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias(name))
     entities = documents(F.col("near.entity"), "n_entity").withColumnRenamed("x", "entity")
     beside = documents(F.flatten(F.transform("near", words)), "n_beside").withColumnRenamed("x", "term")
-    told = documents(F.flatten(F.transform("near", lambda c: F.transform(words(c), lambda w: F.concat_ws(" ", c["entity"].cast("string"), w)))), "joint")
-    joint = told.select(F.substring_index("x", " ", 1).cast("long").alias("entity"), F.substring_index("x", " ", -1).alias("term"), "joint")
+    told = documents(F.flatten(F.transform("near", lambda c: F.transform(words(c), lambda w: F.struct(c["entity"].alias("entity"), w.alias("term"))))), "joint")
+    joint = told.select("x.entity", "x.term", "joint")
     # the term stands in as many documents at least as it does near entities
     likely = contexts.drop("contexts").join(joint, ["entity", "term"]).join(beside, "term").where(F.col("joint") >= rule.likely * F.col("n_beside")).drop("n_beside")
     pairs = written(likely.join(entities, "entity"))
@@ -149,15 +149,16 @@ def find(docs: DataFrame, *, rule: Disclosure | None = None, text: str = "text",
     entity.
     """
     rule = rule or Disclosure()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
-    found = rows.withColumn("base", base_spans(F.col("text")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    # the patterns run once; what follows reads their spans beside the texts
+    found = written(rows.withColumn("base", base_spans(F.col("text"))))
     terms = written(disclosing_terms(found, "text", rule).select("term").distinct())
     if terms.isEmpty():
-        return found.withColumn("spans", F.col("base"))
-    holding = rows.select(F.xxhash64("text").alias("key"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))).alias("term")).join(terms, "term", "left_semi")
-    # per text at most as many terms as it has words
-    lists = holding.distinct().groupBy("key").agg(F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.sort_array(F.collect_list("term")), "|"), F.lit(r")(?!\p{L})")).alias("pattern"))
-    both = found.withColumn("key", F.xxhash64("text")).join(written(lists), "key", "left")
+        return found.select("doc_id", "text", "base", F.col("base").alias("spans"))
+    holding = found.select("row", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)))).alias("term")).join(terms, "term", "left_semi")
+    # per row at most as many terms as it has words
+    lists = holding.groupBy("row").agg(F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.sort_array(F.collect_list("term")), "|"), F.lit(r")(?!\p{L})")).alias("pattern"))
+    both = found.join(written(lists), "row", "left")
     extra = F.when(F.col("pattern").isNotNull(), matches(F.col("text"), F.col("pattern"), len(PATTERNS))).otherwise(F.array().cast(_FOUND))
     clear = F.filter(extra, lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
     return both.select("doc_id", "text", "base", F.array_sort(F.concat(F.col("base"), clear)).alias("spans"))

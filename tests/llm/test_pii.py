@@ -80,3 +80,12 @@ def test_copies_count_alike_on_both_sides(spark):
     rows = [(k, f"{w} Zanzibar {w} bob@x.org") for k, w in enumerate(("one", "two", "three", "four", "five")) for _ in range(20)]
     docs = spark.createDataFrame(rows + [(10, "Zanzibar"), *((20 + k, "plain words") for k in range(6000))], "doc_id long, text string")
     assert {r.doc_id: r.spans for r in pii.digest_of(pii.find(docs)).collect()}[10] == "term:0:8"
+
+
+def test_odd_rows(spark):
+    """Null ids, repeated rows and columns that clash with what the operator makes."""
+    text = "call +1 234 567 8901 or bob@x.org"
+    rows = [(None, text), (4, text), (4, text), (5, None)]
+    docs = spark.createDataFrame([(d, t, "k", "p", 1, "t", "r") for d, t in rows], "doc_id long, text string, key string, pattern string, row long, term string, base string")
+    got = sorted(((r.doc_id, r.spans) for r in pii.digest_of(pii.find(docs)).collect()), key=str)
+    assert got == sorted([(d, "phone:5:20,email:24:33" if t else "") for d, t in rows], key=str)
