@@ -25,6 +25,14 @@ def test_decontaminate_edges(spark):
     for slice_chars in (4_000_000, 60):
         got = dc.digest_of(dc.decontaminate(docs, items, slice_chars=slice_chars)).collect()
         assert sorted(map(tuple, got)) == sorted((d, *w) for (d, _), w in zip(rows, want, strict=True))
+    for chars in (4_000_000, 60):  # whole rows, ids of none and columns that clash among them
+        odd = spark.createDataFrame([(d, t, 1, 2, "w", "i") for d, t in [*rows, (None, "short item"), (None, None)]], "doc_id long, text string, __row long, __all long, words string, items string")
+        whole = dc.decontaminate(odd, items, slice_chars=chars, whole=True)
+        assert whole.select("row.*").columns == odd.columns
+        told = sorted(((r.row.doc_id, r.row.text, len(r["items"])) for r in whole.collect()), key=str)
+        assert told == sorted([(d, t, w[2]) for (d, t), w in zip(rows, want, strict=True)] + [(None, "short item", 1), (None, None, 0)], key=str)
+        both = dc.decontaminate(docs, items, slice_chars=chars).where("doc_id = 1").collect()[0]
+        assert [rows[0][1][s.first : s.last] for s in both.spans] == [", ".join(words[:11]), "short item"]
     spans = dc.decontaminate(docs, items).where("doc_id = 4 and size(spans) > 0").first().spans
     assert [(s.first, s.last) for s in spans] == [(0, 22)]
     assert dc.digest_of(dc.decontaminate(docs, items.where("false"))).where("contaminated").count() == 0
