@@ -63,7 +63,7 @@ class Similarity:
 #: The settings of the query: exact at four bits.
 NARROW = Similarity()
 #: Five-word shingles with a Jaccard similarity of 0.8 have about 15 % of their bits different.
-WIDE = Similarity(words=5, lanes=4, distance=40, recall=0.95)
+WIDE = Similarity(words=5, lanes=4, distance=40, recall=0.9)
 
 
 def _mixed(h: np.ndarray, odd: int) -> np.ndarray:
@@ -357,7 +357,7 @@ def one_of_each(docs: DataFrame, like: Similarity = WIDE, *, text: str = "text",
     ids = written(ids)
     best = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("best"))
     gone = ids.join(best.select("best.row"), "row", "left_anti").select(F.col("row").alias("__row"))
-    return rows.join(gone, "__row", "left_anti").select("__all.*")
+    return rows.join(gone.hint("merge"), "__row", "left_anti").select("__all.*")
 
 
 def brute_force(texts: dict[int, str | None], like: Similarity = NARROW) -> dict[int, tuple[int, int]]:
