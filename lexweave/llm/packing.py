@@ -1,7 +1,9 @@
 """Packing by lexical retrieval.
 
 A document's ids are cut into full windows, which need no company, and a remainder. Remainders are
-dealt to shards of bounded size. Each shard keeps a BM25 inverted index over all ids of its
+dealt to shards of bounded size by content: a tree, learned from a bounded sample of remainders, splits
+them along the direction in which their weighted ids differ most, so lexical neighbours tend
+to fall into one leaf. Leaves that hold more than a shard are split again. Each shard keeps a BM25 inverted index over all ids of its
 remainders but the end id; ids that many remainders hold are kept as dense rows. The longest unused
 remainder opens a sequence and queries the index; its unused neighbours fill the window greedily, best
 score first, and what is left open goes to the largest remainders that still fit.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import texts_of, written
 
 WINDOW, END_ID, SHARD_ROWS = 4096, 2, 4096
 _loaded: dict[str, WordEncoder] = {}
@@ -147,6 +149,95 @@ def _cut(path: str, window: int, end_id: int):
     return mapped
 
 
+def _flat(terms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, id and count of every posting."""
+    own = [np.frombuffer(t, "<u4").reshape(2, -1) for t in terms]
+    row = np.repeat(np.arange(len(own)), [o.shape[1] for o in own])
+    return row, np.concatenate([np.zeros(0, np.uint32), *[o[0] for o in own]]).astype(np.int64), np.concatenate([np.zeros(0, np.uint32), *[o[1] for o in own]]).astype(np.float64)
+
+
+class Router:
+    """A binary tree over remainders. Ids are weighted by inverse document frequency in the sample and
+    hashed to `DIMS` places. A node is a direction, the one its sample rows differ most in, and the cut along
+    it that leaves the two sides least spread; neither side gets under a tenth of the rows."""
+
+    DIMS = 2048
+
+    def __init__(self, terms: list[bytes], share: float, least: int = 32):
+        """Nodes are split while they hold more than `share` of the sample, and twice `least` rows."""
+        self.child: list[tuple[int, int] | None] = [None]
+        self.direction, self.cut = np.zeros((1, self.DIMS), np.float32), [0.0]
+        row, ids, tf = _flat(terms)
+        self.known, inverse = np.unique(ids, return_inverse=True)
+        self.idf = np.log((len(terms) + 1) / (np.bincount(inverse) + 0.5)) if len(ids) else np.zeros(0)
+        self.rare = float(np.log(2 * (len(terms) + 1)))
+        place, weight = self._weighted(row, ids, tf, len(terms))
+        x = np.zeros((len(terms), self.DIMS), np.float32)
+        np.add.at(x, (row, place), weight)
+        directions, rng, todo = [self.direction[0]], np.random.default_rng(1), [(0, np.arange(len(terms)))]
+        while todo:
+            k, own = todo.pop()
+            if len(own) <= max(share * len(terms), 2 * least):
+                continue
+            here = x[own] - x[own].mean(0)
+            v = rng.normal(size=self.DIMS).astype(np.float32)
+            for _ in range(12):
+                v = here.T @ (here @ v)
+                v /= np.linalg.norm(v) + 1e-12
+            along = np.sort(x[own] @ v)
+            low, high = max(1, len(own) // 10), len(own) - max(1, len(own) // 10)
+            ahead = np.cumsum(along)
+            i = np.arange(low, high + 1)
+            between = (ahead[i - 1] / i - (ahead[-1] - ahead[i - 1]) / (len(own) - i)) ** 2 * i * (len(own) - i)
+            between[along[i] == along[i - 1]] = -1  # equal rows stay together
+            if between.max() <= 0:
+                continue
+            at = i[between.argmax()]
+            directions[k], self.cut[k] = v, float(along[at - 1] + along[at]) / 2
+            right = x[own] @ v > self.cut[k]
+            self.child[k] = (len(self.child), len(self.child) + 1)
+            todo += [(len(self.child), own[~right]), (len(self.child) + 1, own[right])]
+            self.child += [None, None]
+            self.cut += [0.0, 0.0]
+            directions += [self.direction[0]] * 2
+        self.direction = np.array(directions)
+
+    def _weighted(self, row: np.ndarray, ids: np.ndarray, tf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.known, ids), len(self.known) - 1)
+        weight = np.where(self.known[at] == ids, self.idf[at], self.rare) * (1 + np.log(tf)) if len(self.known) else tf
+        norm = np.sqrt(np.bincount(row, weight**2, n)) + 1e-12
+        return (ids * 2654435761 >> 7) % self.DIMS, weight / norm[row]
+
+    def order(self) -> list[int]:
+        """The leaves, neighbours in the tree side by side."""
+        out, todo = [], [0]
+        while todo:
+            k = todo.pop()
+            if self.child[k] is None:
+                out.append(k)
+            else:
+                todo += reversed(self.child[k])
+        return out
+
+    def leaves(self, terms: list[bytes]) -> np.ndarray:
+        node, inner = np.zeros(len(terms), np.int64), np.array([c is not None for c in self.child])
+        left = np.array([c[0] if c else 0 for c in self.child])
+        row, ids, tf = _flat(terms)
+        place, weight = self._weighted(row, ids, tf, len(terms))
+        while len(row):
+            live = inner[node[row]]
+            row, place, weight = row[live], place[live], weight[live]
+            along = np.bincount(row, self.direction[node[row], place] * weight, len(terms))
+            move = np.flatnonzero(inner[node])
+            node[move] = left[node[move]] + (along[move] > np.array(self.cut)[node[move]])
+            live = inner[node[row]]
+            row, place, weight = row[live], place[live], weight[live]
+        while inner[node].any():  # rows without ids
+            move = np.flatnonzero(inner[node])
+            node[move] = left[node[move]] + (0 > np.array(self.cut)[node[move]])
+        return node
+
+
 class Bm25:
     """Inverted index of one shard: postings by term, with finished weights."""
 
@@ -247,16 +338,55 @@ def _packed(window: int):
     return mapped
 
 
-def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int = END_ID, shard_rows: int = SHARD_ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def _routed(router: Router, names: list[str]):
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index("terms")
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                some = batch.slice(first, 1024)
+                leaf = router.leaves([t or b"" for t in some.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(leaf, pa.int64())], [*names, "leaf"])
+
+    return mapped
+
+
+def sharded(cut: DataFrame, shard_rows: int, sample_rows: int) -> DataFrame:
+    """The table with `shard` beside its columns: a leaf of the router and, where a leaf holds more than
+    `shard_rows` rows, a part of it by row number. cut: a written table."""
+    n = cut.count()
+    share = int(min(1.0, sample_rows / max(1, n)) * (2**62 - 1))
+    picked = cut.where(F.shiftrightunsigned(F.xxhash64("row"), 2) <= share).where("terms is not null")
+    sample = [bytes(r["terms"]) for r in picked.select("terms", "row").orderBy("row").toLocalIterator()] if n > shard_rows else []
+    router = Router(sample, shard_rows / max(1, n))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields)
+    routed = written(cut.mapInArrow(_routed(router, cut.columns), f"{fields}, leaf long"))
+    sizes = {r["leaf"]: r["n"] for r in routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a leaf, at most sample_rows / 32
+    base, rows, room = -1, [], 0
+    for leaf in router.order():
+        size = sizes.get(leaf, 0)
+        if size > shard_rows:
+            parts = -(-size // shard_rows)
+            rows.append((leaf, base + 1, parts))
+            base, room = base + parts, 0
+        elif size:  # small leaves share a shard with their neighbours
+            if size > room:
+                base, room = base + 1, shard_rows
+            rows.append((leaf, base, 1))
+            room -= size
+    place = cut.sparkSession.createDataFrame(rows, "leaf long, base long, parts long")
+    return routed.join(F.broadcast(place), "leaf").withColumn("shard", F.col("base") + F.pmod(F.xxhash64("row"), F.col("parts"))).drop("leaf", "base", "parts", "row")
+
+
+def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int = END_ID, shard_rows: int = SHARD_ROWS, sample_rows: int = 4096, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are the end id alone. Repeated rows are packed one by one. A null doc_id stays
     null. An empty table gives no rows; other columns are ignored. A shard holds about `shard_rows`
-    remainders, so memory doesn't grow with the table. `tokenizer` is the path of the vocabulary file,
-    which every worker can read.
+    remainders, so memory doesn't grow with the table. The tree that deals them is learned from about
+    `sample_rows` remainders, those with the smallest hash, and has at most a leaf for 32 of these; every
+    row is dealt, all of them from one written table, so a task run again deals alike. `tokenizer` is the
+    path of the vocabulary file, which every worker can read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    shards = max(1, -(-rows.count() // shard_rows))
-    cut = rows.mapInArrow(_cut(tokenizer, window, end_id), _CUT)
-    shard = F.pmod(F.xxhash64("doc_id", "doc_tokens", "crc", F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(shards))
-    return cut.withColumn("shard", shard).groupBy("shard").applyInArrow(_packed(window), _PACKED)
+    cut = written(rows.mapInArrow(_cut(tokenizer, window, end_id), _CUT).withColumn("row", F.monotonically_increasing_id()))
+    return sharded(cut, shard_rows, sample_rows).groupBy("shard").applyInArrow(_packed(window), _PACKED)

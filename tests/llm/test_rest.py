@@ -363,6 +363,64 @@ def test_packing_indexes_all_ids():
     assert dict(zip(*got, strict=True)) == want and len(want) > 48 and out.column("terms")[1].as_py() == b""
 
 
+def test_fill_against_brute_force():
+    """Seeds, neighbours and what closes a sequence, step by step, with scores from the formula."""
+    rng = random.Random(12)
+    for _ in range(12):
+        docs = [Counter(rng.choices(range(30), k=rng.randint(1, 25))) for _ in range(40)]
+        lengths = [sum(d.values()) + 1 + rng.randint(0, 3) for d in docs]
+        window, mean = 64, sum(lengths) / len(lengths)
+        df = Counter(t for d in docs for t in d)
+
+        def score(seed, other):
+            total = 0.0
+            for t in docs[seed]:
+                if t in docs[other]:
+                    tf = docs[other][t]
+                    total += math.log1p((40 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[other] / mean))
+            return total
+
+        left, want = set(range(40)), []
+        while left:
+            row = [max(left, key=lambda i: (lengths[i], i))]
+            left -= {row[0]}
+            room = window - lengths[row[0]]
+            near = sorted((i for i in left if lengths[i] <= room and score(row[0], i) > 0), key=lambda i: (-round(score(row[0], i), 9), i))
+            for i in near:
+                if not left or min(lengths[k] for k in left) > room:
+                    break
+                if lengths[i] <= room and (lengths[i] == room or room - lengths[i] >= min(lengths[k] for k in left)):
+                    row.append(i)
+                    left -= {i}
+                    room -= lengths[i]
+            while fitting := [i for i in left if lengths[i] <= room]:
+                row.append(max(fitting, key=lambda i: (lengths[i], i)))
+                left -= {row[-1]}
+                room -= lengths[row[-1]]
+            want.append(row)
+        terms = [np.array([sorted(d), [d[t] for t in sorted(d)]], "<u4").tobytes() for d in docs]
+        assert packing.fill(np.array(lengths), packing.Bm25(terms, np.array(lengths)), window) == want
+
+
+def test_shards_by_content(spark):
+    """Remainders that speak alike meet; every row has a shard, none holds too many, and copies are split."""
+    rng = random.Random(4)
+    topics = [[rng.randint(0, 40_000) for _ in range(60)] for _ in range(8)]
+    made = []
+    for k in range(1600):
+        ids = sorted(set(rng.choices(topics[k % 8], k=20)))
+        made.append((k, 5, None, 0, 21, k, bytearray(np.array([ids, [1] * len(ids)], "<u4").tobytes())))
+    made += [(5000 + k, 5, None, 0, 2, 7, bytearray(made[0][6])) for k in range(900)] + [(9000, 1, None, None, None, None, None), (9001, 1, None, 0, 1, 3, bytearray())]
+    cut = packing.written(spark.createDataFrame(made, packing._CUT).withColumn("row", F.monotonically_increasing_id()))
+    one, two = ({r.doc_id: r.shard for r in packing.sharded(cut, 200, 512).collect()} for _ in range(2))
+    assert one == two and len(one) == len(made)
+    sizes = Counter(one.values())
+    assert max(sizes.values()) < 320
+    together = sum(one[a] == one[b] for a in range(0, 1600) for b in (a + 8, a + 16) if b < 1600)
+    assert together > 0.6 * 3176
+    assert packing.sharded(cut.where("false"), 200, 512).count() == 0
+
+
 def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
