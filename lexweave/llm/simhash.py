@@ -49,7 +49,7 @@ class Similarity:
         """The bits of each table's key, for n fingerprints."""
         bits, want = 64 * self.lanes, max(8, math.ceil(math.log2(max(1, n) / _BUCKET + 1)))
         if self.recall is None:
-            blocks = self.distance + 1
+            blocks = self.distance + 2
             while (bits * (blocks - self.distance)) // blocks < want and blocks < 2 * self.distance:
                 blocks += 1
             edges = [round(bits * k / blocks) for k in range(blocks + 1)]
