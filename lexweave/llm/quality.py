@@ -43,9 +43,6 @@ def featurise(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.nd
     rows, n = len(offsets) - 1, len(raw)
     kind = _CLASS[raw]
     blank = (kind == 5) | (kind == 8)
-    edge = np.ones(n + 1, bool)
-    edge[:n] = blank
-    edge[offsets[:-1][offsets[:-1] < n]] |= False
     inside = ~blank
     begins = inside.copy()
     begins[1:] &= blank[:-1]
@@ -79,8 +76,10 @@ def featurise(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.nd
     long_ = np.bincount(row, length > 15, minlength=rows)[:rows]
     tail_kind = kind[ends - 1]
     odd_end = np.bincount(row, (tail_kind == 4) & (length > 1), minlength=rows)[:rows]
-    full = np.unique(np.stack([row.astype(np.uint64), h]), axis=1)[0].astype(np.int64) if len(h) else np.zeros(0, np.int64)
-    distinct = np.bincount(full, minlength=rows)[:rows]
+    order = np.lexsort((h, row))
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (row[order[1:]] != row[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
+    distinct = np.bincount(row[order[fresh]], minlength=rows)[:rows]
     top = np.zeros(rows)
     np.maximum.at(top, owner, count)
     stats = np.stack([np.log1p(np.diff(offsets)) / 10, share(kind == 1), share(kind == 2), share(kind == 3), share(kind == 4), share(blank), share(kind == 7), share(kind == 8), total / per_word / 10, long_ / per_word, np.log1p(words) / 10, distinct / per_word, top / per_word, odd_end / per_word], axis=1)
@@ -178,7 +177,8 @@ def score(docs: DataFrame, machine: Machine, *, threshold: float = 0.3, text: st
     """doc_id, score (0 to 1), predicted (1 from `threshold` on) of every row's whole text.
 
     Null texts count as empty and are scored by their statistics alone; a machine that learned nothing
-    scores 0.5. Repeated rows get one row each; an empty table gives none. Other columns are ignored.
+    scores 0.5. Repeated rows get one row each; an empty table gives none; a null doc_id stays null. Other
+    columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 

@@ -305,6 +305,8 @@ def test_quality_machine(spark):
     assert all((got[k].score > 0.5) == bool(k % 2) for k in range(200)) and got[900].score == got[901].score
     assert {r.score for r in quality.score(frame(spark), quality.learn(frame(spark), labels.where("false"))).collect()} == {0.5}
     assert quality.score(frame(spark).where("false"), machine).count() == 0
+    assert sorted(str(r.doc_id) for r in quality.score(frame(spark), machine).collect()) == sorted(str(d) for d, _ in ODD)
+    assert {r.score for r in quality.score(frame(spark), quality.learn(frame(spark).where("false"), labels)).collect()} == {0.5}
     idx, weight, at, stats = quality.featurise(np.frombuffer(b"a b ac", np.uint8), np.array([0, 3, 3, 6]), 64)
     assert np.diff(at).tolist() == [2, 0, 1]
     one = machine.margin(idx, weight, at, stats)
