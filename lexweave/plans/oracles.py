@@ -83,6 +83,62 @@ _WP_LOOP = f"""WITH RECURSIVE {WORDS}, start AS (SELECT {_wrapped(_PIECES)} AS s
                         GROUP BY 1, 2)))
             ORDER BY x.c::DOUBLE / (cs[x.l]::DOUBLE * cs[x.r]::DOUBLE) DESC, x.l, x.r LIMIT 1) b WHERE p.it < 10)"""
 
+
+
+def _start(most: int) -> str:
+    """The seed model of at most `most` pieces, and the numbered sentences."""
+    return f"""WITH RECURSIVE {_SEEDED},
+    seeds AS (SELECT token, row_number() OVER (ORDER BY k, c DESC, token) - 1 AS id FROM (
+              SELECT 0 AS k, 0 AS c, ch AS token FROM chars UNION ALL (SELECT 1, c, token FROM subs WHERE length(token) > 1 ORDER BY c DESC, token LIMIT (SELECT {most} - count(*) FROM chars)))),
+    model0 AS MATERIALIZED (SELECT id, token, -ln((SELECT count(*) FROM seeds)) AS lp FROM seeds),
+    numbered AS MATERIALIZED (SELECT row_number() OVER () AS sid, s, n, length(s) AS len FROM marked)"""
+
+
+def _viterbi(i: int) -> str:
+    """Best paths under model{i}. Every character is a piece, so every place is reached. Of equal scores the
+    longest last piece wins; a place keeps the scores of the sixteen places before it."""
+    return f""", hits{i} AS (SELECT sid, e, k, lp FROM (
+        SELECT sid, e, k, substr(s, e - k + 1, k) AS token FROM (SELECT sid, s, e, unnest(range(1, least(e, 16) + 1)) AS k FROM (SELECT sid, s, unnest(range(1, len + 1)) AS e FROM numbered)))
+        JOIN model{i} USING (token)),
+    edges{i} AS MATERIALIZED (SELECT sid, e, list(k ORDER BY k DESC) AS ks, list(lp ORDER BY k DESC) AS lps FROM hits{i} GROUP BY sid, e),
+    walk{i}(sid, e, w, k) AS (SELECT sid, 0::BIGINT, [0.0::DOUBLE], 0::BIGINT FROM numbered
+        UNION ALL
+        SELECT sid, e, list_prepend(c[b], w[1:15]), ks[b] FROM (SELECT sid, e, w, ks, c, list_position(c, list_max(c)) AS b FROM (
+            SELECT r.sid, x.e, r.w, x.ks, list_transform(x.ks, lambda k, j: r.w[k] + x.lps[j]) AS c FROM walk{i} r JOIN edges{i} x ON x.sid = r.sid AND x.e = r.e + 1))),
+    walked{i} AS MATERIALIZED (SELECT sid, e, k, w[1] AS lp FROM walk{i}),
+    back{i}(sid, e, k) AS (SELECT sid, e, k FROM walked{i} JOIN numbered USING (sid) WHERE e = len
+        UNION ALL
+        SELECT b.sid, x.e, x.k FROM back{i} b JOIN walked{i} x ON x.sid = b.sid AND x.e = b.e - b.k AND x.e > 0),
+    parts{i} AS MATERIALIZED (SELECT sid, e, n, substr(s, e - k + 1, k) AS token FROM back{i} JOIN numbered USING (sid)),
+    counts{i} AS MATERIALIZED (SELECT token, sum(n)::DOUBLE AS c FROM parts{i} GROUP BY token)"""
+
+
+def _maximised(i: int, name: str) -> str:
+    return f""", {name} AS MATERIALIZED (SELECT id, token, coalesce(c, 0) AS c, ln((coalesce(c, 0) + 1e-10) / ((SELECT sum(c) FROM counts{i}) + 1e-10 * (SELECT count(*) FROM model{i}))) AS lp
+        FROM model{i} LEFT JOIN counts{i} USING (token))"""
+
+
+def _pruned(source: str, name: str, gone: str) -> str:
+    """Without the unprotected pieces of smallest |c lp|, `gone` of them."""
+    return f""", {name} AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) - 1 AS id, token, lp FROM (
+        SELECT id, token, lp, loose, row_number() OVER (PARTITION BY loose ORDER BY abs(c * lp), id) AS place FROM (SELECT *, length(token) > 1 AND token NOT LIKE '<%' AS loose FROM {source}))
+        WHERE NOT (loose AND place <= {gone}))"""
+
+
+def _trained(most: int, target: int, rounds: int) -> str:
+    """EM and pruning up to `rounds` times, each of which does nothing once the target is reached, then EM."""
+    sql = _start(most)
+    for i in range(rounds):
+        size = f"(SELECT count(*) FROM model{i})"
+        sql += _viterbi(i) + _maximised(i, f"em{i}") + _pruned(f"em{i}", f"less{i}", f"trunc({size} * 0.2::DOUBLE)")
+        sql += f", model{i + 1} AS MATERIALIZED (SELECT * FROM less{i} WHERE {size} > {target} UNION ALL SELECT * FROM model{i} WHERE {size} <= {target})"
+    return sql + _viterbi(rounds) + _maximised(rounds, "final")
+
+
+_UNIGRAM = _start(400) + _viterbi(0)
+_EM = _UNIGRAM + _maximised(0, "em")
+_LIKELIHOOD = "(SELECT sum(lp * n) FROM walked{0} JOIN numbered USING (sid) WHERE e = len)"
+
 ORACLES: dict[str, str] = {
     "scan_words": f"WITH {LINES} SELECT word, count(*)::BIGINT AS n FROM (SELECT regexp_split_to_array(value, '\\s+')[1] AS word FROM lines WHERE value <> '' AND value NOT LIKE '#%') GROUP BY word",
     "scan_sentences": f"WITH {SENTENCES} SELECT sentence, n FROM sentences",
@@ -122,5 +178,12 @@ ORACLES: dict[str, str] = {
     "wordpiece_tokenize": f"{_GREEDY} SELECT word, array_to_string(tokens, '|') AS tokens FROM greedy",
     "wordpiece_frequencies": f"{_GREEDY} {_TOKENS.format('tokens', 'greedy')}",
     "unigram_seed": f"WITH {_SEEDED}, v AS (SELECT ch AS token FROM chars UNION ALL (SELECT token FROM subs WHERE length(token) > 1 ORDER BY c DESC, token LIMIT (SELECT 400 - count(*) FROM chars))) SELECT token, round(-ln(count(*) OVER ()), 6) AS log_prob FROM v",
+    "unigram_tokenize": f"""{_UNIGRAM} SELECT s, tokens, round(lp, 6) AS lp FROM (SELECT sid, string_agg(token, '|' ORDER BY e) AS tokens FROM parts0 GROUP BY sid)
+        JOIN numbered USING (sid) JOIN (SELECT sid, e AS len, lp FROM walked0) USING (sid, len)""",
+    "unigram_frequencies": f"{_UNIGRAM} SELECT token, c::BIGINT AS c FROM counts0",
+    "unigram_em_step": f"{_EM} SELECT token, c, round(lp, 6) AS log_prob FROM em",
+    "unigram_log_likelihood": f"{_EM}, model1 AS (SELECT id, token, lp FROM em){_viterbi(1)} SELECT round({_LIKELIHOOD.format(0)}, 3) AS before, round({_LIKELIHOOD.format(1)}, 3) AS after",
+    "unigram_prune": f"{_EM}{_pruned('em', 'less', 'trunc((SELECT count(*) FROM em) * 0.2::DOUBLE)')} SELECT id::INTEGER AS token_id, token, round(lp, 6) AS log_prob FROM less",
+    "unigram_train": f"{_trained(600, 300, 4)} SELECT id::INTEGER AS token_id, token, round(lp, 6) AS log_prob, length(token) = 1 OR token LIKE '<%' AS protected FROM final",
     "protected_tokens": f"WITH {WORDS} SELECT word, length(word) = 1 OR word LIKE '<%' AS protected FROM words",
 }

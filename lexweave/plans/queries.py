@@ -208,6 +208,12 @@ def unigram_tokenize(spark, sf_dir):
     return unigram.segmented(marked.select("s"), model, "s").select("s", _line("tokens").alias("tokens"), F.round("lp", 6).alias("lp"))
 
 
+def unigram_frequencies(spark, sf_dir):
+    """How often each piece occurs on the best paths of all sentences."""
+    _, model = _seeded(spark, sf_dir)
+    return Unigram(model).frequencies(_sentences(spark, sf_dir))
+
+
 def unigram_em_step(spark, sf_dir):
     marked, model = _seeded(spark, sf_dir)
     model, found = unigram.em_step(marked, model)
@@ -252,6 +258,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         normalize_sentences, corpus_stats_words, corpus_stats_sentences, character_frequency, character_coverage, covered_sentences, first_seen_vocabulary,
         packed_pairs, seed_substrings, bpe_train, bpe_train_distributed, bpe_tokenize, bpe_token_frequencies, bpe_tokens_per_word, top_tokens, dump_rules,
         sentence_bpe_train, sentence_bpe_vocabulary, sentence_bpe_frequencies, wordpiece_train, wordpiece_tokenize, wordpiece_frequencies,
-        unigram_seed, unigram_tokenize, unigram_em_step, unigram_log_likelihood, unigram_prune, unigram_train, protected_tokens,
+        unigram_seed, unigram_tokenize, unigram_frequencies, unigram_em_step, unigram_log_likelihood, unigram_prune, unigram_train, protected_tokens,
     )
 }
