@@ -1,4 +1,4 @@
-"""Tables written to the shared folder, and models kept as tables."""
+"""Tables written to the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -11,19 +11,24 @@ _fallback: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir. In local mode, where one machine runs all, a temporary folder will
+    do if that is unset; on a cluster it is an error."""
     if path := spark.conf.get("spark.checkpoint.dir", ""):
         return path.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="lexweave-"))
     return _fallback[0]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: no lineage, safe from lost executors."""
+def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost
+    executors. The files go when the session's file system closes."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{shared_dir(spark)}/lexweave-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
