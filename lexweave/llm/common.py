@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import shared_dir, written  # noqa: F401
+
 #: The characters of [\x20\x09-\x0D].
 SPACES = b" \t\n\x0b\x0c\r"
-_fallback: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    if path := spark.conf.get("spark.checkpoint.dir", ""):
-        return path.rstrip("/")
-    if not _fallback:
-        _fallback.append(tempfile.mkdtemp(prefix="lexweave-"))
-    return _fallback[0]
-
-
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost
-    executors. The files go when the session's file system closes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexweave-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(name: str = "text") -> Column:
