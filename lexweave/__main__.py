@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .operators import counts
 from .operators.models import Bpe, BpeConfig, SentenceBpe, SentenceBpeConfig, Unigram, UnigramConfig, WordPiece, WordPieceConfig
 from .plans import models
+from .plans.tables import written
 from .sources import text_files
 
 
@@ -59,8 +60,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     column = "word" if a.kind in ("bpe", "wordpiece") else "sentence"
     try:
         load = text_files.load_words if column == "word" else text_files.load_sentences
-        rows = text_files.histogram(load(spark, a.file, a.limit), column)
-    except Exception as error:  # an unreadable or empty file
+        rows = written(text_files.histogram(load(spark, a.file, a.limit), column, "place" if a.kind == "wordpiece" else None))
+    except Exception as error:  # an unreadable or empty file, or bytes that are no text
         print(f"cannot read {a.file}: {str(error).splitlines()[0]}", file=sys.stderr)
         return 1
     if a.dump or a.tokenize is not None or a.save:  # dump comes before tokenize, tokenize before timing
@@ -71,8 +72,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             models.dump(models.rule_lines(spark, model) if a.kind == "bpe" else models.vocab_lines(spark, model), a.dump)
         elif a.tokenize is not None:
             one = spark.createDataFrame([(a.tokenize,)], f"{column} string")
-            found = model.tokenize(one) if a.kind in ("wordpiece", "unigram") else one.select(model.tokenize(column).alias("tokens"))
-            print("[" + ", ".join('"' + t.replace("\\", "\\\\").replace('"', '\\"') + '"' for t in found.first()["tokens"]) + "]")
+            print("[" + ", ".join('"' + t.replace("\\", "\\\\").replace('"', '\\"') + '"' for t in model.segmented(one, column).first()["tokens"]) + "]")
         return 0
     stats = counts.corpus_stats(rows, column).first()
     print(f"rows {stats['n_rows']}, characters {stats['n_chars']}" + (f", mean {stats['mean_chars']:.2f}" if column == "word" else ""))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,12 +48,6 @@ def tokens_of(state: Column | str) -> Column:
     return F.when(F.length(s) < 2, F.array().cast("array<string>")).otherwise(F.split(F.substring(s, F.lit(2), F.length(s) - 2), CLOSE + OPEN))
 
 
-def applied(state: Column, left: Column, right: Column, merged: Column) -> Column:
-    """Every adjacent (left, right) becomes merged: left to right, not overlapping, one pass."""
-    o, c = F.lit(OPEN), F.lit(CLOSE)
-    return F.replace(state, F.concat(o, left, c, o, right, c), F.concat(o, merged, c))
-
-
 def applied_rules(state: Column, rules: list[tuple[str, str, str]], step: int = 64) -> Column:
     """All (left, right, merged) in order. Rules sit in literal arrays of bounded size."""
     for lo in range(0, len(rules), step):
@@ -100,7 +92,3 @@ def covered(tokens: Column, alphabet: list[str]) -> Column:
     """Characters outside the alphabet become <unk>. The alphabet is a literal; its size is checked."""
     known = F.lit("".join(alphabet))  # single characters, so a substring test is a membership test
     return F.transform(tokens, lambda c: F.when(F.contains(known, c), c).otherwise(F.lit(UNK)))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

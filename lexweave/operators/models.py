@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.tables import written
-from . import counts, merges, unigram
+from . import counts, merges, segment, unigram
+
+#: With more rules than this, replaying them is done in batches and not as column expressions.
+COLUMN_RULES = 512
 
 
 @dataclass(frozen=True)
@@ -37,7 +40,6 @@ class UnigramConfig:
     initial_vocab_factor: float = 10.0
     em_iterations: int = 5
     prune_ratio: float = 0.2
-    character_coverage: float = 0.9995  # accepted for compatibility; no rule uses it
 
 
 @dataclass
@@ -56,8 +58,20 @@ class Bpe:
         """Rules replayed in order, one pass each; characters never seen pass through."""
         return T.tokens_of(T.applied_rules(T.held(T.characters(word)), self.rules))
 
+    def segmented(self, rows: DataFrame, column: str = "word") -> DataFrame:
+        """The rows with `tokens` beside them: the same tokens, also where the rules are many."""
+        if len(self.rules) <= COLUMN_RULES:
+            return rows.withColumn("tokens", self.tokenize(column))
+        shared = rows.sparkSession.sparkContext.broadcast(self.rules)
+
+        def make():
+            replay = segment.Replay(shared.value)
+            return lambda word: replay(list(word))
+
+        return segment.segmented(rows, column, make)
+
     def frequencies(self, words: DataFrame) -> DataFrame:
-        return counts.token_counts(words.where("word <> ''").select(self.tokenize("word").alias("tokens"), "n"))
+        return counts.token_counts(self.segmented(words.where("word <> ''")).select("tokens", "n"))
 
 
 @dataclass
@@ -69,35 +83,30 @@ class WordPiece:
 
     @staticmethod
     def train(words: DataFrame, config: WordPieceConfig | None = None, **how) -> WordPiece:
-        """The vocabulary lists the base pieces in byte order, then merges in the order they came."""
+        """The vocabulary lists the base pieces, then merges in the order they came. With a column `first`
+        in words (where each stands first) base pieces are numbered by first occurrence, else by bytes."""
         config, words = config or WordPieceConfig(), written(words)
         segments = words.select(T.continuation_pieces("word").alias("tokens"), "n")
-        seeds = sorted(r["token"] for r in segments.select(F.explode("tokens").alias("token")).distinct().collect())  # at most twice the alphabet
+        if "first" in words.columns:  # at most twice the alphabet
+            places = words.select(F.posexplode(T.continuation_pieces("word")).alias("pos", "token"), F.col("first").alias("row_no"))
+            seeds = [r["token"] for r in counts.first_seen_ids(places).orderBy("token_id").collect()]
+        else:
+            seeds = sorted(r["token"] for r in segments.select(F.explode("tokens").alias("token")).distinct().collect())
         rules = merges.learn(segments, by_score=True, least=config.min_pair_count, done=lambda _, size: size >= config.vocab_size, join=merges.continued, seeds=seeds, **how)
         return WordPiece(list(dict.fromkeys([*seeds, *(m for _, _, m in rules)])), rules)
 
+    def segmented(self, rows: DataFrame, column: str = "word") -> DataFrame:
+        """The rows with `tokens` beside them: at each place the longest piece in the vocabulary; a dead end
+        makes the whole word [UNK]. The vocabulary is as small as its configured size."""
+        shared = rows.sparkSession.sparkContext.broadcast(self.vocab)
+        return segment.segmented(rows, column, lambda: segment.Greedy(shared.value))
+
     def tokenize(self, words: DataFrame) -> DataFrame:
-        """(word, tokens) of distinct words: at each place the longest piece in the vocabulary; a dead
-        end makes the whole word [UNK]. The vocabulary is as small as its configured size."""
-        spark = words.sparkSession
-        vocab = spark.createDataFrame([(t,) for t in self.vocab], "token string")
-        longest = max([len(t.removeprefix(T.CONTINUES)) for t in self.vocab] + [len(t) for t in self.vocab if not t.startswith(T.CONTINUES)] + [1])
-        own = words.select("word").distinct()
-        starts = own.where("word <> ''").select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("st"))
-        each = starts.select("word", "st", F.explode(F.sequence(F.col("st"), F.least(F.length("word"), F.col("st") + (longest - 1)))).alias("en"))
-        piece = F.substring(F.col("word"), F.col("st"), F.col("en") - F.col("st") + 1)
-        found = each.withColumn("token", F.when(F.col("st") > 1, F.concat(F.lit(T.CONTINUES), piece)).otherwise(piece)).join(F.broadcast(vocab), "token")
-        best = found.groupBy("word", "st").agg(F.max(F.struct("en", "token")).alias("b"))
-        steps = best.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("st", "b.en", "b.token"))).alias("steps"))
-        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
-        walk = F.aggregate("steps", start, lambda a, s: F.when(s["st"] == a["at"], F.struct((s["en"] + 1).alias("at"), F.concat(a["out"], F.array(s["token"])).alias("out"))).otherwise(a))
-        walked = own.join(steps, "word", "left").select("word", walk.alias("w"))
-        whole = F.coalesce(F.col("w.at") == F.length("word") + 1, F.lit(False))
-        return walked.select("word", F.when(F.col("word") == "", F.array().cast("array<string>")).when(whole, F.col("w.out")).otherwise(F.array(F.lit(T.WP_UNK))).alias("tokens"))
+        """(word, tokens) of distinct words."""
+        return self.segmented(words.select("word").distinct())
 
     def frequencies(self, words: DataFrame) -> DataFrame:
-        rows = words.where("word <> ''")
-        return counts.token_counts(rows.join(self.tokenize(rows), "word").select("tokens", "n"))
+        return counts.token_counts(self.segmented(words.where("word <> ''").select("word", "n")).select("tokens", "n"))
 
 
 @dataclass
@@ -127,8 +136,23 @@ class SentenceBpe:
         single = [t for t in self.vocab if len(t) == 1]
         return T.tokens_of(T.applied_rules(T.held(T.covered(T.characters(T.marked_sentence(sentence)), single)), self.rules))
 
+    def segmented(self, rows: DataFrame, column: str = "sentence") -> DataFrame:
+        """The rows with `tokens` beside them: the same tokens, also where the rules are many."""
+        if len(self.rules) <= COLUMN_RULES:
+            return rows.withColumn("tokens", self.tokenize(column))
+        known = {t for t in self.vocab if len(t) == 1}
+        shared = rows.sparkSession.sparkContext.broadcast((self.rules, known))
+
+        def make():
+            rules, known = shared.value
+            replay = segment.Replay(rules)
+            return lambda marked: replay([c if c in known else T.UNK for c in marked])
+
+        names = [c for c in rows.columns if c != "tokens"]
+        return segment.segmented(rows.withColumn("__s", T.marked_sentence(column)), "__s", make).select(*[F.col(f"`{c}`") for c in names], "tokens")
+
     def frequencies(self, sentences: DataFrame) -> DataFrame:
-        return counts.token_counts(sentences.where("sentence <> ''").select(self.tokenize("sentence").alias("tokens"), "n"))
+        return counts.token_counts(self.segmented(sentences.where("sentence <> ''")).select("tokens", "n"))
 
 
 @dataclass
@@ -145,9 +169,12 @@ class Unigram:
         model, sizes = unigram.train(marked, config.target_vocab_size, config.initial_vocab_factor, config.em_iterations, config.prune_ratio)
         return Unigram(model, sizes)
 
-    def tokenize(self, sentences: DataFrame, column: str = "sentence") -> DataFrame:
+    def segmented(self, rows: DataFrame, column: str = "sentence") -> DataFrame:
         """The rows with `tokens` beside them."""
-        return unigram.segmented(sentences.withColumn("__s", T.marked_sentence(column)), self.model, "__s").drop("__s", "lp")
+        return unigram.segmented(rows.withColumn("__s", T.marked_sentence(column)), self.model, "__s").drop("__s", "lp")
+
+    def tokenize(self, sentences: DataFrame, column: str = "sentence") -> DataFrame:
+        return self.segmented(sentences, column)
 
     def frequencies(self, sentences: DataFrame) -> DataFrame:
-        return counts.token_counts(self.tokenize(sentences.where("sentence <> ''")).select("tokens", "n"))
+        return counts.token_counts(self.segmented(sentences.where("sentence <> ''")).select("tokens", "n"))

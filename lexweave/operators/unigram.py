@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,15 +124,62 @@ def log_likelihood(marked: DataFrame, model: Model) -> float:
     return segmented(marked, model, "s").agg(F.sum(F.col("lp") * F.col("n"))).first()[0] or 0.0
 
 
-def em_step(marked: DataFrame | list[tuple[str, int]], model: Model) -> tuple[Model, dict[str, float]]:
-    """marked: a table (s, n), or its rows where they are few."""
-    if isinstance(marked, list):
-        index, longest, found = closed(model.index()), max([len(t) for t in model.vocab], default=1), Counter()
-        for s, n in marked:
+#: So many of the longest sentences go one by one; the rest step through their places together.
+_ALONE = 32
+
+
+class Lattice:
+    """Distinct sentences of bounded size with every piece of a vocabulary that occurs in them. Pieces are
+    looked up once; later models of fewer pieces only change what they cost."""
+
+    def __init__(self, rows: list[tuple[str, int]], vocab: list[str]):
+        self.number = {t: k for k, t in enumerate(vocab)}
+        rows = sorted((r for r in rows if r[0]), key=lambda r: -len(r[0]))
+        self.alone, rows = rows[:_ALONE], rows[_ALONE:]
+        self.size = np.array([len(s) for s, _ in rows], np.int64)
+        self.weight = np.array([n for _, n in rows], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.size + 1)])[:-1].astype(np.int64)  # place 0 of each sentence
+        # of the places before an end, the farthest first: the piece between, or the last number of all
+        self.pieces = np.full((int((self.size + 1).sum()), LONGEST), len(vocab), np.int32)
+        get = self.number.get
+        for (s, _), at in zip(rows, self.first.tolist(), strict=True):
+            for end in range(1, len(s) + 1):
+                for k in range(1, min(end, LONGEST) + 1):
+                    if (found := get(s[end - k : end])) is not None:
+                        self.pieces[at + end, LONGEST - k] = found
+
+    def counts(self, model: Model) -> dict[str, float]:
+        """How often each piece of the model is on the best paths. All characters must be pieces."""
+        cost = np.full(len(self.number) + 1, -np.inf)
+        cost[[self.number[t] for t in model.vocab]] = model.log_probs
+        best, back = np.zeros(len(self.pieces)), np.zeros(len(self.pieces), np.int64)
+        steps = np.arange(LONGEST, 0, -1)
+        for end in range(1, int(self.size[0]) + 1 if len(self.size) else 0):
+            live = self.first[: np.searchsorted(-self.size, -end, "right")]
+            at = live + end
+            score = best[np.maximum(at[:, None] - steps, live[:, None])] + cost[self.pieces[at]]
+            pick = score.argmax(1)  # of equal ones the smallest start
+            best[at], back[at] = score[np.arange(len(at)), pick], steps[pick]
+        found = np.zeros(len(self.number) + 1)
+        at, first, weight = self.first + self.size, self.first, self.weight
+        while len(at):
+            step = back[at]
+            found += np.bincount(self.pieces[at, LONGEST - step], weight, len(found))
+            at = at - step
+            left = at > first
+            at, first, weight = at[left], first[left], weight[left]
+        index, longest = closed(model.index()), max([len(t) for t in model.vocab], default=1)
+        for s, n in self.alone:
             for t in viterbi(s, index, longest)[0]:
-                found[t] += n
-        known = set(model.vocab)
-        counted = {t: float(c) for t, c in found.items() if t in known}
+                if t in self.number:
+                    found[self.number[t]] += n
+        return {t: float(found[self.number[t]]) for t in model.vocab if found[self.number[t]]}
+
+
+def em_step(marked: DataFrame | Lattice, model: Model) -> tuple[Model, dict[str, float]]:
+    """marked: a table (s, n), or the lattice of its rows where they are few."""
+    if isinstance(marked, Lattice):
+        counted = marked.counts(model)
     else:
         counted = {r["token"]: float(r["c"]) for r in expected(marked, model).collect()}  # at most the vocabulary
     return maximised(model, counted), counted
@@ -167,8 +215,9 @@ def train(marked: DataFrame, target: int, factor: float, iterations: int, ratio:
     marked = written(marked.repartition(parts))  # read several times
     size = marked.agg(F.sum(F.length("s").cast("long"))).first()[0] or 0
     if size <= compact_chars:
-        marked = [(r["s"], r["n"]) for r in marked.collect()]
-        model = seed_of(marked, int(target * factor))
+        rows = [(r["s"], r["n"]) for r in marked.collect()]
+        model = seed_of(rows, int(target * factor))
+        marked = Lattice(rows, model.vocab)
     else:
         model = seed(marked, int(target * factor))
     sizes = [len(model.vocab)]

@@ -170,7 +170,9 @@ ORACLES: dict[str, str] = {
     "bpe_token_frequencies": f"{_BPE}, {_FINAL} {_TOKENS.format(_opened('s'), 'final')}",
     "bpe_tokens_per_word": f"{_BPE}, {_FINAL} SELECT round(sum(len({_opened('s')}) * n)::DOUBLE / sum(n)::DOUBLE, 6) AS tokens_per_word FROM final",
     "top_tokens": f"{_BPE}, {_FINAL} SELECT * FROM ({_TOKENS.format(_opened('s'), 'final')}) ORDER BY c DESC, token LIMIT 20",
-    "dump_rules": f"{_BPE} SELECT (it - 1)::INTEGER AS rank, l || chr(9) || r AS line FROM loop WHERE it > 0",
+    "dump_rules": f"{_BPE} SELECT (it - 1)::INTEGER AS line_no, l || chr(9) || r AS line FROM loop WHERE it > 0",
+    "dump_vocabulary": f"{_sp(100)} SELECT (row_number() OVER (ORDER BY k, c DESC, token) - 1)::INTEGER AS line_no, token AS line FROM (SELECT 0 AS k, 0 AS c, '<unk>' AS token UNION ALL SELECT 1, c, ch FROM cut UNION ALL SELECT 1 + it, 0, l || r FROM loop WHERE it > 0)",
+    "dump_log_probs": f"{_start(400)}, dumped AS (SELECT token || chr(9) || printf('%.6f', lp) AS line FROM model0) SELECT (row_number() OVER (ORDER BY line) - 1)::INTEGER AS line_no, line FROM dumped",
     "sentence_bpe_train": f"{_sp(90)} SELECT (it - 1)::INTEGER AS rank, l, r, l || r AS merged FROM loop WHERE it > 0",
     "sentence_bpe_vocabulary": f"{_sp(100)} SELECT (row_number() OVER (ORDER BY k, c DESC, token) - 1)::INTEGER AS token_id, token FROM (SELECT 0 AS k, 0 AS c, '<unk>' AS token UNION ALL SELECT 1, c, ch FROM cut UNION ALL SELECT 1 + it, 0, l || r FROM loop WHERE it > 0)",
     "sentence_bpe_frequencies": f"{_sp(100)}, {_FINAL} {_TOKENS.format(_opened('s'), 'final')}",

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import counts, unigram
 from ..operators.models import Bpe, BpeConfig, SentenceBpe, SentenceBpeConfig, Unigram, UnigramConfig, WordPiece, WordPieceConfig
 from ..sources import text_files as S
+from . import models
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ def scan_sentences(spark, sf_dir):
 def scan_limit(spark, sf_dir):
     """The first 50 useful lines, by document and line."""
     rows = _documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "value"))
-    return S.useful(rows).orderBy("doc_id", "line_no").limit(50).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "value")
+    return S.limited(S.useful(rows), 50, "doc_id", "line_no").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "value")
 
 
 def pair_counts_top(spark, sf_dir):
@@ -247,8 +248,24 @@ def top_tokens(spark, sf_dir):
     return bpe_token_frequencies(spark, sf_dir).orderBy(F.desc("c"), "token").limit(20)
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """The lines of a dump in their order."""
+    return lines.sparkSession.createDataFrame([(k, r["value"]) for k, r in enumerate(lines.collect())], "line_no int, line string")
+
+
 def dump_rules(spark, sf_dir):
-    return bpe_train(spark, sf_dir).select("rank", F.concat_ws("\t", "l", "r").alias("line"))
+    """The rules file of a model: left, tab, right."""
+    return _numbered(models.rule_lines(spark, Bpe.train(_words(spark, sf_dir), _BPE)))
+
+
+def dump_vocabulary(spark, sf_dir):
+    """The vocabulary file of a sentence model, in id order."""
+    return _numbered(models.vocab_lines(spark, SentenceBpe.train(_sentences(spark, sf_dir), _SP)))
+
+
+def dump_log_probs(spark, sf_dir):
+    """The vocabulary file of a unigram model: piece, tab, six places, sorted as lines."""
+    return _numbered(models.vocab_lines(spark, Unigram(_seeded(spark, sf_dir)[1])))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -256,7 +273,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         scan_words, scan_sentences, scan_limit, pair_counts_top, pair_counts_all, wordpiece_pretokenize, wordpiece_token_counts, wordpiece_pair_scores,
         normalize_sentences, corpus_stats_words, corpus_stats_sentences, character_frequency, character_coverage, covered_sentences, first_seen_vocabulary,
-        packed_pairs, seed_substrings, bpe_train, bpe_train_distributed, bpe_tokenize, bpe_token_frequencies, bpe_tokens_per_word, top_tokens, dump_rules,
+        packed_pairs, seed_substrings, bpe_train, bpe_train_distributed, bpe_tokenize, bpe_token_frequencies, bpe_tokens_per_word, top_tokens, dump_rules, dump_vocabulary, dump_log_probs,
         sentence_bpe_train, sentence_bpe_vocabulary, sentence_bpe_frequencies, wordpiece_train, wordpiece_tokenize, wordpiece_frequencies,
         unigram_seed, unigram_tokenize, unigram_frequencies, unigram_em_step, unigram_log_likelihood, unigram_prune, unigram_train, protected_tokens,
     )

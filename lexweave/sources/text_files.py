@@ -8,18 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.text import trimmed
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, value) of text files split at line feeds only; invalid UTF-8 is an error.
-
-    Line numbers need a file whole; for files too large for that use `lines`."""
-    whole = spark.read.format("binaryFile").load(path).select("path", F.validate_utf8(F.col("content").cast("string")).alias("value"))
-    cut = F.split("value", "\n")
-    return whole.select("path", F.posexplode(cut).alias("line_no", "value"))
-
-
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value) of text files split at line feeds only, read in splits."""
-    return spark.read.option("lineSep", "\n").text(path)
+    """(value, place) of text files split at line feeds only, read in splits; invalid UTF-8 is an error.
+
+    place orders the lines as they stand in their files: by file, split and row."""
+    rows = spark.read.option("lineSep", "\n").text(path)
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return rows.select(F.validate_utf8("value").alias("value"), place.alias("place"))
 
 
 def useful(rows: DataFrame, value: str = "value") -> DataFrame:
@@ -31,22 +26,19 @@ def first_field(value: str = "value"):
     return F.split(F.col(value), r"(?U)\s+")[0]
 
 
-def _limited(rows: DataFrame, limit: int | None) -> DataFrame:
-    return rows if limit is None else rows.orderBy("path", "line_no").limit(limit)
+def limited(rows: DataFrame, limit: int | None, *order: str) -> DataFrame:
+    """The first rows in order, all without a limit."""
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
 
 
 def load_words(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """word: the first field of each useful line; with a limit the first so many in file order."""
-    if limit is None:
-        return _required(useful(lines(spark, path)).select(first_field().alias("word")), path)
-    return _required(_limited(useful(numbered_lines(spark, path)), limit).select(first_field().alias("word")), path)
+    """(word, place): the first field of each useful line; with a limit the first so many in file order."""
+    return _required(limited(useful(lines(spark, path)), limit, "place").select(first_field().alias("word"), "place"), path)
 
 
 def load_sentences(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """sentence: each useful line, whole."""
-    if limit is None:
-        return _required(useful(lines(spark, path)).select(F.col("value").alias("sentence")), path)
-    return _required(_limited(useful(numbered_lines(spark, path)), limit).select(F.col("value").alias("sentence")), path)
+    """(sentence, place): each useful line, whole."""
+    return _required(limited(useful(lines(spark, path)), limit, "place").select(F.col("value").alias("sentence"), "place"), path)
 
 
 def _required(rows: DataFrame, path: str) -> DataFrame:
@@ -64,7 +56,7 @@ def spread(table: DataFrame) -> DataFrame:
     if table.isStreaming:
         return table
     cores = table.sparkSession.sparkContext.defaultParallelism
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # an estimate; only the splits depend on it
     return table.repartition(cores) if size < cores * SMALL_SPLIT else table
 
 
@@ -78,6 +70,8 @@ def sentences_of(table: DataFrame, text: str = "text") -> DataFrame:
     return useful(spread(table.select(F.col(text).alias("text"))).select(F.explode(F.split("text", "\n")).alias("value"))).select(F.col("value").alias("sentence"))
 
 
-def histogram(rows: DataFrame, column: str) -> DataFrame:
-    """(column, n): every count that follows is linear in how often a row repeats."""
-    return rows.where(F.col(column) != "").groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+def histogram(rows: DataFrame, column: str, place: str | None = None) -> DataFrame:
+    """(column, n): every count that follows is linear in how often a row repeats. With a column that orders
+    the rows, `first` is where each stands first."""
+    first = [F.min(place).alias("first")] if place else []
+    return rows.where(F.col(column) != "").groupBy(column).agg(F.count(F.lit(1)).alias("n"), *first)

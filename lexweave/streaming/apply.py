@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.models import Bpe, SentenceBpe, Unigram
+from ..operators.models import Bpe, SentenceBpe, Unigram, WordPiece
 
+Model = Bpe | WordPiece | SentenceBpe | Unigram
 
-def tokenized(stream: DataFrame, model: Bpe | SentenceBpe | Unigram, column: str) -> DataFrame:
+
+def tokenized(stream: DataFrame, model: Model, column: str) -> DataFrame:
     """The rows of a stream with `tokens` beside them."""
-    if isinstance(model, Unigram):
-        return model.tokenize(stream, column)
-    return stream.withColumn("tokens", model.tokenize(column))
+    return model.segmented(stream, column)
 
 
-def running_frequencies(stream: DataFrame, model: Bpe | SentenceBpe | Unigram, column: str) -> DataFrame:
+def running_frequencies(stream: DataFrame, model: Model, column: str) -> DataFrame:
     """(token, c) so far, for complete or update mode; the state is one row a token."""
     rows = tokenized(stream.where(F.col(column) != ""), model, column)
     return rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))

@@ -159,6 +159,89 @@ def test_unigram_training(spark):
     assert Unigram.train(hist(spark, "sentence", ["abcabc"] * 3), UnigramConfig(2, 10.0, 1, 0.5)).sizes == [20, 10, 5, 4]
 
 
+def test_row_by_row_segmentation_equals_columns(spark):
+    """Replay in batches gives what replay in columns gives, whatever the order of the rules; greedy
+    segmentation what a plain search gives."""
+    from lexweave.operators import models as M
+
+    rng = random.Random(21)
+    words = sorted({"".join(rng.choices("abc", k=rng.randint(1, 14))) for _ in range(120)})
+    table = spark.createDataFrame([(w, 1) for w in [*words, ""]], "word string, n long")
+    for seed in range(4):
+        rng = random.Random(seed)
+        parts = ["a", "b", "c"]
+        rules = []
+        for _ in range(25):
+            a, b = rng.choice(parts), rng.choice(parts)
+            rules.append((a, b, a + b))
+            parts.append(a + b)
+        rng.shuffle(rules)
+        rules += rules[:3]
+        bpe, sp = Bpe(rules), SentenceBpe(["<unk>", "a", "b", "▁"], rules)
+        want = {r.word: r.t for r in table.select("word", bpe.tokenize("word").alias("t")).collect()}
+        marked = {r.word: r.t for r in table.select("word", sp.tokenize("word").alias("t")).collect()}
+        few, M.COLUMN_RULES = M.COLUMN_RULES, 0
+        try:
+            assert {r.word: r.tokens for r in bpe.segmented(table).collect()} == want
+            assert {r.word: r.tokens for r in sp.segmented(table, "word").collect()} == marked
+            assert {r.token: r.c for r in bpe.frequencies(table).collect()} == Counter(t for w in want.values() for t in w)
+        finally:
+            M.COLUMN_RULES = few
+        vocab = sorted({*rng.sample(parts, 8), *("##" + p for p in rng.sample(parts, 8))})
+        for w, tokens in ((r.word, r.tokens) for r in WordPiece(vocab, []).segmented(table).collect()):
+            plain, at = [], 0
+            while at < len(w) and plain != ["[UNK]"]:
+                found = [e for e in range(at + 1, len(w) + 1) if ("##" if at else "") + w[at:e] in vocab]
+                plain = [*plain, ("##" if at else "") + w[at : found[-1]]] if found else ["[UNK]"]
+                at = found[-1] if found else at
+            assert tokens == plain
+
+
+def test_lattice_counts_equal_viterbi():
+    for seed in range(30):
+        rng = random.Random(seed)
+        rows = [("".join(rng.choices("abc▁", k=rng.randint(0, 30))), rng.randint(1, 5)) for _ in range(60)]
+        first = unigram.seed_of(rows, 80)
+        lattice = unigram.Lattice(rows, first.vocab)
+        keep = [t for t in first.vocab if len(t) == 1 or rng.random() < 0.7]
+        model = unigram.Model(keep, [-rng.choice([1.0, 1.5, 2.0, rng.random()]) for _ in keep])
+        want = Counter()
+        for s, n in rows:
+            for t in unigram.viterbi(s, unigram.closed(model.index()), 16)[0]:
+                want[t] += n
+        assert lattice.counts(model) == want
+
+
+def test_dumps_and_file_order(spark, tmp_path):
+    """Dump lines as they stand in the files; WordPiece ids by first occurrence; limits in file order."""
+    path = tmp_path / "w.txt"
+    path.write_text("zeta\nalpha\n# no\n  zeta x\nbeta\n")
+    rows = S.load_words(spark, str(path))
+    model = WordPiece.train(S.histogram(rows, "word", "place"), WordPieceConfig(9, 2))
+    assert model.vocab[:9] == ["z", "##e", "##t", "##a", "a", "##l", "##p", "##h", "b"]
+    assert [r[0] for r in models.vocab_lines(spark, model).collect()] == model.vocab
+    assert [r[0] for r in S.load_words(spark, str(path), 2).collect()] == ["zeta", "alpha"]
+    out = tmp_path / "vocab"
+    assert main(["wordpiece", "--file", str(path), "--vocab-size", "9", "--dump-vocab", str(out)], spark) == 0
+    assert "".join(f.read_text() for f in sorted(out.glob("part-*"))) == "".join(t + "\n" for t in model.vocab)
+    uni = Unigram(unigram.Model(["b", "a", "ab"], [-0.5, -1.23456789, -2.0]))
+    assert [r[0] for r in models.vocab_lines(spark, uni).collect()] == ["a\t-1.234568", "ab\t-2.000000", "b\t-0.500000"]
+    bad = tmp_path / "bad.txt"
+    bad.write_bytes(b"fine\n\xff\xfe\n")
+    for limit in (None, 5):
+        with pytest.raises(Exception, match="UTF8|UTF-8"):
+            S.load_words(spark, str(bad), limit).collect()
+    assert main(["sentence", "--file", str(bad)], spark) == 1
+
+
+def test_wordpiece_over_a_stream(spark, tmp_path):
+    spark.createDataFrame([("abab",), ("q",), (None,), ("",)], "word string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("word string").parquet(str(tmp_path / "in"))
+    apply.to_table(apply.tokenized(stream, WordPiece(["ab", "##ab"], []), "word"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = {r.word: r.tokens for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"abab": ["ab", "##ab"], "q": ["[UNK]"], None: [], "": []}
+
+
 def test_sources_sinks_stream_and_command(spark, tmp_path, capsys):
     path = tmp_path / "words.txt"
     path.write_bytes("# note\nabcabc 7\r\n\n  abcabc\n  abd\tx\nq\n".encode())
