@@ -38,8 +38,10 @@ def marked_sentence(sentence: Column | str) -> Column:
 
 
 def held(tokens: Column) -> Column:
-    """A token array as one string."""
-    return F.array_join(F.transform(tokens, lambda t: F.concat(F.lit(OPEN), t, F.lit(CLOSE))), "")
+    """A token array as one string; an error if a token holds what parts them."""
+    text = F.array_join(tokens, "")
+    bad = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
+    return F.when(bad, F.raise_error(F.lit("texts to be segmented must not hold U+0001 or U+0002"))).otherwise(F.array_join(F.transform(tokens, lambda t: F.concat(F.lit(OPEN), t, F.lit(CLOSE))), ""))
 
 
 def tokens_of(state: Column | str) -> Column:

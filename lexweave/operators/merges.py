@@ -246,8 +246,37 @@ def _accepted(head: list[tuple[str, str, int]], cut: bool, least: int, known: se
     return taken
 
 
+def _accepted_by_score(head: list[tuple[str, str, int, int, int, float]], cut: bool, known: set[str], join: Callable[[str, str], str]) -> list[tuple[str, str]]:
+    """The same for scores c_ab / (c_a c_b). head: (l, r, c, c_l, c_r, score), best first.
+
+    A merge of a and b takes c_ab from the counts of both and gives the new token c_ab exactly. So a pair
+    that touches a used token t, or comes from one that does, scores at most its old score times F(t) for
+    each used side, where F(t) is the larger of c_t / (c_t - c_ab), while t is left, and c_t / c_ab. All
+    other scores stay. A pair is safe while it touches no used token, makes a new string, and stands
+    strictly above that bound of every pair, those cut off included."""
+    taken: list[tuple[str, str]] = []
+    grown: dict[str, float] = {}
+    bound = 0.0
+    for a, b, c, ca, cb, score in head:
+        merged = join(a, b)
+        alone = a == b or merged in known
+        if taken and (alone or a in grown or b in grown or score <= bound * (1 + 1e-9) or any(merged == join(x, y) for x, y in taken)):
+            break
+        taken.append((a, b))
+        if alone:
+            break
+        for t, ct in ((a, ca), (b, cb)):
+            grown[t] = max(ct / (ct - c) if ct > c else 0.0, ct / c)
+        top = max(grown.values())
+        bound = head[-1][5] * top * top if cut else 0.0
+        for x, y, *_, s in head:
+            if (x in grown or y in grown) and (x, y) not in taken:
+                bound = max(bound, s * grown.get(x, 1.0) * grown.get(y, 1.0))
+    return taken
+
+
 def learn_distributed(state: DataFrame, *, by_score: bool, least: int, done: Callable[[int, int], bool], join: Callable[[str, str], str], seeds: list[str], head: int = 2000, every: int = 8) -> list[tuple[str, str, str]]:
-    """The same rules from a table (s: held segmentation, n). Every few rounds the table is written to
+    """The same rules from a table (s: held segmentation, n), several a round. Every few rounds the table is written to
     the shared folder, which cuts its lineage."""
     vocab, rules = set(seeds), []
     state = written(state)
@@ -258,8 +287,9 @@ def learn_distributed(state: DataFrame, *, by_score: bool, least: int, done: Cal
         if by_score:
             marginal = counts.token_counts(segments)
             sides = pairs.join(marginal.select(F.col("token").alias("l"), F.col("c").alias("cl")), "l").join(marginal.select(F.col("token").alias("r"), F.col("c").alias("cr")), "r")
-            best = sides.select("l", "r", pair_score(F.col("c"), F.col("cl"), F.col("cr")).alias("c")).orderBy(F.desc("c"), "l", "r").limit(1).collect()
-            chosen = [(x["l"], x["r"]) for x in best]
+            scored = sides.select("l", "r", "c", "cl", "cr", pair_score(F.col("c"), F.col("cl"), F.col("cr")).alias("score"))
+            best = [tuple(x) for x in scored.orderBy(F.desc("score"), "l", "r").limit(head).collect()]
+            chosen = _accepted_by_score(best, len(best) == head, vocab, join)
         else:
             best = [(x["l"], x["r"], x["c"]) for x in counts.top_pairs(pairs, head).collect()]
             chosen = _accepted(best, len(best) == head, max(1, least), vocab) if best else []

@@ -41,6 +41,8 @@ def test_bpe_replay(spark):
     assert pieces(spark, Bpe([("a", "b", "ab")]), "abc") == ["ab", "c"]
     assert pieces(spark, Bpe([("a", "a", "aa")]), "aaaaa") == ["aa", "aa", "a"]
     assert pieces(spark, Bpe([]), "") == []
+    with pytest.raises(Exception, match="U\\+0001"):
+        pieces(spark, Bpe([("a", "b", "ab")]), "a\x02\x01b")
 
 
 @pytest.mark.parametrize(("rows", "size", "word", "want"), [
@@ -106,6 +108,43 @@ def test_batches_equal_one_at_a_time():
         assert got[: len(want)] == want[: len(got)]
 
 
+def test_score_batches_equal_one_at_a_time():
+    """What a round of likelihood-ratio merges accepts is what learning one at a time takes."""
+    several = 0
+    for seed in range(400):
+        rng = random.Random(seed)
+        rows = [([c if k == 0 else "##" + c for k, c in enumerate(rng.choices("abcdefgh"[: 3 + seed % 6], k=rng.randint(1, 9)))], rng.randint(1, 4)) for _ in range(6 + seed % 12)]
+        seeds = sorted({t for tokens, _ in rows for t in tokens})
+        want = [(a, b) for a, b, _ in merges.learn_compact(merges.Segments.of(rows), by_score=True, least=2, done=lambda n, _: n >= 12, join=merges.continued, seeds=seeds)]
+        known, state, got, size = set(seeds), rows, [], rng.choice([4, 8, 1000])
+        while len(got) < 12:
+            pairs, tokens = Counter(), Counter()
+            for t, n in state:
+                for x in t:
+                    tokens[x] += n
+                for p in zip(t, t[1:], strict=False):
+                    pairs[p] += n
+            head = sorted(((a, b, c, tokens[a], tokens[b], c / (tokens[a] * tokens[b])) for (a, b), c in pairs.items() if c >= 2), key=lambda x: (-x[5], x[0], x[1]))
+            taken = merges._accepted_by_score(head[:size], len(head) >= size, known, merges.continued) if head else []
+            if not taken:
+                break
+            several += len(taken) > 1
+            for a, b in taken:
+                got.append((a, b))
+                known.add(merges.continued(a, b))
+                new = []
+                for t, n in state:
+                    out, i = [], 0
+                    while i < len(t):
+                        hit = i + 1 < len(t) and t[i] == a and t[i + 1] == b
+                        out.append(merges.continued(a, b) if hit else t[i])
+                        i += 2 if hit else 1
+                    new.append((out, n))
+                state = new
+        assert got[: len(want)] == want[: len(got)], seed
+    assert several > 50
+
+
 def test_text_functions(spark):
     cases = {"hello": "▁hello", "hello  world": "▁hello▁world", "  hello\t": "▁hello", "": "", " \t ": "", "a b c": "▁a b▁c"}
     got = {r[0]: r[1] for r in spark.createDataFrame([(k,) for k in cases], "s string").select("s", T.marked_sentence("s")).collect()}
