@@ -22,9 +22,9 @@ def crc_fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, size: str = "n", most: int = 1000) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, size: str = "n", most: int = 1000) -> DataFrame:
     """left join right on `key`, a binary that is unique in right, whose column `size` tells how many rows
-    of left have it. Keys with more than a `most`-th of all these rows, so fewer than `most` of them, are
+    of left have it; `by` is a column of left that tells these apart. Keys with more than a `most`-th of all these rows, so fewer than `most` of them, are
     broadcast; their rows never meet in one task. The rest is joined by sorting, whatever its size. `size`
     itself is dropped."""
     right = written(right)
@@ -34,7 +34,7 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, size: str = "n", most:
     found = left.join(F.broadcast(hot.select(key, *[F.col(c).alias(f"__{c}") for c in names], F.lit(True).alias("__hot"))), key, "left")
     # a key already found is spread out by a value that meets nothing
     others = [F.col(c) for c in left.columns]
-    apart = F.when(F.col("__hot").isNotNull(), F.concat(F.col(key), F.xxhash64(*others).cast("string").cast("binary"))).otherwise(F.col(key))
+    apart = F.when(F.col("__hot").isNotNull(), F.concat(F.col(key), F.xxhash64(by).cast("string").cast("binary"))).otherwise(F.col(key))
     joined = found.withColumn("__key", apart).join(rest.select(F.col(key).alias("__key"), *names).hint("merge"), "__key", "left")
     return joined.select(*others, *[F.coalesce(f"__{c}", c).alias(c) for c in names])
 

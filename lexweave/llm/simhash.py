@@ -339,7 +339,7 @@ def near_groups(docs: DataFrame, like: Similarity = NARROW, *, text: str = "text
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")).where("node is not null"))
     roots = _roots(distinct, like)
     named = distinct.join(roots.select(F.col("v").alias("node"), "root"), "node", "left").where("n > 1 or root is not null")
-    found = hot_join(marked, named.select("fp", F.coalesce("root", "node").alias("component_id"), "n"), "fp")
+    found = hot_join(marked, named.select("fp", F.coalesce("root", "node").alias("component_id"), "n"), "fp", "doc_id")
     return found.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -351,7 +351,7 @@ def one_of_each(docs: DataFrame, like: Similarity = WIDE, *, text: str = "text",
     distinct = written(marked.groupBy("fp").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")))
     roots = _roots(distinct, like)
     named = distinct.join(roots.select(F.col("v").alias("node"), "root"), "node", "left").where("n > 1 or root is not null")
-    grouped = hot_join(marked, named.select("fp", F.coalesce("root", "node").alias("root"), "n"), "fp").select("row", F.coalesce("root", "row").alias("root"))
+    grouped = hot_join(marked, named.select("fp", F.coalesce("root", "node").alias("root"), "n"), "fp", "row").select("row", F.coalesce("root", "row").alias("root"))
     # a row without company is its own component
     ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("id")).join(grouped, "row")
     ids = written(ids)

@@ -89,6 +89,10 @@ def test_one_of_each_text(spark, tmp_path):
             best[key] = min(best.get(key, (1,)), (-len(t or ""), math.inf if d is None else d, d, t), key=lambda x: x[:2])
         assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((b[2], b[3]) for b in best.values()), key=str)
     assert exact_dedup.one_of_each(docs.where("false")).count() == 0
+    mapped = simhash.written(docs.withColumn("m", F.create_map(F.lit("a"), F.lit(1))))  # no hash or order of its own
+    assert exact_dedup.one_of_each(mapped).count() == len(best)
+    near = simhash.brute_force({k: t for k, (_, t) in enumerate(rows) if t != "x" * 200_000})
+    assert simhash.one_of_each(mapped, simhash.NARROW).count() == len({root for _, root in near.values()}) + 1
 
 
 def test_sharding(spark, tmp_path):
