@@ -98,7 +98,8 @@ def _viterbi(i: int) -> str:
     """Best paths under model{i}. Every character is a piece, so every place is reached. Of equal scores the
     longest last piece wins; a place keeps the scores of the sixteen places before it."""
     return f""", hits{i} AS (SELECT sid, e, k, lp FROM (
-        SELECT sid, e, k, substr(s, e - k + 1, k) AS token FROM (SELECT sid, s, e, unnest(range(1, least(e, 16) + 1)) AS k FROM (SELECT sid, s, unnest(range(1, len + 1)) AS e FROM numbered)))
+        SELECT sid, e, k, substr(s, e - k + 1, k) AS token FROM (SELECT sid, s, e, unnest(range(1, least(e, longest) + 1)) AS k
+        FROM (SELECT sid, s, unnest(range(1, len + 1)) AS e FROM numbered), (SELECT max(length(token)) AS longest FROM model{i})))
         JOIN model{i} USING (token)),
     edges{i} AS MATERIALIZED (SELECT sid, e, list(k ORDER BY k DESC) AS ks, list(lp ORDER BY k DESC) AS lps FROM hits{i} GROUP BY sid, e),
     walk{i}(sid, e, w, k) AS (SELECT sid, 0::BIGINT, [0.0::DOUBLE], 0::BIGINT FROM numbered
