@@ -23,19 +23,18 @@ def crc_fold(id_col: str, folds: int) -> Column:
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, size: str = "n", most: int = 1000) -> DataFrame:
-    """left join right on `key`, a binary that is unique in right, whose column `size` tells how many rows
-    of left have it; `by` is a column of left that tells these apart. Keys with more than a `most`-th of all these rows, so fewer than `most` of them, are
-    broadcast; their rows never meet in one task. The rest is joined by sorting, whatever its size. `size`
-    itself is dropped."""
-    right = written(right)
+    """left join right on `key`, which is unique in right, a written table whose column `size` tells how many
+    rows of left have it; `by` is a column of left that tells these apart. Keys with more than a `most`-th of
+    all these rows, so fewer than `most` of them, are broadcast; their rows never meet in one task. The rest
+    is joined by sorting, whatever its size. `size` itself is dropped."""
     bar = (right.agg(F.sum(size)).first()[0] or 0) // most
-    names = [c for c in right.columns if c not in (key, size)]
-    hot, rest = (right.where(F.col(size) > bar), right.where(F.col(size) <= bar))
+    names, others = [c for c in right.columns if c not in (key, size)], [F.col(c) for c in left.columns]
+    hot, rest = right.where(F.col(size) > bar), right.where(F.col(size) <= bar)
     found = left.join(F.broadcast(hot.select(key, *[F.col(c).alias(f"__{c}") for c in names], F.lit(True).alias("__hot"))), key, "left")
-    # a key already found is spread out by a value that meets nothing
-    others = [F.col(c) for c in left.columns]
-    apart = F.when(F.col("__hot").isNotNull(), F.concat(F.col(key), F.xxhash64(by).cast("string").cast("binary"))).otherwise(F.col(key))
-    joined = found.withColumn("__key", apart).join(rest.select(F.col(key).alias("__key"), *names).hint("merge"), "__key", "left")
+    # a key already found is spread out, and meets nothing more
+    part = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(by), F.lit(997)) + 1).otherwise(0).alias("__part")
+    apart = found.select(*others, *[f"__{c}" for c in names], part)
+    joined = apart.join(rest.select(key, *names, F.lit(0).cast("long").alias("__part")).hint("merge"), [key, "__part"], "left")
     return joined.select(*others, *[F.coalesce(f"__{c}", c).alias(c) for c in names])
 
 

@@ -47,7 +47,7 @@ def _joined(rows: DataFrame, groups: DataFrame, whole: DataFrame, digest: Callab
     keyed = rows.withColumn("digest", digest(F.col("content")))
     if shared.isEmpty():
         several = groups.where("group_size > 1").select("digest", *names, "group_size", F.col("group_size").alias("n"))
-        return hot_join(keyed.drop("content"), several, "digest", keyed.columns[0])
+        return hot_join(keyed.drop("content"), written(several), "digest", keyed.columns[0])
     return keyed.join(whole.where("group_size > 1").select("digest", "content", *names, "group_size"), ["digest", "content"], "left")
 
 

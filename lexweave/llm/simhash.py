@@ -55,7 +55,7 @@ class Similarity:
             edges = [round(bits * k / blocks) for k in range(blocks + 1)]
             parts = [np.arange(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False)]
             return [np.concatenate(c) for c in combinations(parts, blocks - self.distance)]
-        meet = (1 - self.distance / bits) ** want
+        meet = math.comb(bits - self.distance, want) / math.comb(bits, want)
         rng = np.random.default_rng(1)
         return [np.sort(rng.choice(bits, want, replace=False)) for _ in range(max(1, math.ceil(math.log(1 - self.recall) / math.log1p(-meet))))]
 
@@ -301,16 +301,17 @@ def components(edges: DataFrame) -> DataFrame:
     """v and root (the smallest id reachable) of every vertex that isn't its own root. edges: a, b long.
 
     Alternates large and small stars until nothing moves, some log2(vertices) squared rounds at most; each
-    round is a written table. A star's centre may be a hot join key: adaptive skew joins split it.
+    round is written tables. The centre of a star may have a third of all edges, so both joins broadcast
+    what hot vertices need.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("root")).distinct())
     state = None
     while True:
         both = edges.union(edges.select(F.col("root").alias("v"), F.col("v").alias("root")))
-        least = both.groupBy("v").agg(F.min("root").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.where("root > v").join(least, "v").select(F.col("root").alias("v"), F.col("m").alias("root")).distinct()
-        below = large.groupBy("v").agg(F.min("root").alias("m"))
-        small = large.join(below, "v").select(F.col("root").alias("x"), "m", "v")
+        least = written(both.groupBy("v").agg(F.min("root").alias("m"), F.count(F.lit(1)).alias("n")).select("v", F.least("v", "m").alias("m"), "n"))
+        large = written(hot_join(both, least, "v", "root").where("root > v").select(F.col("root").alias("v"), F.col("m").alias("root")).distinct())
+        below = written(large.groupBy("v").agg(F.min("root").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = hot_join(large, below, "v", "root").select(F.col("root").alias("x"), "m", "v")
         stars = small.where("x <> m").select(F.col("x").alias("v"), F.col("m").alias("root")).union(below.select("v", F.col("m").alias("root"))).distinct()
         edges = written(stars)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "root").cast("decimal(20,0)"))).first()
@@ -339,7 +340,7 @@ def near_groups(docs: DataFrame, like: Similarity = NARROW, *, text: str = "text
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")).where("node is not null"))
     roots = _roots(distinct, like)
     named = distinct.join(roots.select(F.col("v").alias("node"), "root"), "node", "left").where("n > 1 or root is not null")
-    found = hot_join(marked, named.select("fp", F.coalesce("root", "node").alias("component_id"), "n"), "fp", "doc_id")
+    found = hot_join(marked, written(named.select("fp", F.coalesce("root", "node").alias("component_id"), "n")), "fp", "doc_id")
     return found.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -351,7 +352,7 @@ def one_of_each(docs: DataFrame, like: Similarity = WIDE, *, text: str = "text",
     distinct = written(marked.groupBy("fp").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")))
     roots = _roots(distinct, like)
     named = distinct.join(roots.select(F.col("v").alias("node"), "root"), "node", "left").where("n > 1 or root is not null")
-    grouped = hot_join(marked, named.select("fp", F.coalesce("root", "node").alias("root"), "n"), "fp", "row").select("row", F.coalesce("root", "row").alias("root"))
+    grouped = hot_join(marked, written(named.select("fp", F.coalesce("root", "node").alias("root"), "n")), "fp", "row").select("row", F.coalesce("root", "row").alias("root"))
     # a row without company is its own component
     ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("id")).join(grouped, "row")
     ids = written(ids)
