@@ -308,3 +308,34 @@ def test_sources_sinks_stream_and_command(spark, tmp_path, capsys):
     stream = spark.readStream.schema("word string").parquet(str(tmp_path / "in"))
     apply.to_table(apply.tokenized(stream, Bpe([("a", "b", "ab")]), "word"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert {r.word: r.tokens for r in spark.read.parquet(str(tmp_path / "out")).collect()}["abd"] == ["ab", "d"]
+
+
+def test_command_line_flags(spark, tmp_path, capsys):
+    """Every mode of every kind: dump before tokenize, tokenize before timing."""
+    path = tmp_path / "lines.txt"
+    path.write_text("abab abab\nabab\ncdcd\nabcd x\n# no\nlast line\n")
+    run = lambda *args: (main([*map(str, args)], spark), capsys.readouterr().out)
+    lines = lambda name: "".join(f.read_text() for f in sorted((tmp_path / name).glob("part-*"))).splitlines()
+    where = ("--file", path)
+    assert run("bpe", *where, "--max-words", 4, "--merges", 2, "--min-pair", 2, "--dump-rules", tmp_path / "r", "--tokenize", "x") == (0, "")
+    assert lines("r") == ["a\tb", "c\td"]
+    assert run("bpe", *where, "--merges", 1, "--tokenize", 'ab"\\')[1] == '["ab", "\\"", "\\\\"]\n'
+    assert run("bpe", *where, "--min-pair", 99, "--tokenize", "ab")[1] == '["a", "b"]\n'
+    code, out = run("bpe", *where, "--runs", 2)
+    found = [float(x) for x in out.split("ms: min ")[1].replace(", mean ", " ").replace(", max ", " ").replace(";", "").split()[:3]]
+    assert code == 0 and out.startswith("rows 5, characters 20, mean 4.00") and found == sorted(found)
+    assert run("wordpiece", *where, "--vocab-size", 11, "--min-pair", 2, "--tokenize", "abab")[1].startswith('["ab')
+    code, out = run("wordpiece", *where, "--max-words", 3, "--vocab-size", 4, "--runs", 0, "--top-tokens", 1)
+    assert code == 0 and out.splitlines()[-1] == "##b\t4"
+    assert run("sentence", *where, "--vocab-size", 9, "--coverage", 0.8, "--min-pair", 2, "--dump-vocab", tmp_path / "v")[0] == 0
+    assert lines("v")[0] == "<unk>" and len(lines("v")) <= 9
+    assert run("sentence", *where, "--max-lines", 1, "--vocab-size", 4, "--tokenize", "zz")[1] == '["▁", "<unk>", "<unk>"]\n'
+    assert run("unigram", *where, "--max-lines", 3, "--vocab-size", 8, "--vocab-factor", 2, "--em-iters", 1, "--prune-ratio", 0.3, "--dump-vocab", tmp_path / "u")[0] == 0
+    assert lines("u") == sorted(lines("u")) and all(len(x.split("\t")[1].split(".")[1]) == 6 for x in lines("u"))
+    assert run("unigram", *where, "--vocab-size", 8, "--vocab-factor", 2, "--tokenize", "abab")[1].startswith('["▁')
+    assert run("unigram", *where, "--vocab-size", 8, "--runs", 1, "--save", tmp_path / "m")[0] == 0
+    assert models.load(spark, str(tmp_path / "m")).model.vocab
+    for wrong in (["bpe"], ["bpe", "--file", str(path), "--merges", "many"], ["nothing"]):
+        with pytest.raises(SystemExit):
+            main(wrong, spark)
+    assert main(["bpe", "--file", str(tmp_path / "missing")], spark) == 1
