@@ -263,16 +263,25 @@ class Bm25:
         self.dense = np.zeros((len(common), self.n))
         here = self.row[term] >= 0
         self.dense[self.row[term[here]], doc[here]] = weight[here]
+        self.live = np.arange(self.n)
+
+    def keep(self, wanted: np.ndarray) -> None:
+        """Only these remainders are scored from now on; weights stay as they are."""
+        stays, place = wanted[self.live], np.cumsum(wanted[self.live]) - 1
+        held = stays[self.doc]
+        self.at = np.concatenate([[0], np.cumsum(held)])[self.at]
+        self.doc, self.weight = place[self.doc[held]], self.weight[held]
+        self.dense, self.live = self.dense[:, stays], self.live[stays]
 
     def scores(self, seed: int) -> np.ndarray:
-        """Of every remainder for the seed's terms; terms of one remainder only find nobody."""
+        """Of the live remainders for the seed's terms; terms of one remainder only find nobody."""
         terms = self.own[seed][self.df[self.own[seed]] > 1]
         rows = self.row[terms]
-        out, rare = self.dense[rows[rows >= 0]].sum(0), terms[rows < 0].tolist()
-        if rare:
-            docs = np.concatenate([self.doc[self.at[t] : self.at[t + 1]] for t in rare])
-            out += np.bincount(docs, np.concatenate([self.weight[self.at[t] : self.at[t + 1]] for t in rare]), self.n)
-        return out
+        rare = terms[rows < 0]
+        size = self.at[rare + 1] - self.at[rare]
+        ends = np.cumsum(size)
+        postings = np.repeat(self.at[rare] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        return self.dense[rows[rows >= 0]].sum(0) + np.bincount(self.doc[postings], self.weight[postings], len(self.live))
 
 
 def fill(lengths: np.ndarray, index: Bm25, window: int) -> list[list[int]]:
@@ -291,9 +300,11 @@ def fill(lengths: np.ndarray, index: Bm25, window: int) -> list[list[int]]:
         take(seed)
         row, room = [seed], window - int(lengths[seed])
         if open_ and open_[0][0] <= room:
-            scores = index.scores(seed)
-            near = np.flatnonzero((scores > 0) & unused & (lengths <= room))
-            for i in near[np.lexsort((near, -scores[near]))].tolist():
+            if len(index.live) > 2 * len(open_):  # most have their place: the others' postings are enough
+                index.keep(unused)
+            scores, live = index.scores(seed), index.live
+            near = np.flatnonzero((scores > 0) & unused[live] & (lengths[live] <= room))
+            for i in live[near[np.lexsort((near, -scores[near]))]].tolist():
                 size = int(lengths[i])
                 # a neighbour may not close the window to all others, unless it fills it
                 if size <= room and (size == room or room - size >= open_[0][0]):
