@@ -37,9 +37,9 @@ def main() -> None:
     # the table-at-a-time loops, which histograms beyond the compact bound take
     pieces = words.select(F.explode(T.continuation_pieces("word")).alias("t")).distinct().count()
     apart = {
-        "bpe_train_60_distributed": lambda: Bpe.train(words, BpeConfig(60, 2), compact_symbols=0),
-        "wordpiece_train_8_distributed": lambda: WordPiece.train(words, WordPieceConfig(pieces + 8, 2), compact_symbols=0),
-        "sentence_bpe_train_30_distributed": lambda: SentenceBpe.train(sentences, SentenceBpeConfig(len(SentenceBpe.alphabet(sentences, 0.9995)) + 31, 0.9995, 2), compact_symbols=0),
+        "bpe_train_30_distributed": lambda: Bpe.train(words, BpeConfig(30, 2), compact_symbols=0),
+        "wordpiece_train_4_distributed": lambda: WordPiece.train(words, WordPieceConfig(pieces + 4, 2), compact_symbols=0),
+        "sentence_bpe_train_15_distributed": lambda: SentenceBpe.train(sentences, SentenceBpeConfig(len(SentenceBpe.alphabet(sentences, 0.9995)) + 16, 0.9995, 2), compact_symbols=0),
     }
     took = {}
     for name, run in (runs | apart).items():
