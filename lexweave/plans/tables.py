@@ -25,10 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost
-    executors. The files go when the session's file system closes."""
+    executors. The files go when the session's file system closes, or with forget()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexweave-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _files(spark, path, lambda system, where: system.deleteOnExit(where))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete what written() made, once everything read from it is written too."""
+    for table in tables:
+        if path := getattr(table, "written_to", None):
+            _files(table.sparkSession, path, lambda system, where: system.delete(where, True))
+
+
+def _files(spark: SparkSession, path: str, act) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    act(where.getFileSystem(spark._jsc.hadoopConfiguration()), where)
