@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import shared_dir, written  # noqa: F401
+from ..plans.tables import forget, shared_dir, written  # noqa: F401
 
 #: The characters of [\x20\x09-\x0D].
 SPACES = b" \t\n\x0b\x0c\r"

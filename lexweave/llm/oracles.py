@@ -92,9 +92,69 @@ PII = rf"""
            sha256(coalesce(base_list, '')) AS base_sha256, coalesce(span_list, '') AS spans
     FROM d LEFT JOIN told USING (doc_id)"""
 
+
+def _lloyd(k: int = 40, rounds: int = 5, size: int = 64) -> str:
+    """All vectors against all centroids in every round, each round a few tables of its own."""
+    steps = [
+        f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, [floor(x::DOUBLE * 256)::BIGINT FOR x IN embedding] AS v FROM embeddings
+                       WHERE len(embedding) = {size} AND len([1 FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = {size}),
+         parts AS MATERIALIZED (SELECT row, unnest(v) AS x, unnest(range({size})) AS i FROM kept),
+         c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM kept
+                ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), kept.v LIMIT {k})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (SELECT row, best.c AS c, best.d AS d FROM (SELECT row, min({{'d': d, 'c': c}}) AS best FROM
+                   (SELECT row, c, list_sum([(kept.v[i] - c{r}.v[i]) * (kept.v[i] - c{r}.v[i]) FOR i IN range(1, {size + 1})])::BIGINT AS d FROM kept, c{r}) GROUP BY row))"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM
+                   (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM a{r} JOIN parts USING (row) GROUP BY c, i) GROUP BY c),
+         c{r + 1} AS MATERIALIZED (SELECT c{r}.c AS c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (c))"""
+            )
+    return (
+        ",\n         ".join(steps)
+        + f"""
+    SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+           sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN kept USING (row) JOIN c{rounds} USING (c)"""
+    )
+
+
+CLUSTERS = _lloyd()
+
+#: CRC-32 by its table of 256 remainders, over the hexadecimal digits of each distinct n-gram.
+RESAMPLING = rf"""
+    WITH remainders AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+                               lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(b))),
+         d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+         b AS MATERIALIZED (SELECT {_WORDS} AS w FROM benchmark),
+         words AS (SELECT row, unnest(w) AS w1, unnest(range(len(w))) AS i FROM d),
+         runs AS (SELECT row, w1, lead(w1) OVER (PARTITION BY row ORDER BY i) AS w2 FROM words),
+         grams AS MATERIALIZED (SELECT row, gram FROM (SELECT row, unnest([w1, w1 || ' ' || w2]) AS gram FROM runs) WHERE gram IS NOT NULL),
+         aims AS MATERIALIZED (SELECT unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS gram FROM b),
+         coded AS MATERIALIZED (SELECT gram, xor(4294967295, list_reduce([4294967295] || [('0x' || substring(h, 2 * i + 1, 2))::BIGINT FOR i IN range(length(h) // 2)],
+                          lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) % 10000 AS bucket
+                   FROM (SELECT gram, hex(encode(gram)) AS h FROM (SELECT gram FROM grams UNION SELECT gram FROM aims)), remainders),
+         source AS (SELECT bucket, count(*) AS s FROM grams JOIN coded USING (gram) GROUP BY bucket),
+         target AS (SELECT bucket, count(*) AS t FROM aims JOIN coded USING (gram) GROUP BY bucket),
+         sums AS (SELECT (SELECT count(*) FROM grams) AS s_all, (SELECT count(*) FROM aims) AS t_all),
+         gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain
+                   FROM source LEFT JOIN target USING (bucket), sums),
+         weighed AS (SELECT row, count(*) AS n, sum(gain)::BIGINT AS g FROM grams JOIN coded USING (gram) JOIN gains USING (bucket) GROUP BY row),
+         scored AS (SELECT doc_id, d.row AS row, len(w) AS words, coalesce(n, 0) AS n_features,
+                           coalesce((g - ((g % n) + n) % n) // n, 0) AS weight,
+                           ('0x' || substring(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN weighed USING (row)),
+         noisy AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score FROM scored),
+         placed AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, row) AS place, count(*) OVER () AS n FROM noisy WHERE words >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM noisy LEFT JOIN placed USING (row)"""
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": EXACT_DEDUP,
     "op4_suffix_dedup": SUFFIX_DEDUP,
     "op5_decontaminate": DECONTAMINATE,
     "op8_pii": PII,
+    "op12_clustering": CLUSTERS,
+    "op13_resampling": RESAMPLING,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, packing, pii, quality, sharding, simhash, suffix_dedup, urls
+from . import clustering, decontaminate, exact_dedup, language, packing, pii, quality, resampling, sharding, simhash, suffix_dedup, toxicity, urls
 from .common import crc_fold, shared_dir
 from .oracles import ORACLES  # noqa: F401
 
@@ -76,6 +76,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, machine).withColumn("held_out", held)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held = crc_fold("doc_id", 3) == 1
+    machine = toxicity.learn(docs, _read(spark, sf_dir, "labels").where(~held))
+    return toxicity.score(docs, machine).withColumn("held_out", held)
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.with_inertia(*clustering.cluster(_read(spark, sf_dir, "embeddings")))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language": op2_language,
@@ -87,4 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
+    "op11_toxicity": op11_toxicity,
+    "op12_clustering": op12_clustering,
+    "op13_resampling": op13_resampling,
 }
