@@ -22,6 +22,12 @@ def crc_fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, all): docs written once with a number for each row and its columns as a struct. A number that is
+    computed in each plan that reads a table depends on how that plan splits it; this one doesn't."""
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all")))
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, size: str = "n", most: int = 1000) -> DataFrame:
     """left join right on `key`, which is unique in right, a written table whose column `size` tells how many
     rows of left have it; `by` is a column of left that tells these apart. Keys with more than a `most`-th of

@@ -17,7 +17,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, text_or_empty, written
+from .common import hot_join, numbered, text_or_empty, written
 
 _ID_SPAN = Decimal(10**20)
 _ID_TOP = Decimal(2**63 - 1)
@@ -73,10 +73,10 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
 
 def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", salts: int = 16, digest: Callable[[Column], Column] = sha256_of) -> DataFrame:
-    """The rows of docs, a table read from files, with one row of each text: the one exact_dedup keeps, or
-    one of those that repeat it. Rows with a null doc_id are rows like any other. All columns stay."""
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), normalised(text_or_empty(text)).alias("content"), F.length(text_or_empty(text)).alias("points"), own)
+    """The rows of docs with one row of each text: the one exact_dedup keeps, or one of those that repeat it.
+    Rows with a null doc_id are rows like any other. All columns stay."""
+    body = F.coalesce(F.col(f"all.`{text}`"), F.lit(""))
+    rows = numbered(docs).select("row", F.col(f"all.`{doc_id}`").cast("long").alias("doc_id"), normalised(body).alias("content"), F.length(body).alias("points"), "all")
     whole = _groups(rows, salts, digest)
     groups = written(whole.drop("content", "rank"))
     joined = _joined(rows.select("row", "content", "all"), groups, whole, digest, ["first"])

@@ -8,7 +8,8 @@ near equal.
 Groups are equal texts. A text's hash decides its slot, so copies share a slot and thus a shard, as long
 as they hold no more bytes than a slot does on average. The groups that do, fewer than there are slots,
 are named in the map and spread over all slots by doc_id, for no shard could hold them and be near equal.
-Where even one record repeats that often, its place in the table spreads it.
+Where even one record repeats that often, its place in the table spreads it: a number written with the row,
+so that `shard` and `write_shards` of one numbered table agree on every row.
 """
 
 from __future__ import annotations
@@ -65,15 +66,17 @@ class SlotMap:
         return SlotMap(**json.loads(found["map"]))
 
 
-def _body(text: str) -> Column:
-    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+def _source(docs: DataFrame, whole: bool, text: str, doc_id: str) -> tuple[Column, Column, Column]:
+    """The id, body and row number of docs, or with `whole` of a table that common.numbered made."""
+    own = (lambda c: F.col(f"all.`{c}`")) if whole else (lambda c: F.col(f"`{c}`"))
+    return own(doc_id).cast("long"), F.coalesce(own(text).cast("string"), F.lit("")), F.col("row") if whole else F.monotonically_increasing_id()
 
 
 def record_hash(doc_id: Column, text_hash: Column) -> Column:
     return F.xxhash64(doc_id, text_hash)
 
 
-def virtual_slot(doc_id: Column, text_hash: Column, slot_map: SlotMap | None, slots: int = SLOTS) -> Column:
+def virtual_slot(doc_id: Column, text_hash: Column, slot_map: SlotMap | None, row: Column, slots: int = SLOTS) -> Column:
     """The slot of a record; without a map of every text by its hash alone."""
     spread = lambda values: F.array(*[F.lit(x).cast("long") for x in values]) if values else F.array().cast("array<long>")
     record = record_hash(doc_id, text_hash)
@@ -81,7 +84,7 @@ def virtual_slot(doc_id: Column, text_hash: Column, slot_map: SlotMap | None, sl
     if slot_map and slot_map.spread_texts:
         by = F.when(F.array_contains(spread(slot_map.spread_texts), text_hash), record).otherwise(by)
     if slot_map and slot_map.spread_records:
-        by = F.when(F.array_contains(spread(slot_map.spread_records), record), F.xxhash64(record, F.monotonically_increasing_id())).otherwise(by)
+        by = F.when(F.array_contains(spread(slot_map.spread_records), record), F.xxhash64(record, row)).otherwise(by)
     return F.pmod(by, F.lit(slots)).cast("int")
 
 
@@ -123,11 +126,11 @@ def rebalanced(old: SlotMap, loads: dict[int, int], shards: int) -> SlotMap:
     return SlotMap(old.version + 1, shards, owner, moved, old.spread_texts, old.spread_records)
 
 
-def measured(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, size, text_crc32, text_hash of every row. A null text has no bytes (crc32 of nothing: 0);
+def measured(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", whole: bool = False) -> DataFrame:
+    """row, doc_id, size, text_crc32, text_hash of every row. A null text has no bytes (crc32 of nothing: 0);
     size is its UTF-8 bytes plus 1."""
-    body = _body(text)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(body).alias("text_hash"))
+    ident, body, row = _source(docs, whole, text, doc_id)
+    return docs.select(row.alias("row"), ident.alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(body).alias("text_hash"))
 
 
 def spread_of(rows: DataFrame, slots: int = SLOTS) -> SlotMap:
@@ -155,22 +158,23 @@ def plan(docs: DataFrame, shards: int = 8, *, text: str = "text", doc_id: str =
 
 def _planned(rows: DataFrame, shards: int, slots: int) -> SlotMap:
     spread = spread_of(rows, slots)
-    placed = rows.withColumn("vslot", virtual_slot(F.col("doc_id"), F.col("text_hash"), spread, slots))
+    placed = rows.withColumn("vslot", virtual_slot(F.col("doc_id"), F.col("text_hash"), spread, F.col("row"), slots))
     made = first_map({s: b for s, (b, _) in slot_loads(placed).items()}, shards, slots)
     made.spread_texts, made.spread_records = spread.spread_texts, spread.spread_records
     return made
 
 
-def shard(docs: DataFrame, shards: int = 8, *, text: str = "text", doc_id: str = "doc_id", slots: int = SLOTS, slot_map: SlotMap | None = None, map_folder: str | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, *, text: str = "text", doc_id: str = "doc_id", slots: int = SLOTS, slot_map: SlotMap | None = None, map_folder: str | None = None, whole: bool = False) -> DataFrame:
     """One row per row: doc_id, size, text_crc32, vslot, shard, slot (its place in the shard, gapless
     from 0, by virtual slot, then doc_id).
 
     Null texts and ids are ordinary rows; rows that repeat get neighbouring places; an empty table
     gives no rows; other columns are ignored. A slot_map given is used as it is; else one is made, and
-    with a map_folder stored there as version 1 and read back.
+    with a map_folder stored there as version 1 and read back. With `whole` docs is what common.numbered
+    made of a table, which write_shards then puts in the same shards.
     """
     spark = docs.sparkSession
-    rows = written(measured(docs, text=text, doc_id=doc_id))
+    rows = written(measured(docs, text=text, doc_id=doc_id, whole=whole))
     if slot_map is None:
         slot_map = _planned(rows, shards, slots)
         if map_folder:
@@ -178,7 +182,7 @@ def shard(docs: DataFrame, shards: int = 8, *, text: str = "text", doc_id: str =
             slot_map = SlotMap.load(spark, map_folder)
     owners = slot_map.owner
     slots = len(owners)
-    rows = written(rows.withColumn("vslot", virtual_slot(F.col("doc_id"), F.col("text_hash"), slot_map, slots)))
+    rows = written(rows.withColumn("vslot", virtual_slot(F.col("doc_id"), F.col("text_hash"), slot_map, F.col("row"), slots)))
     loads = slot_loads(rows)
     base, used = [0] * slots, [0] * (max(owners) + 1)
     for s in range(slots):
@@ -190,14 +194,17 @@ def shard(docs: DataFrame, shards: int = 8, *, text: str = "text", doc_id: str =
     return numbered.join(F.broadcast(place), "vslot").select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("base") + F.col("within") - 1).alias("slot"))
 
 
-def write_shards(docs: DataFrame, folder: str, slot_map: SlotMap, *, text: str = "text", doc_id: str = "doc_id") -> str:
+def write_shards(docs: DataFrame, folder: str, slot_map: SlotMap, *, text: str = "text", doc_id: str = "doc_id", whole: bool = False) -> str:
     """Whole rows as Parquet, one folder a shard. Gives the name of the folders' column: `shard`, with
-    as many underscores behind it as keep it apart from the table's own columns."""
-    taken, name = {c.lower() for c in docs.columns}, "shard"
+    as many underscores behind it as keep it apart from the table's own columns. With `whole` docs is a
+    numbered table, and every row goes where `shard` says; else copies of one spread record, which are alike,
+    may change places among themselves."""
+    names = docs.schema["all"].dataType.names if whole else docs.columns
+    taken, name = {c.lower() for c in names}, "shard"
     while name in taken:
         name += "_"
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    slot = virtual_slot(F.col(doc_id).cast("long"), F.xxhash64(_body(text)), slot_map, len(slot_map.owner))
-    owner = F.element_at(F.array(*[F.lit(s) for s in slot_map.owner]), slot + 1)
-    docs.select(*columns, owner.alias(name)).write.partitionBy(name).parquet(folder)
+    ident, body, row = _source(docs, whole, text, doc_id)
+    slot = virtual_slot(ident, F.xxhash64(body), slot_map, row, len(slot_map.owner))
+    owner = F.element_at(F.array(*[F.lit(s) for s in slot_map.owner]), slot + 1).alias(name)
+    docs.select("all.*" if whole else "*", owner).write.partitionBy(name).parquet(folder)
     return name

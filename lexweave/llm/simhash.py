@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, texts_of, written
+from .common import forget, hot_join, numbered, texts_of, written
 
 _LEAF, _FAN, _CHUNK = 32, 8, 4096
 #: Rows of buckets held at a time, and how many fingerprints of unlike texts a bucket is meant to hold.
@@ -63,7 +63,7 @@ class Similarity:
 #: The settings of the query: exact at four bits.
 NARROW = Similarity()
 #: Five-word shingles with a Jaccard similarity of 0.8 have about 15 % of their bits different.
-WIDE = Similarity(words=5, lanes=4, distance=40, recall=0.9)
+WIDE = Similarity(words=5, lanes=4, distance=40, recall=0.95)
 
 
 def _mixed(h: np.ndarray, odd: int) -> np.ndarray:
@@ -313,7 +313,8 @@ def components(edges: DataFrame) -> DataFrame:
         below = written(large.groupBy("v").agg(F.min("root").alias("m"), F.count(F.lit(1)).alias("n")))
         small = hot_join(large, below, "v", "root").select(F.col("root").alias("x"), "m", "v")
         stars = small.where("x <> m").select(F.col("x").alias("v"), F.col("m").alias("root")).union(below.select("v", F.col("m").alias("root"))).distinct()
-        edges = written(stars)
+        edges, before = written(stars), edges
+        forget(before, least, large, below)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "root").cast("decimal(20,0)"))).first()
         if tuple(now) == state:
             return edges
@@ -345,20 +346,20 @@ def near_groups(docs: DataFrame, like: Similarity = NARROW, *, text: str = "text
 
 
 def one_of_each(docs: DataFrame, like: Similarity = WIDE, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs, a table read from files, with one row of each component: the one with the
-    smallest doc_id, null ones last, then the first in the files. All columns stay as they are."""
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"))
-    marked = written(fingerprints(rows.select("__row", F.col(f"__all.`{text}`").alias("text")), like, doc_id="__row").withColumnRenamed("doc_id", "row"))
+    """The rows of docs with one row of each component: the one with the smallest doc_id, null ones last,
+    then the first in the table. All columns stay as they are."""
+    rows = numbered(docs)
+    marked = written(fingerprints(rows.select("row", F.col(f"all.`{text}`").alias("text")), like, doc_id="row").withColumnRenamed("doc_id", "row"))
     distinct = written(marked.groupBy("fp").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")))
     roots = _roots(distinct, like)
     named = distinct.join(roots.select(F.col("v").alias("node"), "root"), "node", "left").where("n > 1 or root is not null")
     grouped = hot_join(marked, written(named.select("fp", F.coalesce("root", "node").alias("root"), "n")), "fp", "row").select("row", F.coalesce("root", "row").alias("root"))
     # a row without company is its own component
-    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("id")).join(grouped, "row")
-    ids = written(ids)
+    ids = written(rows.select("row", F.col(f"all.`{doc_id}`").cast("long").alias("id")).join(grouped, "row"))
     best = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("best"))
-    gone = ids.join(best.select("best.row"), "row", "left_anti").select(F.col("row").alias("__row"))
-    return rows.join(gone.hint("merge"), "__row", "left_anti").select("__all.*")
+    gone = written(ids.join(best.select("best.row"), "row", "left_anti").select("row"))
+    forget(marked, distinct, ids)
+    return rows.join(gone.hint("merge"), "row", "left_anti").select("all.*")
 
 
 def brute_force(texts: dict[int, str | None], like: Similarity = NARROW) -> dict[int, tuple[int, int]]:

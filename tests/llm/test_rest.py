@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexweave.llm import decontaminate, exact_dedup, language, packing, quality, sharding, simhash, urls
+from lexweave.llm import common, decontaminate, exact_dedup, language, packing, quality, sharding, simhash, urls
 from lexweave.llm import queries as q
 
 SF = "/root/testdata/sf0.001"
@@ -140,6 +140,33 @@ def test_sharding_groups_and_repeated_records(spark):
     assert max(totals.values()) < 1.02 * min(totals.values())
 
 
+def test_shards_are_written_where_they_are_told(spark, tmp_path):
+    """Rows of spread records too, whatever the layout of the table."""
+    hot = frame(spark, [(1, "one record")] * 3000 + [(k, f"t{k}") for k in range(3000)])
+    one = sharding.plan(hot, 8)
+    assert one.spread_records
+    for k, docs in enumerate((hot.repartition(3), hot.repartition(7, "doc_id"), hot.coalesce(1))):
+        table = common.numbered(docs)
+        told = Counter((r.doc_id, r.shard) for r in sharding.shard(table, slot_map=one, whole=True).collect())
+        name = sharding.write_shards(table, str(tmp_path / str(k)), one, whole=True)
+        back = spark.read.parquet(str(tmp_path / str(k)))
+        assert set(back.columns) == {*hot.columns, name}
+        assert Counter((r.doc_id, r[name]) for r in back.collect()) == told
+
+
+def test_one_of_each_of_any_layout(spark):
+    """The plan reads the table several times with other columns; no text is lost however it is split."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in docs.collect()}
+    near = None
+    for table in (docs, docs.repartition(4), docs.repartition(9, "lang")):
+        kept = [re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in exact_dedup.one_of_each(table).collect()]
+        assert len(kept) == len(set(kept)) and set(kept) == texts
+        ids = sorted(r.doc_id for r in simhash.one_of_each(table, simhash.NARROW).collect())
+        near = near or ids
+        assert ids == near
+
+
 URLS = [
     (1, "https://a.ORG/x", "a.org", "/x", "org/", "allow"), (2, "http://org/", "org", "/", "org/", "allow"), (3, "http://m.example.org/es/9?a#b", "m.example.org", "/es/9", "example.org/es/", "block"),
     (4, "http://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"), (5, "http://example.org/en/2", "example.org", "/en/2", "org/", "allow"), (6, "http://x.com/de/", "x.com", "/de/", "com/de/", "block"),
