@@ -26,7 +26,7 @@ from .common import forget, written
 #: A word, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bytes of text that one statement works on; a longer text goes in parts.
-PART = 4 << 20
+PART = 1 << 20
 _SPILL = "row long, doc_id long, n_words long, n_features long, found binary, buckets array<int>, counts array<long>"
 _INSIDE = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
@@ -53,7 +53,7 @@ def statement(longest: int, buckets: int) -> str:
         SELECT row, (h % {buckets})::INTEGER AS bucket, count(*) AS n FROM hashed GROUP BY 1, 2 ORDER BY 1, 2"""
 
 
-def connection(memory: str = "600MB") -> duckdb.DuckDBPyConnection:
+def connection(memory: str = "300MB") -> duckdb.DuckDBPyConnection:
     """In memory, one thread, nothing on local disks."""
     con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
     con.create_function("zlib_crc32", _crc32, ["VARCHAR[]"], "BIGINT[]", type="arrow")
@@ -77,42 +77,61 @@ def _cut(text: bytes, longest: int) -> Iterator[tuple[int, bytes]]:
         lo = int(begins[k - shared])
 
 
-def _parts(rows: np.ndarray, texts: list[bytes], longest: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Lists of (row, shared, text) of about PART bytes."""
+def _groups(texts: list[bytes], rows: list[int]) -> Iterator[list[int]]:
+    """Rows whose texts have about PART bytes together; a longer text is a group of its own."""
     held, size = [], 0
-    for row, text in zip(rows.tolist(), texts, strict=True):
-        for shared, part in _cut(text, longest) if len(text) > PART else ((0, text),):
-            if held and size + len(part) > PART:
-                yield held
-                held, size = [], 0
-            held.append((row, shared, part))
-            size += len(part)
+    for row in rows:
+        if held and size + len(texts[row]) > PART:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += len(texts[row])
     if held:
         yield held
 
 
-def bucket_counts(con: duckdb.DuckDBPyConnection, texts: list[bytes], longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, bucket, n), sorted: how often n-grams of each text fall in each bucket. Equal texts are
-    worked on once."""
+def _counted(con: duckdb.DuckDBPyConnection, sql: str, rows: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, n), sorted, of rows (row, shared, text)."""
+    row, shared, text = zip(*rows, strict=True)
+    con.register("part", pa.table({"row": pa.array(row, pa.int64()), "shared": pa.array(shared, pa.int64()), "text": pc.ascii_lower(pa.array(text, pa.binary()).cast(pa.string()))}))
+    found = con.sql(sql).to_arrow_table()
+    con.unregister("part")
+    return found["row"].to_numpy(), found["bucket"].to_numpy(), found["n"].to_numpy()
+
+
+def packed(bucket: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending buckets as steps, which are small, then their counts."""
+    return np.diff(bucket, prepend=0).astype("<u2").tobytes() + n.astype("<u4").tobytes()
+
+
+def unpacked(found: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = len(found) // 6
+    return np.cumsum(np.frombuffer(found, "<u2", size).astype(np.int64)), np.frombuffer(found, "<u4", size, 2 * size).astype(np.int64)
+
+
+def bucket_counts(con: duckdb.DuckDBPyConnection, texts: list[bytes], longest: int, buckets: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """How many n-grams each text has, how many fall in each bucket (packed), and the sums over all texts.
+    Equal texts are worked on once."""
     first: dict[bytes, int] = {}
-    same = np.array([first.setdefault(t, k) for k, t in enumerate(texts)], np.int64)
-    rows = np.unique(same)
-    sql, key, n = statement(longest, buckets), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for held in _parts(rows, [texts[k] for k in rows.tolist()], longest):
-        part = pa.table({"row": pa.array([r for r, _, _ in held], pa.int64()), "shared": pa.array([s for _, s, _ in held], pa.int64()), "text": pc.ascii_lower(pa.array([t for _, _, t in held], pa.binary()).cast(pa.string()))})
-        con.register("part", part)
-        found = con.sql(sql).to_arrow_table()
-        con.unregister("part")
-        key.append(found["row"].to_numpy() * buckets + found["bucket"].to_numpy())
-        n.append(found["n"].to_numpy())
-    key, place = np.unique(np.concatenate(key), return_inverse=True)  # parts of one text meet
-    n = np.bincount(place, np.concatenate(n), len(key)).astype(np.int64)
-    # back to every text: those that are equal share their counts
-    at = np.searchsorted(key // buckets, np.arange(len(texts) + 1))
-    sizes = np.diff(at)[same] if len(same) else np.zeros(0, np.int64)
-    ends = np.cumsum(sizes)
-    take = np.repeat(at[same] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-    return np.repeat(np.arange(len(texts)), sizes), key[take] % buckets, n[take]
+    same = [first.setdefault(t, k) for k, t in enumerate(texts)]
+    copies = np.bincount(same, minlength=len(texts)) if texts else np.zeros(0, np.int64)
+    features, found, total = np.zeros(len(texts), np.int64), [b""] * len(texts), np.zeros(buckets, np.int64)
+    sql = statement(longest, buckets)
+    for group in _groups(texts, sorted(first.values())):
+        if len(group) == 1 and len(texts[group[0]]) > PART:  # its parts meet in one array of all buckets
+            sums = np.zeros(buckets, np.int64)
+            for shared, part in _cut(texts[group[0]], longest):
+                _, bucket, n = _counted(con, sql, [(0, shared, part)])
+                np.add.at(sums, bucket, n)
+            bucket = np.flatnonzero(sums)
+            row, n = np.full(len(bucket), group[0]), sums[bucket]
+        else:
+            row, bucket, n = _counted(con, sql, [(k, 0, texts[k]) for k in group])
+        np.add.at(total, bucket, n * copies[row])
+        at = np.searchsorted(row, [*group, group[-1] + 1])
+        for k, a, b in zip(group, at, at[1:], strict=False):
+            features[k], found[k] = n[a:b].sum(), packed(bucket[a:b], n[a:b])
+    return features[same] if texts else features, [found[k] for k in same], total
 
 
 def spilled(docs: DataFrame, *, longest: int, buckets: int, text: str, doc_id: str | None, each: bool) -> DataFrame:
@@ -122,18 +141,11 @@ def spilled(docs: DataFrame, *, longest: int, buckets: int, text: str, doc_id: s
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con, total = connection(), np.zeros(buckets, np.int64)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            owner, bucket, n = bucket_counts(con, texts, longest, buckets)
-            total += np.bincount(bucket, n, buckets).astype(np.int64)
+            features, found, sums = bucket_counts(con, [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()], longest, buckets)
+            total += sums
             if each:
-                at = np.searchsorted(owner, np.arange(len(texts) + 1))
-                features = np.bincount(owner, n, len(texts)).astype(np.int64)
-                step = np.diff(bucket, prepend=0)
-                step[at[:-1][np.diff(at) > 0]] = bucket[at[:-1][np.diff(at) > 0]]  # each document's buckets as steps, which are small
-                packed = [step[a:b].astype("<u2").tobytes() + n[a:b].astype("<u4").tobytes() for a, b in zip(at, at[1:], strict=False)]
-                # f features of w >= longest words: f = w + (w - 1) + ... ; below that all runs count
-                none = pa.nulls(len(texts))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words_in(features, longest)), pa.array(features), pa.array(packed, pa.binary()), none.cast(pa.list_(pa.int32())), none.cast(pa.list_(pa.int64()))], _NAMES)
+                none = pa.nulls(len(found))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words_in(features, longest)), pa.array(features), pa.array(found, pa.binary()), none.cast(pa.list_(pa.int32())), none.cast(pa.list_(pa.int64()))], _NAMES)
         hit = np.flatnonzero(total)
         null = pa.nulls(1, pa.int64())
         yield pa.RecordBatch.from_arrays([null, null, null, null, pa.nulls(1, pa.binary()), pa.array([hit.astype(np.int32)], pa.list_(pa.int32())), pa.array([total[hit]], pa.list_(pa.int64()))], _NAMES)
@@ -146,7 +158,7 @@ _NAMES = ["row", "doc_id", "n_words", "n_features", "found", "buckets", "counts"
 
 
 def words_in(features: np.ndarray, longest: int) -> np.ndarray:
-    """How many words have so many runs of 1 to `longest` words."""
+    """How many words have so many runs of 1 to `longest` words: of w words w + (w - 1) + ..."""
     few = np.arange(longest + 1) * (np.arange(longest + 1) + 1) // 2
     many = (features + longest * (longest - 1) // 2) // longest
     return np.where(features >= few[-1], many, np.searchsorted(few, features))
@@ -181,8 +193,8 @@ def weighed(spill: DataFrame, gain: np.ndarray) -> DataFrame:
         for batch in batches:
             sums = []
             for found in batch.column(4).to_pylist():
-                size = len(found) // 6
-                sums.append(int(gain[np.cumsum(np.frombuffer(found, "<u2", size).astype(np.int64))] @ np.frombuffer(found, "<u4", size, 2 * size).astype(np.int64)))
+                bucket, times = unpacked(found)
+                sums.append(int(gain[bucket] @ times))
             n = np.asarray(batch.column(3))
             weight = np.array(sums, np.int64) // np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(weight)], [*_NAMES[:4], "weight"])
