@@ -1,10 +1,8 @@
 """Learning merge rules: one loop, three criteria.
 
-Two executions give the same rules. The distributed one keeps the weighted segmentations as a table of
-held strings; each round counts adjacent pairs, takes the best few to the driver and rewrites the
-table, accepting several merges a round where that provably changes nothing. The compact one is for
-histograms of bounded size, which is checked: the segmentations become linked integer arrays with an
-index of where each pair stands, so a merge touches only its own places.
+Two executions give the same rules. The distributed one (guessed.py) keeps the weighted segmentations as a
+table of held strings. The compact one is for histograms of bounded size, which is checked: the segmentations
+become linked integer arrays with an index of where each pair stands, so a merge touches only its own places.
 """
 
 from __future__ import annotations
@@ -19,9 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CLOSE, CONTINUES, OPEN, held, pair_score, tokens_of
-from ..plans.tables import written
-from . import counts
+from ..functions.text import CLOSE, CONTINUES, OPEN, held
 
 #: Histograms of at most this many symbols are learned from in memory.
 COMPACT_SYMBOLS = 16_000_000
@@ -62,12 +58,17 @@ class Segments:
     @staticmethod
     def collected(segments: DataFrame) -> Segments:
         """Of a table (tokens, n) of bounded size."""
-        table = segments.select(F.array_join("tokens", CLOSE + OPEN).alias("s"), "n").toArrow().combine_chunks()
-        lists = pc.split_pattern(pc.cast(table["s"], pa.large_string()), CLOSE + OPEN)
+        table = segments.select(F.concat(F.lit(OPEN), F.array_join("tokens", CLOSE + OPEN), F.lit(CLOSE)).alias("s"), "n").toArrow()
+        return Segments.split(table["s"], table["n"])
+
+    @staticmethod
+    def split(held: pa.ChunkedArray, weight: pa.ChunkedArray) -> Segments:
+        """Of held segmentations and their weights."""
+        lists = pc.split_pattern(pc.utf8_slice_codeunits(pc.cast(held, pa.large_string()), 1, -1), CLOSE + OPEN)
         lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.large_list(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        weight = table["n"].to_numpy()
+        weight = weight.to_numpy()
         return Segments(coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), sizes.astype(np.int64), weight.astype(np.int64))
 
 
@@ -102,6 +103,14 @@ class LinkedSegments:
         at, v = np.flatnonzero(self.after >= 0), len(self.names)
         self._add(self.symbol[at] * v + self.symbol[self.after[at]], at, lambda k: (k // v << 32) | k % v)
 
+    def copy(self) -> LinkedSegments:
+        """One that can be merged apart from this one."""
+        out = object.__new__(LinkedSegments)
+        out.names, out.number, out.weight = list(self.names), dict(self.number), self.weight
+        out.symbol, out.after, out.before, out.taken = (x.copy() for x in (self.symbol, self.after, self.before, self.taken))
+        out.places, out.count, out.tokens, out.touched = {k: list(v) for k, v in self.places.items()}, dict(self.count), dict(self.tokens), set(self.touched)
+        return out
+
     def intern(self, token: str) -> int:
         if token not in self.number:
             self.number[token] = len(self.names)
@@ -217,104 +226,13 @@ def learn_compact(rows: Segments, *, by_score: bool, least: int, done: Callable[
     return rules
 
 
-def _accepted(head: list[tuple[str, str, int]], cut: bool, least: int, known: set[str]) -> list[tuple[str, str]]:
-    """Merges that one-at-a-time learning would take in this order as well.
-
-    A later merge can only lower counts of pairs that touch its tokens, and pairs it creates are never
-    more frequent than the pairs they come from. So a pair is safe as long as no pair of its count or of a
-    higher one, itself included, touches a token of those accepted, it stands strictly above what was
-    cut off, and it makes a new string. The first pair is always safe."""
-    taken: list[tuple[str, str]] = []
-    used: set[str] = set()
-    floor = head[-1][2] if cut else least - 1
-    touching: dict[int, set[str]] = {}  # tokens of the pairs of each count
-    for a, b, c in head:
-        touching.setdefault(c, set()).update((a, b))
-    for a, b, c in head:
-        fresh, alone = a + b not in known, a == b
-        if taken and (c <= floor or alone or not fresh or touching[c] & used):
-            break
-        taken.append((a, b))
-        if alone or not fresh:
-            break
-        used |= {a, b}
-        # pairs of this count that are still to come touch what was just taken, or don't
-        touching[c] = set()
-        for x, y, d in head:
-            if d == c and (x, y) not in taken:
-                touching[c].update((x, y))
-    return taken
-
-
-def _accepted_by_score(head: list[tuple[str, str, int, int, int, float]], cut: bool, known: set[str], join: Callable[[str, str], str]) -> list[tuple[str, str]]:
-    """The same for scores c_ab / (c_a c_b). head: (l, r, c, c_l, c_r, score), best first.
-
-    A merge of a and b takes c_ab from the counts of both and gives the new token c_ab exactly. So a pair
-    that touches a used token t, or comes from one that does, scores at most its old score times F(t) for
-    each used side, where F(t) is the larger of c_t / (c_t - c_ab), while t is left, and c_t / c_ab. All
-    other scores stay. A pair is safe while it touches no used token, makes a new string, and stands
-    strictly above that bound of every pair, those cut off included."""
-    taken: list[tuple[str, str]] = []
-    grown: dict[str, float] = {}
-    bound = 0.0
-    for a, b, c, ca, cb, score in head:
-        merged = join(a, b)
-        alone = a == b or merged in known
-        if taken and (alone or a in grown or b in grown or score <= bound * (1 + 1e-9) or any(merged == join(x, y) for x, y in taken)):
-            break
-        taken.append((a, b))
-        if alone:
-            break
-        for t, ct in ((a, ca), (b, cb)):
-            grown[t] = max(ct / (ct - c) if ct > c else 0.0, ct / c)
-        top = max(grown.values())
-        bound = head[-1][5] * top * top if cut else 0.0
-        for x, y, *_, s in head:
-            if (x in grown or y in grown) and (x, y) not in taken:
-                bound = max(bound, s * grown.get(x, 1.0) * grown.get(y, 1.0))
-    return taken
-
-
-def learn_distributed(state: DataFrame, *, by_score: bool, least: int, done: Callable[[int, int], bool], join: Callable[[str, str], str], seeds: list[str], head: int = 2000, every: int = 8) -> list[tuple[str, str, str]]:
-    """The same rules from a table (s: held segmentation, n), several a round. Every few rounds the table is written to
-    the shared folder, which cuts its lineage."""
-    vocab, rules = set(seeds), []
-    state = written(state)
-    rounds = 0
-    while not done(len(rules), len(vocab)):
-        segments = state.select(tokens_of("s").alias("tokens"), "n")
-        pairs = counts.pair_counts(segments).where(F.col("c") >= max(1, least))
-        if by_score:
-            marginal = counts.token_counts(segments)
-            sides = pairs.join(marginal.select(F.col("token").alias("l"), F.col("c").alias("cl")), "l").join(marginal.select(F.col("token").alias("r"), F.col("c").alias("cr")), "r")
-            scored = sides.select("l", "r", "c", "cl", "cr", pair_score(F.col("c"), F.col("cl"), F.col("cr")).alias("score"))
-            best = [tuple(x) for x in scored.orderBy(F.desc("score"), "l", "r").limit(head).collect()]
-            chosen = _accepted_by_score(best, len(best) == head, vocab, join)
-        else:
-            best = [(x["l"], x["r"], x["c"]) for x in counts.top_pairs(pairs, head).collect()]
-            chosen = _accepted(best, len(best) == head, max(1, least), vocab) if best else []
-        if not chosen:
-            break
-        s = F.col("s")
-        for a, b in chosen:
-            merged = join(a, b)
-            rules.append((a, b, merged))
-            vocab.add(merged)
-            s = F.replace(s, F.lit(OPEN + a + CLOSE + OPEN + b + CLOSE), F.lit(OPEN + merged + CLOSE))
-            if done(len(rules), len(vocab)):
-                break
-        state = state.select(s.alias("s"), "n")
-        rounds += 1
-        if rounds % every == 0:
-            state = written(state)
-    return rules
-
-
-def learn(segments: DataFrame, *, by_score: bool = False, least: int = 2, done: Callable[[int, int], bool], join: Callable[[str, str], str] = plain, seeds: list[str] | None = None, compact_symbols: int = COMPACT_SYMBOLS) -> list[tuple[str, str, str]]:
+def learn(segments: DataFrame, *, by_score: bool = False, least: int = 2, done: Callable[[int, int], bool], join: Callable[[str, str], str] = plain, seeds: list[str] | None = None, compact_symbols: int = COMPACT_SYMBOLS, **how) -> list[tuple[str, str, str]]:
     """Rules from segments (tokens, n). Up to `compact_symbols` symbols in all are learned from in
     memory, after a count; more than that stay distributed."""
+    from . import guessed
+
     segments = segments.where(F.size("tokens") > 0)
     size = segments.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
     if size <= compact_symbols:
         return learn_compact(Segments.collected(segments), by_score=by_score, least=least, done=done, join=join, seeds=seeds or [])
-    return learn_distributed(segments.select(held(F.col("tokens")).alias("s"), "n"), by_score=by_score, least=least, done=done, join=join, seeds=seeds or [])
+    return guessed.learn(segments.select(held(F.col("tokens")).alias("s"), "n"), by_score=by_score, least=least, done=done, join=join, seeds=seeds or [], **how)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.__main__ import main
 from lexweave.functions import text as T
-from lexweave.operators import counts, merges, unigram
+from lexweave.operators import counts, guessed, merges, unigram
 from lexweave.operators.models import Bpe, BpeConfig, SentenceBpe, SentenceBpeConfig, Unigram, UnigramConfig, WordPiece, WordPieceConfig
 from lexweave.plans import models
 from lexweave.sources import text_files as S
@@ -76,73 +76,47 @@ def test_both_executions_agree(spark, seed):
     assert one == two
 
 
-def test_batches_equal_one_at_a_time():
-    """What a round accepts is what learning one merge at a time takes."""
-    for seed in range(300):
-        rng = random.Random(seed)
-        rows = [(list("".join(rng.choices("abcde", k=rng.randint(1, 8)))), rng.randint(1, 4)) for _ in range(12)]
-        want = merges.learn_compact(merges.Segments.of(rows), by_score=False, least=2, done=lambda n, _: n >= 12, join=merges.plain, seeds=[])
-        known, state, got = set("abcde"), rows, []
-        while len(got) < 12:
-            c = Counter()
-            for t, n in state:
-                for p in zip(t, t[1:], strict=False):
-                    c[p] += n
-            head = sorted(((a, b, k) for (a, b), k in c.items() if k >= 2), key=lambda x: (-x[2], x[0], x[1]))
-            cut, head = len(head) > 8, head[:8]
-            taken = merges._accepted(head, cut, 2, known) if head else []
-            if not taken:
-                break
-            for a, b in taken:
-                got.append((a, b, a + b))
-                known.add(a + b)
-                new = []
-                for t, n in state:
-                    out, i = [], 0
-                    while i < len(t):
-                        hit = i + 1 < len(t) and t[i] == a and t[i + 1] == b
-                        out.append(a + b if hit else t[i])
-                        i += 2 if hit else 1
-                    new.append((out, n))
-                state = new
-        assert got[: len(want)] == want[: len(got)]
-
-
-def test_score_batches_equal_one_at_a_time():
-    """What a round of likelihood-ratio merges accepts is what learning one at a time takes."""
-    several = 0
-    for seed in range(400):
-        rng = random.Random(seed)
-        rows = [([c if k == 0 else "##" + c for k, c in enumerate(rng.choices("abcdefgh"[: 3 + seed % 6], k=rng.randint(1, 9)))], rng.randint(1, 4)) for _ in range(6 + seed % 12)]
-        seeds = sorted({t for tokens, _ in rows for t in tokens})
-        want = [(a, b) for a, b, _ in merges.learn_compact(merges.Segments.of(rows), by_score=True, least=2, done=lambda n, _: n >= 12, join=merges.continued, seeds=seeds)]
-        known, state, got, size = set(seeds), rows, [], rng.choice([4, 8, 1000])
-        while len(got) < 12:
-            pairs, tokens = Counter(), Counter()
-            for t, n in state:
-                for x in t:
-                    tokens[x] += n
-                for p in zip(t, t[1:], strict=False):
-                    pairs[p] += n
-            head = sorted(((a, b, c, tokens[a], tokens[b], c / (tokens[a] * tokens[b])) for (a, b), c in pairs.items() if c >= 2), key=lambda x: (-x[5], x[0], x[1]))
-            taken = merges._accepted_by_score(head[:size], len(head) >= size, known, merges.continued) if head else []
-            if not taken:
-                break
-            several += len(taken) > 1
-            for a, b in taken:
-                got.append((a, b))
-                known.add(merges.continued(a, b))
-                new = []
-                for t, n in state:
-                    out, i = [], 0
-                    while i < len(t):
-                        hit = i + 1 < len(t) and t[i] == a and t[i + 1] == b
-                        out.append(merges.continued(a, b) if hit else t[i])
-                        i += 2 if hit else 1
-                    new.append((out, n))
-                state = new
-        assert got[: len(want)] == want[: len(got)], seed
-    assert several > 50
+@pytest.mark.parametrize(("seed", "by_score"), [(k, s) for k in range(3) for s in (False, True)])
+def test_guessed_rounds_equal_one_at_a_time(spark, seed, by_score):
+    """Guesses from few rows, and few pairs at the driver: more rounds, the same rules."""
+    rng = random.Random(seed)
+    mark = "##" if by_score else ""
+    rows = [([c if k == 0 else mark + c for k, c in enumerate(rng.choices("abcdefgh"[: 4 + 2 * seed], k=rng.randint(1, 12)))], rng.randint(1, 5)) for _ in range(80)]
+    rows += [(["a", mark + "a", mark + "a", mark + "a"], 7), (["z"], 3)]
+    seeds = sorted({t for tokens, _ in rows for t in tokens})
+    join = merges.continued if by_score else merges.plain
+    how = {"by_score": by_score, "least": 2, "done": lambda n, size: n >= 24 or size >= len(seeds) + 22, "join": join, "seeds": seeds}
+    want = guessed.brute_force(rows, **how)
+    assert want == merges.learn_compact(merges.Segments.of(rows), **how)
+    table = spark.createDataFrame(rows, "tokens array<string>, n long").select(T.held(F.col("tokens")).alias("s"), "n")
+    for head, symbols in ((7, 60), (4000, 10**6)):
+        assert guessed.learn(table, **how, head=head, sample_symbols=symbols) == want
+    endless = how | {"done": lambda n, size: False}
+    if seed == 0:
+        assert guessed.learn(table, **endless) == guessed.brute_force(rows, **endless)
+
+
+def test_a_wrong_guess_changes_nothing(spark, monkeypatch):
+    """Guesses of any kind, pairs that don't occur included."""
+    rng = random.Random(5)
+    rows = [(list("".join(rng.choices("abc", k=8))), rng.randint(1, 3)) for _ in range(40)]
+    how = {"by_score": False, "least": 2, "done": lambda n, _: n >= 9, "join": merges.plain, "seeds": ["a", "b", "c"]}
+    table = spark.createDataFrame(rows, "tokens array<string>, n long").select(T.held(F.col("tokens")).alias("s"), "n")
+
+    def wild(self, head, step, first, most, join):
+        return [*first, *((a, b, a + b) for a, b in (rng.choices(["a", "b", "c", "ab", "q"], k=2) for _ in range(5)))]
+
+    monkeypatch.setattr(guessed.BySample, "guess", wild)
+    assert guessed.learn(table, **how) == guessed.brute_force(rows, **how)
+
+
+def test_replayed_rules_are_written(spark, monkeypatch):
+    monkeypatch.setattr(guessed, "REPLAYED", 3)
+    rng = random.Random(8)
+    rows = [(list("".join(rng.choices("abcdef", k=10))), rng.randint(1, 9)) for _ in range(60)]
+    how = {"by_score": False, "least": 2, "done": lambda n, _: n >= 40, "join": merges.plain, "seeds": list("abcdef")}
+    table = spark.createDataFrame(rows, "tokens array<string>, n long").select(T.held(F.col("tokens")).alias("s"), "n")
+    assert guessed.learn(table, **how, most=8, sample_symbols=100) == guessed.brute_force(rows, **how)
 
 
 def test_text_functions(spark):
