@@ -14,8 +14,9 @@ but the places that hold its pair.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CLOSE, OPEN, applied_rules, tokens_of
+from ..functions.text import CLOSE, CONTINUES, OPEN, tokens_of
 from ..plans.tables import forget, written
 from . import counts
 from .merges import LinkedSegments, Segments
@@ -32,27 +33,27 @@ from .merges import LinkedSegments, Segments
 #: Bytes of held segmentations that a task links at a time, and symbols of the sample that guesses come from.
 BLOCK, SAMPLE_SYMBOLS = 8 << 20, 2_000_000
 #: Merges guessed at least and at most, pairs brought to the driver, rules replayed before the table is rewritten.
-FEWEST, MOST, HEAD, REPLAYED = 8, 96, 4000, 160
+FEWEST, MOST, HEAD, REPLAYED = 48, 128, 1500, 300
+#: Rows brought to the driver to guess merges of rare pairs.
+FETCHED = 20_000
 _DELTA = "l string, r string, step int, d long"
 
 Rule = tuple[str, str, str]
 
 
-def _linked(batches: list[pa.RecordBatch]) -> LinkedSegments:
-    table = pa.Table.from_batches(batches)
-    return LinkedSegments(Segments.split(table["s"], table["n"]))
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[LinkedSegments]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Segments]:
+    """The segmentations of a task in blocks of bounded size."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.column(0).nbytes
         if size >= BLOCK:
-            yield _linked(held)
+            table = pa.Table.from_batches(held)
+            yield Segments.split(table["s"], table["n"])
             held, size = [], 0
     if held:
-        yield _linked(held)
+        table = pa.Table.from_batches(held)
+        yield Segments.split(table["s"], table["n"])
 
 
 def _merged(rows: LinkedSegments, rule: Rule) -> bool:
@@ -71,7 +72,8 @@ def _changes(state: DataFrame, replayed: list[Rule], guess: list[Rule]) -> DataF
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replayed, guess = shared.value
-        for rows in _blocks(batches):
+        for block in _blocks(batches):
+            rows = LinkedSegments(block)
             for rule in replayed:
                 _merged(rows, rule)
             rows.touched.clear()
@@ -96,6 +98,25 @@ def _changes(state: DataFrame, replayed: list[Rule], guess: list[Rule]) -> DataF
     return found.groupBy("l", "r", "step").agg(F.sum("d").alias("d"))
 
 
+def _rewritten(state: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(s, n) after the rules."""
+    shared = state.sparkSession.sparkContext.broadcast(rules)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            rows = LinkedSegments(block)
+            for rule in shared.value:
+                _merged(rows, rule)
+            left = rows.symbol >= 0
+            ends = np.cumsum(left)[np.cumsum(block.size) - 1]
+            tokens = pa.array(rows.names, pa.string()).take(pa.array(rows.symbol[left]))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), tokens)
+            whole = pc.binary_join_element_wise(OPEN, pc.binary_join(lists, CLOSE + OPEN), CLOSE, "")
+            yield pa.RecordBatch.from_arrays([whole, pa.array(block.weight)], ["s", "n"])
+
+    return state.select("s", "n").mapInArrow(mapped, "s string, n long")
+
+
 @dataclass
 class Head:
     """The pairs that may be best at some step, in the order of their names, with exact counts before each
@@ -152,12 +173,12 @@ def _head(deltas: list[DataFrame], steps: int, least: int, by_score: bool, most:
     return Head([(r["l"], r["r"]) for r in best], table, tokens, cut)
 
 
-def _checked(head: Head, guess: list[Rule], least: int, by_score: bool) -> tuple[list[tuple[str, str]], tuple[str, str] | None, bool]:
-    """The pairs of the guess that are right, the right pair after them (None if it can't be told), and
+def _checked(head: Head, guess: list[Rule], least: int) -> tuple[list[tuple[str, str]], tuple[str, str] | None, bool]:
+    """By score: the pairs of the guess that are right, the right pair after them (None if it can't be told), and
     whether no pair is left."""
     right: list[tuple[str, str]] = []
     for step in range(len(guess) + 1):
-        value = head.values(step, least, by_score)
+        value = head.values(step, least, True)
         k = int(value.argmax()) if len(value) else -1  # of equal ones the first name
         if k < 0 or value[k] == -np.inf:
             return right, None, head.cut is None
@@ -170,6 +191,73 @@ def _checked(head: Head, guess: list[Rule], least: int, by_score: bool) -> tuple
     return right, None, False
 
 
+def _commute(x: Rule, y: Rule) -> bool:
+    """Whether two merges give the same tokens in either order: neither takes what the other takes or makes."""
+    return not ({*x[:2]} & {*y} or {*y[:2]} & {*x}) and x[2] != y[2]
+
+
+def _reordered(head: Head, guess: list[Rule], least: int) -> tuple[list[tuple[str, str]], tuple[str, str] | None, bool]:
+    """As _checked, by frequency, for guesses that are right but for their order. A step may come early if it
+    commutes with the steps it overtakes. The count of a pair follows only from the steps that share a token
+    with it, so it is known exactly where those taken are the first of them; of other pairs, which have a
+    token of an overtaken step and one of an early step, it is at most what the pairs they come from had.
+    Steps count up to the last place where those taken are the first of the guess as a set."""
+    index = {p: k for k, p in enumerate(head.pairs)}
+    value = head.values(0, least, False)
+    steps_of: dict[str, list[int]] = {}
+    for k, rule in enumerate(guess):
+        for t in {*rule}:
+            steps_of.setdefault(t, []).append(k)
+    with_token: dict[str, list[int]] = {}
+    for p, k in index.items():
+        for t in {*p}:
+            if t in steps_of:
+                with_token.setdefault(t, []).append(k)
+    floor = float(max(least - 1, 0 if head.cut is None else -head.cut[0]))
+    taken = [False] * len(guess)
+    most: dict[tuple[str, str], float] = {}  # pairs whose count isn't known, and what it is at most
+    order: list[tuple[str, str]] = []
+    closed = 0
+
+    def reach(p: tuple[str, str]) -> int | None:
+        """After which step the count is what it is now; None if not after any."""
+        steps = sorted({*steps_of.get(p[0], ()), *steps_of.get(p[1], ())})
+        n = sum(taken[k] for k in steps)
+        return None if any(not taken[k] for k in steps[:n]) else (steps[n - 1] + 1 if n else 0)
+
+    def at_most(p: tuple[str, str]) -> float:
+        return most.get(p) if p in most else max(0.0, value[index[p]]) if p in index else floor
+
+    while True:
+        k = int(value.argmax()) if len(value) else -1
+        if k < 0 or value[k] == -np.inf:
+            return order[:closed], order[closed] if len(order) > closed else None, len(order) == closed and head.cut is None
+        pair, doubt = head.pairs[k], max(most.values(), default=-1.0)
+        if (head.cut is not None and (-value[k], *pair) > head.cut) or value[k] <= doubt:
+            return order[:closed], order[closed] if len(order) > closed else None, False
+        order.append(pair)
+        step = next((n for n, rule in enumerate(guess) if not taken[n] and rule[:2] == pair), None)
+        if step is None or not all(taken[n] or _commute(guess[n], guess[step]) for n in range(step)):
+            return order[:closed], order[closed], False
+        c, d, w = guess[step]
+        fresh = {p: x + (at_most((d, p[1])) if p[0] == w else 0.0) + (at_most((p[0], c)) if p[1] == w else 0.0) for p, x in most.items()}
+        for n in range(step):
+            for u in {*guess[n]} if not taken[n] else ():
+                fresh[u, w], fresh[w, u] = at_most((u, c)) + at_most((u, w)), at_most((d, u)) + at_most((w, u))
+                for p in ((u, c), (u, d), (c, u), (d, u)):
+                    fresh.setdefault(p, at_most(p))
+        taken[step] = True
+        most = {p: x for p, x in fresh.items() if reach(p) is None}
+        for k in {i for t in {*guess[step]} for i in with_token.get(t, ())} | {index[p] for p in fresh if p in index}:
+            after = reach(head.pairs[k])
+            now = -np.inf if after is None else float(head.counts[k, after])
+            value[k] = now if now >= max(1, least) else -np.inf
+            if after is None:
+                most.setdefault(head.pairs[k], float(head.counts[k].max()))
+        if all(taken[: len(order)]):
+            closed = len(order)
+
+
 @dataclass
 class BySample:
     """Guesses by frequency: a sample of rows is merged along. Pairs that the guess doesn't touch keep their
@@ -183,7 +271,7 @@ class BySample:
         _merged(self.rows, rule)
         self.rows.touched.clear()
 
-    def guess(self, head: Head, step: int, first: list[Rule], most: int, join: Callable[[str, str], str]) -> list[Rule]:
+    def guess(self, head: Head, step: int, first: list[Rule], most: int, join: Callable[[str, str], str], *_) -> list[Rule]:
         rows, out = self.rows.copy(), []
         exact = {rows.intern(a) << 32 | rows.intern(b): int(c) for (a, b), c in zip(head.pairs, head.counts[:, step].tolist(), strict=True)}
         offset = {code: c - self.scale * rows.count.get(code, 0) for code, c in exact.items()}
@@ -217,57 +305,75 @@ class BySample:
 
 
 @dataclass
-class ByShares:
-    """Guesses by score: a merge takes the same share of a token's other pairs as of the token. Where it
-    takes all of it, as with rare tokens, this is exact."""
+class ByRows:
+    """Guesses by score: the best pairs are rare ones, so the rows that hold them are brought to the driver
+    and merged along. Only they can change when such a pair is merged, so the guess is exact as far as the
+    pairs it takes are among those, or come from them."""
 
     least: int
-    taken: list[Rule] = field(default_factory=list)
 
     def take(self, rule: Rule) -> None:
-        self.taken.append(rule)
-
-    def guess(self, head: Head, step: int, first: list[Rule], most: int, join: Callable[[str, str], str]) -> list[Rule]:
-        count = {p: float(c) for p, c in zip(head.pairs, head.counts[:, step].tolist(), strict=True) if c > 0}
+        pass
+
+    def guess(self, head: Head, step: int, first: list[Rule], most: int, join: Callable[[str, str], str], state: DataFrame, replayed: list[Rule]) -> list[Rule]:
+        value = head.values(step, self.least, True)
+        exact = {p: int(c) for p, c in zip(head.pairs, head.counts[:, step].tolist(), strict=True)}
+        chosen, room = [r[:2] for r in first], FETCHED - sum(exact.get(r[:2], 0) for r in first)
+        if room < 0:
+            return first
+        for k in np.argsort(-value, kind="stable")[:most].tolist():
+            room -= exact[head.pairs[k]]
+            if room < 0 or value[k] == -np.inf:
+                break
+            chosen.append(head.pairs[k])
+        # a row that holds a pair holds its text, at the beginning if the left piece does
+        text = F.replace(F.translate(F.col("s"), OPEN + CLOSE, ""), F.lit(CONTINUES), F.lit(""))
+        plain = [(a.startswith(CONTINUES), a.replace(CONTINUES, "") + b.replace(CONTINUES, "")) for a, b in dict.fromkeys(chosen)]
+        either = lambda inner: "|".join(re.escape(x) for later, x in plain if later == inner) or r"\b\B"
+        holds = F.rlike(text, F.lit(f"^(?:{either(False)})|{either(True)}"))
+        held = Segments.collected(state.where(holds).limit(FETCHED).select(tokens_of("s").alias("tokens"), "n"))
+        rows = LinkedSegments(held)
+        for rule in replayed:
+            _merged(rows, rule)
+        rows.touched.clear()
+        base, begun = dict(rows.count), dict(rows.tokens)
         token = {t: float(x[step]) for t, x in head.tokens.items()}
-        after: dict[str, set[tuple[str, str]]] = {}
-        heap: list[tuple[float, str, str, float]] = []
+        marginal = lambda t: token.get(t, 0.0) + rows.tokens.get(rows.number.get(t, -1), 0) - begun.get(rows.number.get(t, -1), 0)
+        now, heap, beside = dict(exact), [], {}
+        fetched = {*chosen}
 
-        def told(p: tuple[str, str], c: float) -> None:
-            count[p] = c
+        def told(p: tuple[str, str]) -> None:
             for t in p:
-                after.setdefault(t, set()).add(p)
-            if c >= max(1, self.least) - 1e-6 and token.get(p[0], 0) > 0 and token.get(p[1], 0) > 0:
-                heapq.heappush(heap, (-c / (token[p[0]] * token[p[1]]), *p, c))
+                beside.setdefault(t, set()).add(p)
+            if now[p] >= max(1, self.least) and (sides := marginal(p[0]) * marginal(p[1])) > 0:
+                heapq.heappush(heap, (-now[p] / sides, *p))
 
-        for p, c in list(count.items()):
-            told(p, c)
+        for p in exact:
+            told(p)
         out: list[Rule] = []
         while len(out) < most:
             if len(out) < len(first):
                 a, b = first[len(out)][:2]
             else:
-                while heap and (count.get((heap[0][1], heap[0][2])) != heap[0][3] or -heap[0][0] != heap[0][3] / max(token[heap[0][1]] * token[heap[0][2]], 1e-9)):
+                while heap and (now[heap[0][1:]] < max(1, self.least) or -heap[0][0] != now[heap[0][1:]] / max(marginal(heap[0][1]) * marginal(heap[0][2]), 1e-9)):
                     heapq.heappop(heap)
-                if not heap:
+                if not heap or heap[0][1:] not in fetched:
                     break
-                a, b = heap[0][1:3]
-            m = join(a, b)
-            out.append((a, b, m))
-            c = count.pop((a, b), 0.0)
-            share = {t: min(1.0, c / token[t]) if token.get(t) else 0.0 for t in (a, b)}
-            for t in (a, b):
-                token[t] = max(0.0, token.get(t, 0.0) - c)
-            token[m] = token.get(m, 0.0) + c
-            for t in dict.fromkeys((a, b)):  # what stands before a, and after b, may stand beside the new token now
-                for p in list(after.get(t, ())):
-                    if p not in count or p == (a, b):
-                        continue
-                    part = share[t] if (p[1] == a) or (p[0] == b) else 0.0
-                    if part:
-                        new = (p[0], m) if p[1] == a else (m, p[1])
-                        told(new, round(count.get(new, 0.0) + part * count[p], 6))
-                    told(p, round((1 - part) * count[p], 6))
+                _, a, b = heapq.heappop(heap)
+            out.append((a, b, join(a, b)))
+            now[a, b] = 0
+            if not _merged(rows, out[-1]):
+                break
+            moved = {(rows.names[code >> 32], rows.names[code & 0xFFFFFFFF]): rows.count[code] - base.get(code, 0) for code in rows.touched}
+            for p, d in moved.items():
+                if p != (a, b):
+                    now[p] = exact.get(p, 0) + d
+                    if out[-1][2] in p:
+                        fetched.add(p)  # the new token stands nowhere else
+            rows.touched.clear()
+            for p in dict.fromkeys([*moved, *beside.get(a, ()), *beside.get(b, ())]):
+                if p in now:
+                    told(p)
         return out
 
 
@@ -277,13 +383,15 @@ def learn(state: DataFrame, *, by_score: bool, least: int, done: Callable[[int,
     vocab, rules = set(seeds), []
     if done(0, len(vocab)):
         return rules
-    state = written(state)
+    spark = state.sparkSession
+    # read in every round: a part a core at least, however small it is
+    state = written(state.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)))
     segments = state.select(tokens_of("s").alias("tokens"), "n")
     zero = F.lit(-1).alias("step")
     first = counts.pair_counts(segments).select("l", "r", zero, F.col("c").alias("d"))
     if by_score:
         first = first.unionAll(counts.token_counts(segments).select(F.col("token").alias("l"), F.lit(None).cast("string").alias("r"), zero, F.col("c").alias("d")))
-        guesser = ByShares(least)
+        guesser = ByRows(least)
     else:
         size = segments.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
         guesser = _sampled(segments, size, least, sample_symbols)
@@ -292,7 +400,7 @@ def learn(state: DataFrame, *, by_score: bool, least: int, done: Callable[[int,
     while True:
         fresh = written(_changes(state, replayed, guess)) if guess else None
         found = _head([*known, *([fresh] if guess else [])], len(guess), least, by_score, head)
-        right, pending, over = _checked(found, guess, least, by_score)
+        right, pending, over = _checked(found, guess, least) if by_score else _reordered(found, guess, least)
         for a, b in right:
             if not done(len(rules), len(vocab)):
                 rules.append((a, b, join(a, b)))
@@ -314,7 +422,7 @@ def learn(state: DataFrame, *, by_score: bool, least: int, done: Callable[[int,
         elif guess:
             width = min(most, max(FEWEST, 2 * len(right)))
         if len(replayed) > REPLAYED:
-            state, old = written(state.select(applied_rules(F.col("s"), replayed).alias("s"), "n")), state
+            state, old = written(_rewritten(state, replayed)), state
             replayed = []
             forget(old)
         if len(known) > 6:
@@ -323,7 +431,7 @@ def learn(state: DataFrame, *, by_score: bool, least: int, done: Callable[[int,
             forget(*tables)
             tables, known = [once], [once]
         # without a pair known to be next, the counts alone tell it
-        guess = guesser.guess(found, len(right), [coming], width, join)[:most] if coming else []
+        guess = guesser.guess(found, len(right), [coming], width, join, state, replayed) if coming else []
 
 
 def _sampled(segments: DataFrame, size: int, least: int, symbols: int) -> BySample:

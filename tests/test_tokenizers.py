@@ -103,7 +103,7 @@ def test_a_wrong_guess_changes_nothing(spark, monkeypatch):
     how = {"by_score": False, "least": 2, "done": lambda n, _: n >= 9, "join": merges.plain, "seeds": ["a", "b", "c"]}
     table = spark.createDataFrame(rows, "tokens array<string>, n long").select(T.held(F.col("tokens")).alias("s"), "n")
 
-    def wild(self, head, step, first, most, join):
+    def wild(self, head, step, first, most, join, *_):
         return [*first, *((a, b, a + b) for a, b in (rng.choices(["a", "b", "c", "ab", "q"], k=2) for _ in range(5)))]
 
     monkeypatch.setattr(guessed.BySample, "guess", wild)
