@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import adjacent, characters
-from ..plans.tables import written
+from ..plans.tables import forget, written
 
 
 def pair_counts(segments: DataFrame) -> DataFrame:
@@ -47,40 +52,74 @@ def overlapping_pieces(texts: DataFrame, column: str, longest: int = 16, chunk:
     return cut.select(F.substring(F.col(column), (F.col("k") * chunk + 1).cast("int"), F.lit(chunk + longest - 1)).alias("piece"), F.least(F.lit(chunk), size - F.col("k") * chunk).cast("int").alias("starts"), "n")
 
 
-def substrings_of_length(pieces: DataFrame, length: int) -> DataFrame:
-    """(token, n) of every place that has so many characters left."""
-    last = F.least(F.col("starts"), F.length("piece") - (length - 1))
-    places = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col("piece"), i, F.lit(length)))
-    return pieces.where(last >= 1).select(F.explode(places).alias("token"), "n")
+def grams(texts: DataFrame, column: str, longest: int = 16) -> DataFrame:
+    """(gram, n): what stands at each place, up to `longest` code points, and how often."""
+    pieces = overlapping_pieces(texts, column, longest)
+    places = F.transform(F.sequence(F.lit(1), F.col("starts")), lambda i: F.substring(F.col("piece"), i, F.lit(longest)))
+    return pieces.where("starts >= 1").select(F.explode(places).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _prefixes(k: int, longest: int):
+    """(token, c) of the k most frequent prefixes of 2 to `longest` code points of sorted grams, and of all
+    that the first and the last gram of a task have, which its neighbours may have too."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else None
+        if table is None or not table.num_rows:
+            return
+        gram, n = pc.cast(table["gram"].combine_chunks(), pa.large_string()), table["n"].to_numpy()
+        size = pc.utf8_length(gram).to_numpy(zero_copy_only=False)
+        first, last = gram[0].as_py(), gram[-1].as_py()
+        tokens, sums = [], []
+        for length in range(2, longest + 1):
+            rows = np.flatnonzero(size >= length)
+            if not len(rows):
+                break
+            prefix = pc.utf8_slice_codeunits(gram.take(pa.array(rows)), 0, length)
+            fresh = np.concatenate([[True], pc.not_equal(prefix[1:], prefix[:-1]).to_numpy(zero_copy_only=False)])
+            lead = np.flatnonzero(fresh)
+            tokens.append(prefix.take(pa.array(lead)))
+            sums.append(np.add.reduceat(n[rows], lead))
+        if not tokens:
+            return
+        token, c = pa.concat_arrays(tokens), np.concatenate(sums)
+        edges = {x[:length] for x in (first, last) for length in range(2, len(x) + 1)}
+        edge = pc.is_in(token, pa.array(sorted(edges), pa.large_string())).to_numpy(zero_copy_only=False)
+        inner = np.flatnonzero(~edge)
+        if len(inner) > k:
+            bar = np.partition(c[inner], len(inner) - k)[len(inner) - k]
+            above, tied = inner[c[inner] > bar], inner[c[inner] == bar]
+            order = pc.sort_indices(token.take(pa.array(tied))).to_numpy()[: k - len(above)]
+            inner = np.concatenate([above, tied[order]])
+        keep = np.concatenate([np.flatnonzero(edge), inner])
+        for lo in range(0, len(keep), 10_000):
+            some = keep[lo : lo + 10_000]
+            yield pa.RecordBatch.from_arrays([pc.cast(token.take(pa.array(some)), pa.string()), pa.array(c[some])], ["token", "c"])
+
+    return mapped
+
+
+#: Distinct grams that a task sorts at a time, about.
+_SORTED = 1_000_000
 
 
 def top_substrings(texts: DataFrame, column: str, k: int, longest: int = 16) -> list[tuple[str, int]]:
     """The k most frequent substrings of 2 to `longest` code points, over (column, n); ties in byte order.
 
-    Level by level: a substring is never more frequent than what is left without its first or last
-    character, so each level counts only places whose two shorter parts still reach the k-th best count
-    so far. That is about k parts, sent to the tasks; only sums of those are shuffled."""
+    By suffix order: what stands at each place is counted once and sorted by ranges. Equal prefixes then
+    stand together, so one pass over a range counts the prefixes of all lengths. A prefix that reaches the
+    edge of a range may go on in the next, so those of each range's first and last gram are summed over all
+    ranges; all others are complete where they are, and each range brings no more than its k best."""
     if k <= 0:
         return []
-    spark, best, least = texts.sparkSession, [], 1
-    pieces = written(overlapping_pieces(texts, column, longest))
-    alive: DataFrame | None = None
-    for length in range(2, longest + 1):
-        found = substrings_of_length(pieces, length)
-        if alive is not None:
-            front, back = F.substring(F.col("token"), 1, length - 1), F.substring(F.col("token"), 2, length - 1)
-            found = found.join(F.broadcast(alive), front == F.col("part"), "left_semi").join(F.broadcast(alive), back == F.col("part"), "left_semi")
-        sums = found.groupBy("token").agg(F.sum("n").alias("c")).where(F.col("c") >= least)
-        level = [(r["token"], r["c"]) for r in sums.orderBy(F.desc("c"), "token").limit(2 * k + 1).collect()]
-        best = sorted([*best, *level], key=lambda x: (-x[1], x[0].encode()))[:k]
-        if len(best) == k:
-            least = best[-1][1]
-        parts = [t for t, c in level if c >= least]
-        if not parts:
-            break
-        # with more ties than were fetched nothing is ruled out for the next level
-        whole = len(level) <= 2 * k or level[-1][1] < least
-        alive = spark.createDataFrame([(t,) for t in parts], "part string") if whole else None
+    spark = texts.sparkSession
+    every = written(grams(texts, column, longest))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-every.count() // _SORTED))
+    ranges = every.repartitionByRange(parts, "gram").sortWithinPartitions("gram")
+    found = ranges.mapInArrow(_prefixes(k, longest), "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    best = [(r["token"], r["c"]) for r in found.orderBy(F.desc("c"), "token").limit(k).collect()]
+    forget(every)
     return best
 
 

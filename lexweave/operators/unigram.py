@@ -1,15 +1,13 @@
 """The unigram language model: seed pieces, Viterbi, hard EM, pruning.
 
 A model is a small table held by the driver (its size is the configured vocabulary); what runs over the
-corpus is distributed. Viterbi runs in Arrow batches with the model broadcast, pieces capped at the
-longest one, so a text costs its length times that cap.
+corpus is distributed. Segmentation runs in Arrow batches with the model broadcast; rounds of EM read a table
+of lattices, in which the pieces at every place were looked up once.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,13 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from ..plans.tables import written
+from ..plans.tables import forget, written
 from . import counts
+from .lattice import CELLS, Lattice, Trie, best_pieces, blocks, costs
 
 #: What an unknown character costs, and the floor of a count (fixed values).
 UNKNOWN_LP, FLOOR, LONGEST = -100.0, 1e-10, 16
-#: Distinct sentences of at most this many characters in all are learned from in memory.
-COMPACT_CHARS = 200_000
 
 
 @dataclass
@@ -82,17 +79,27 @@ def viterbi(text: str, index: dict[str, float | None], longest: int) -> tuple[li
 
 
 def segmented(rows: DataFrame, model: Model, column: str) -> DataFrame:
-    """rows with tokens and lp (of the best path through `column`) beside them."""
-    index = closed(model.index())
-    longest = max([len(t) for t in model.vocab], default=1)
-    shared = rows.sparkSession.sparkContext.broadcast((index, longest))
+    """rows with tokens and lp (of the best path through `column`) beside them; equal texts of a batch are
+    segmented once."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     place = rows.columns.index(column)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, longest = shared.value
+        model: Model = shared.value
+        trie, cost, index = Trie(model.vocab), costs(model.log_probs), closed(model.index())
+        names = pa.array(model.vocab, pa.string())
         for batch in batches:
-            found = [viterbi(t or "", index, longest) for t in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t for t, _ in found], pa.list_(pa.string())), pa.array([p for _, p in found], pa.float64())], [*batch.schema.names, "tokens", "lp"])
+            coded = batch.column(place).fill_null("").dictionary_encode()
+            texts = coded.dictionary.to_pylist()
+            done, owner, piece, score, apart = best_pieces(texts, trie, cost, lambda t: viterbi(t, index, trie.longest))
+            sizes = np.bincount(owner, minlength=len(done))
+            joint = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), names.take(pa.array(piece)))
+            both = pa.concat_arrays([joint, pa.array([t for t, _ in apart.values()], pa.list_(pa.string()))])
+            at, lp = np.zeros(len(texts), np.int64), np.concatenate([score, [p for _, p in apart.values()]])
+            at[done] = np.arange(len(done))
+            at[list(apart)] = len(done) + np.arange(len(apart))
+            take = at[np.asarray(coded.indices)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, both.take(pa.array(take)), pa.array(lp[take])], [*batch.schema.names, "tokens", "lp"])
 
     schema = StructType([*rows.schema.fields, StructField("tokens", ArrayType(StringType())), StructField("lp", DoubleType())])
     return rows.mapInArrow(mapped, schema)
@@ -124,77 +131,81 @@ def log_likelihood(marked: DataFrame, model: Model) -> float:
     return segmented(marked, model, "s").agg(F.sum(F.col("lp") * F.col("n"))).first()[0] or 0.0
 
 
-#: So many of the longest sentences go one by one; the rest step through their places together.
-_ALONE = 32
-
-
-class Lattice:
-    """Distinct sentences of bounded size with every piece of a vocabulary that occurs in them. Pieces are
-    looked up once; later models of fewer pieces only change what they cost."""
-
-    def __init__(self, rows: list[tuple[str, int]], vocab: list[str]):
-        self.number = {t: k for k, t in enumerate(vocab)}
-        rows = sorted((r for r in rows if r[0]), key=lambda r: -len(r[0]))
-        self.alone, rows = rows[:_ALONE], rows[_ALONE:]
-        self.size = np.array([len(s) for s, _ in rows], np.int64)
-        self.weight = np.array([n for _, n in rows], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.size + 1)])[:-1].astype(np.int64)  # place 0 of each sentence
-        # of the places before an end, the farthest first: the piece between, or the last number of all
-        self.pieces = np.full((int((self.size + 1).sum()), LONGEST), len(vocab), np.int32)
-        get = self.number.get
-        for (s, _), at in zip(rows, self.first.tolist(), strict=True):
-            for end in range(1, len(s) + 1):
-                for k in range(1, min(end, LONGEST) + 1):
-                    if (found := get(s[end - k : end])) is not None:
-                        self.pieces[at + end, LONGEST - k] = found
-
-    def counts(self, model: Model) -> dict[str, float]:
-        """How often each piece of the model is on the best paths. All characters must be pieces."""
-        cost = np.full(len(self.number) + 1, -np.inf)
-        cost[[self.number[t] for t in model.vocab]] = model.log_probs
-        best, back = np.zeros(len(self.pieces)), np.zeros(len(self.pieces), np.int64)
-        steps = np.arange(LONGEST, 0, -1)
-        for end in range(1, int(self.size[0]) + 1 if len(self.size) else 0):
-            live = self.first[: np.searchsorted(-self.size, -end, "right")]
-            at = live + end
-            score = best[np.maximum(at[:, None] - steps, live[:, None])] + cost[self.pieces[at]]
-            pick = score.argmax(1)  # of equal ones the smallest start
-            best[at], back[at] = score[np.arange(len(at)), pick], steps[pick]
-        found = np.zeros(len(self.number) + 1)
-        at, first, weight = self.first + self.size, self.first, self.weight
-        while len(at):
-            step = back[at]
-            found += np.bincount(self.pieces[at, LONGEST - step], weight, len(found))
-            at = at - step
-            left = at > first
-            at, first, weight = at[left], first[left], weight[left]
-        index, longest = closed(model.index()), max([len(t) for t in model.vocab], default=1)
-        for s, n in self.alone:
-            for t in viterbi(s, index, longest)[0]:
-                if t in self.number:
-                    found[self.number[t]] += n
-        return {t: float(found[self.number[t]]) for t in model.vocab if found[self.number[t]]}
-
-
-def em_step(marked: DataFrame | Lattice, model: Model) -> tuple[Model, dict[str, float]]:
-    """marked: a table (s, n), or the lattice of its rows where they are few."""
-    if isinstance(marked, Lattice):
-        counted = marked.counts(model)
-    else:
-        counted = {r["token"]: float(r["c"]) for r in expected(marked, model).collect()}  # at most the vocabulary
-    return maximised(model, counted), counted
-
-
-def seed_of(rows: list[tuple[str, int]], most: int) -> Model:
-    """seed(), of few rows."""
-    found: Counter = Counter()
-    for s, n in rows:
-        for a in range(len(s)):
-            for b in range(a + 1, min(len(s), a + LONGEST) + 1):
-                found[s[a:b]] += n
-    chars = sorted(t for t in found if len(t) == 1)
-    extra = heapq.nsmallest(max(0, most - len(chars)), ((-c, t) for t, c in found.items() if len(t) > 1))
-    return Model.uniform([*chars, *(t for _, t in extra)])
+def lattices(marked: DataFrame, model: Model) -> DataFrame:
+    """A written table with a row for each sentence: n, its size, and the pieces at its places as bytes
+    (places, lengths, numbers). What rounds of EM read: pieces are looked up once, and later models of fewer
+    pieces only change what they cost. A sentence that fills a block alone keeps its text instead."""
+    shared = marked.sparkSession.sparkContext.broadcast(model.vocab)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Trie(shared.value)
+        room = CELLS // trie.longest
+        for batch in batches:
+            texts, weight = batch.column(0).to_pylist(), np.asarray(batch.column(1))
+            apart = [k for k, t in enumerate(texts) if len(t) >= room]
+            none = pa.nulls(len(apart), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(weight[apart]), pa.array([len(texts[k]) for k in apart], pa.int32()), pa.array([texts[k] for k in apart], pa.string()), none, none, none], _LATTICE)
+            for rows, _ in blocks([0 if len(t) >= room else len(t) for t in texts], trie.longest):
+                rows = [k for k in rows if len(texts[k]) < room]
+                lattice = Lattice.of([texts[k] for k in rows], trie)
+                place, length, piece = lattice.edges()
+                cut = np.searchsorted(place, [*lattice.first, len(lattice.cells)])
+                local = place - np.repeat(lattice.first, np.diff(cut))
+                parts = lambda v, kind: pa.array([v[a:b].astype(kind).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(weight[rows]), pa.array(lattice.size.astype(np.int32)), pa.nulls(len(rows), pa.string()), parts(local, "<u4"), parts(length, "u1"), parts(piece, "<u4")], _LATTICE)
+
+    return written(marked.select("s", "n").mapInArrow(mapped, "n long, size int, s string, place binary, length binary, piece binary"))
+
+
+_LATTICE = ["n", "size", "s", "place", "length", "piece"]
+
+
+def counted(table: DataFrame, vocab: list[str], model: Model) -> dict[str, float]:
+    """How often each piece of the model is on the best paths of lattices made for `vocab`, summed in each
+    task first: at most the vocabulary reaches the driver."""
+    number = {t: k for k, t in enumerate(vocab)}
+    cost = np.full(len(vocab) + 1, -np.inf)
+    cost[[number[t] for t in model.vocab]] = model.log_probs
+    widest = max([len(t) for t in vocab], default=1)
+    shared = table.sparkSession.sparkContext.broadcast((cost, widest, closed(model.index()), number))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cost, widest, index, number = shared.value
+        found = np.zeros(len(cost))
+
+        def one(text: str, n: float) -> None:
+            for t in viterbi(text, index, widest)[0]:
+                if t in number:
+                    found[number[t]] += n
+
+        for batch in batches:
+            weight, sizes, texts = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int64), batch.column(2).to_pylist()
+            for t, n in zip(texts, weight.tolist(), strict=True):
+                if t is not None:
+                    one(t, n)
+            rows = [k for k, t in enumerate(texts) if t is None]
+            for group, _ in blocks(sizes[rows].tolist(), widest):
+                group = np.array(rows)[group]
+                lattice = Lattice(sizes[group], widest, len(cost) - 1)
+                pick = lambda c, kind: [np.frombuffer(x, kind) for x in batch.column(c).take(pa.array(group)).to_pylist()]  # noqa: B023, E731
+                place, length, piece = pick(3, "<u4"), pick(4, "u1"), pick(5, "<u4")
+                at = np.concatenate(place).astype(np.int64) + np.repeat(lattice.first, [len(x) for x in place])
+                lattice.cells[at, widest - np.concatenate(length).astype(np.int64)] = np.concatenate(piece)
+                owner, token, lost = lattice.tokens(*lattice.paths(cost))
+                found += np.bincount(token, weight[group][owner], len(found))
+                if lost.any():  # all characters are pieces in training, so every end is reached
+                    raise ValueError("a sentence has characters that are no pieces")
+        hit = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(found[hit])], ["piece", "c"])
+
+    rows = table.mapInArrow(mapped, "piece long, c double").groupBy("piece").agg(F.sum("c").alias("c"))
+    return {vocab[r["piece"]]: r["c"] for r in rows.collect()}
+
+
+def em_step(marked: DataFrame, model: Model) -> tuple[Model, dict[str, float]]:
+    """One round over a table (s, n)."""
+    found = {r["token"]: float(r["c"]) for r in expected(marked, model).collect()}  # at most the vocabulary
+    return maximised(model, found), found
 
 
 def pruned(model: Model, found: dict[str, float], ratio: float) -> Model:
@@ -207,29 +218,29 @@ def pruned(model: Model, found: dict[str, float], ratio: float) -> Model:
     return Model([model.vocab[k] for k in kept], [model.log_probs[k] for k in kept])
 
 
-def train(marked: DataFrame, target: int, factor: float, iterations: int, ratio: float, compact_chars: int = COMPACT_CHARS) -> tuple[Model, list[int]]:
-    """EM and pruning until the target is reached or nothing can be removed, then EM once more.
-    marked: (s, n) of distinct sentences; up to `compact_chars` characters, counted first, are learned
-    from in memory. Also gives the vocabulary sizes on the way."""
+def train(marked: DataFrame, target: int, factor: float, iterations: int, ratio: float) -> tuple[Model, list[int]]:
+    """EM and pruning until the target is reached or nothing can be removed, then EM once more. marked: (s, n)
+    of distinct sentences. Lattices are built once, and again when half of their pieces are gone. Also gives
+    the vocabulary sizes on the way."""
     parts = max(int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")), marked.sparkSession.sparkContext.defaultParallelism)
     marked = written(marked.repartition(parts))  # read several times
-    size = marked.agg(F.sum(F.length("s").cast("long"))).first()[0] or 0
-    if size <= compact_chars:
-        rows = [(r["s"], r["n"]) for r in marked.collect()]
-        model = seed_of(rows, int(target * factor))
-        marked = Lattice(rows, model.vocab)
-    else:
-        model = seed(marked, int(target * factor))
-    sizes = [len(model.vocab)]
+    model = seed(marked, int(target * factor))
+    vocab, table = model.vocab, lattices(marked, model)
+    sizes = [len(vocab)]
     while len(model.vocab) > target:
         found: dict[str, float] = {}
         for _ in range(iterations):
-            model, found = em_step(marked, model)
+            found = counted(table, vocab, model)
+            model = maximised(model, found)
         smaller = pruned(model, found, ratio)
         if len(smaller.vocab) == len(model.vocab):
             break
         model = smaller
         sizes.append(len(model.vocab))
+        if 2 * len(model.vocab) < len(vocab):
+            forget(table)
+            vocab, table = model.vocab, lattices(marked, model)
     for _ in range(iterations):
-        model, _ = em_step(marked, model)
+        model = maximised(model, counted(table, vocab, model))
+    forget(table, marked)
     return model, sizes
