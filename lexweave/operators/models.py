@@ -123,11 +123,16 @@ class SentenceBpe:
 
     @staticmethod
     def train(sentences: DataFrame, config: SentenceBpeConfig | None = None, **how) -> SentenceBpe:
-        """The vocabulary lists <unk>, the covered characters by frequency, then merges in order."""
+        """The vocabulary lists <unk>, the covered characters, then merges in order. With a column `first` in
+        sentences (where each stands first) characters are numbered by first occurrence, else by frequency."""
         config, sentences = config or SentenceBpeConfig(), written(sentences)
         chars = SentenceBpe.alphabet(sentences, config.character_coverage)
         marked = sentences.select(T.marked_sentence("sentence").alias("s"), "n").where("s <> ''")
         segments = marked.select(T.covered(T.characters("s"), chars).alias("tokens"), "n")
+        if "first" in sentences.columns:
+            rows = sentences.select(T.marked_sentence("sentence").alias("s"), F.col("first").alias("row_no"))
+            seen = counts.first_seen_ids(rows.select(F.posexplode(T.characters("s")).alias("pos", "token"), "row_no"))
+            chars = [r["token"] for r in seen.where(F.col("token").isin(chars)).orderBy("token_id").collect()]  # an alphabet
         seeds = [T.UNK, *chars]
         rules = merges.learn(segments, least=config.min_pair_count, done=lambda _, size: size >= config.vocab_size, seeds=seeds, **how)
         return SentenceBpe(list(dict.fromkeys([*seeds, *(m for _, _, m in rules)])), rules)

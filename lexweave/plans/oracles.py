@@ -83,11 +83,18 @@ _WP_LOOP = f"""WITH RECURSIVE {WORDS}, start AS (SELECT {_wrapped(_PIECES)} AS s
                         GROUP BY 1, 2)))
             ORDER BY x.c::DOUBLE / (cs[x.l]::DOUBLE * cs[x.r]::DOUBLE) DESC, x.l, x.r LIMIT 1) b WHERE p.it < 10)"""
 
+#: Where characters of marked sentences, and pieces of words, stand first.
+_FIRST_CHARS = rf"""firsts AS (SELECT ch, min({{'d': doc_id, 'l': l, 'p': p}}) AS seen FROM (SELECT doc_id, l, unnest(range(length(s))) AS p, unnest(string_split(s, '')) AS ch FROM (
+        SELECT doc_id, l, {_MARK} AS s FROM (SELECT doc_id, l, regexp_replace(regexp_replace(v, '^\s+', ''), '\s+$', '') AS sentence FROM (
+            SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS l, unnest(string_split(text, chr(10))) AS v FROM documents))
+        WHERE sentence <> '' AND sentence NOT LIKE '#%') WHERE s <> '') GROUP BY ch)"""
+_FIRST_PIECES = rf"""firsts AS (SELECT token, min({{'d': doc_id, 'w': w, 'p': p}}) AS seen FROM (SELECT doc_id, w, unnest(range(length(word))) AS p, unnest({_PIECES}) AS token FROM (
+        SELECT doc_id, unnest(range(len(regexp_split_to_array(text, '\s+')))) AS w, unnest(regexp_split_to_array(text, '\s+')) AS word FROM documents) WHERE word <> '') GROUP BY token)"""
 
 
-def _start(most: int) -> str:
+def _start(most: int, seeded: str = _SEEDED) -> str:
     """The seed model of at most `most` pieces, and the numbered sentences."""
-    return f"""WITH RECURSIVE {_SEEDED},
+    return f"""WITH RECURSIVE {seeded},
     seeds AS (SELECT token, row_number() OVER (ORDER BY k, c DESC, token) - 1 AS id FROM (
               SELECT 0 AS k, 0 AS c, ch AS token FROM chars UNION ALL (SELECT 1, c, token FROM subs WHERE length(token) > 1 ORDER BY c DESC, token LIMIT (SELECT {most} - count(*) FROM chars)))),
     model0 AS MATERIALIZED (SELECT id, token, -ln((SELECT count(*) FROM seeds)) AS lp FROM seeds),
@@ -127,8 +134,9 @@ def _pruned(source: str, name: str, gone: str) -> str:
 
 
 def _trained(most: int, target: int, rounds: int) -> str:
-    """EM and pruning up to `rounds` times, each of which does nothing once the target is reached, then EM."""
-    sql = _start(most)
+    """EM and pruning of words as lines up to `rounds` times, each of which does nothing once the target is
+    reached, then EM."""
+    sql = _start(most, _SEEDED.replace(MARKED, WORDS + ", marked AS (SELECT '▁' || word AS s, n FROM words)"))
     for i in range(rounds):
         size = f"(SELECT count(*) FROM model{i})"
         sql += _viterbi(i) + _maximised(i, f"em{i}") + _pruned(f"em{i}", f"less{i}", f"trunc({size} * 0.2::DOUBLE)")
@@ -137,6 +145,16 @@ def _trained(most: int, target: int, rounds: int) -> str:
 
 
 _UNIGRAM = _start(400) + _viterbi(0)
+# sentences with a character that the model lacks have no path
+_KNOWN = (
+    _start(400).replace("model0 AS MATERIALIZED (SELECT id, token, -ln((SELECT count(*) FROM seeds)) AS lp FROM seeds)", """rare AS (SELECT list(ch) AS chs FROM chars WHERE c < 200),
+    known AS (SELECT id, token FROM seeds, rare WHERE NOT list_has_any(string_split(token, ''), coalesce(chs, []))),
+    model0 AS MATERIALIZED (SELECT id, token, -ln((SELECT count(*) FROM known)) AS lp FROM known)""").replace("numbered AS MATERIALIZED (", "sentences0 AS MATERIALIZED (")
+    + """, letters AS MATERIALIZED (SELECT sid, n, unnest(range(len)) AS p, unnest(string_split(s, '')) AS token FROM sentences0),
+    lost AS MATERIALIZED (SELECT sid, string_agg(token, '|' ORDER BY p) AS tokens, sum(coalesce(lp, -100)) AS lp FROM letters LEFT JOIN model0 USING (token) GROUP BY sid HAVING count(*) > count(lp)),
+    numbered AS MATERIALIZED (SELECT * FROM sentences0 ANTI JOIN lost USING (sid))"""
+    + _viterbi(0)
+)
 _EM = _UNIGRAM + _maximised(0, "em")
 _LIKELIHOOD = "(SELECT sum(lp * n) FROM walked{0} JOIN numbered USING (sid) WHERE e = len)"
 
@@ -172,12 +190,15 @@ ORACLES: dict[str, str] = {
     "bpe_tokens_per_word": f"{_BPE}, {_FINAL} SELECT round(sum(len({_opened('s')}) * n)::DOUBLE / sum(n)::DOUBLE, 6) AS tokens_per_word FROM final",
     "top_tokens": f"{_BPE}, {_FINAL} SELECT * FROM ({_TOKENS.format(_opened('s'), 'final')}) ORDER BY c DESC, token LIMIT 20",
     "dump_rules": f"{_BPE} SELECT (it - 1)::INTEGER AS line_no, l || chr(9) || r AS line FROM loop WHERE it > 0",
-    "dump_vocabulary": f"{_sp(100)} SELECT (row_number() OVER (ORDER BY k, c DESC, token) - 1)::INTEGER AS line_no, token AS line FROM (SELECT 0 AS k, 0 AS c, '<unk>' AS token UNION ALL SELECT 1, c, ch FROM cut UNION ALL SELECT 1 + it, 0, l || r FROM loop WHERE it > 0)",
+    "dump_vocabulary": f"{_sp(100)}, {_FIRST_CHARS} SELECT (row_number() OVER (ORDER BY k, seen) - 1)::INTEGER AS line_no, token AS line FROM (SELECT 0 AS k, NULL AS seen, '<unk>' AS token UNION ALL SELECT 1, seen, ch FROM cut JOIN firsts USING (ch) UNION ALL SELECT 1 + it, NULL, l || r FROM loop WHERE it > 0)",
     "dump_log_probs": f"{_start(400)}, dumped AS (SELECT token || chr(9) || printf('%.6f', lp) AS line FROM model0) SELECT (row_number() OVER (ORDER BY line) - 1)::INTEGER AS line_no, line FROM dumped",
     "sentence_bpe_train": f"{_sp(90)} SELECT (it - 1)::INTEGER AS rank, l, r, l || r AS merged FROM loop WHERE it > 0",
-    "sentence_bpe_vocabulary": f"{_sp(100)} SELECT (row_number() OVER (ORDER BY k, c DESC, token) - 1)::INTEGER AS token_id, token FROM (SELECT 0 AS k, 0 AS c, '<unk>' AS token UNION ALL SELECT 1, c, ch FROM cut UNION ALL SELECT 1 + it, 0, l || r FROM loop WHERE it > 0)",
+    "sentence_bpe_vocabulary": f"{_sp(100)}, {_FIRST_CHARS} SELECT (row_number() OVER (ORDER BY k, seen) - 1)::INTEGER AS token_id, token FROM (SELECT 0 AS k, NULL AS seen, '<unk>' AS token UNION ALL SELECT 1, seen, ch FROM cut JOIN firsts USING (ch) UNION ALL SELECT 1 + it, NULL, l || r FROM loop WHERE it > 0)",
     "sentence_bpe_frequencies": f"{_sp(100)}, {_FINAL} {_TOKENS.format(_opened('s'), 'final')}",
     "wordpiece_train": f"{_WP_LOOP} SELECT (it - 1)::INTEGER AS rank, l, r, l || CASE WHEN r LIKE '##%' THEN substr(r, 3) ELSE r END AS merged FROM loop WHERE it > 0",
+    "wordpiece_train_distributed": f"{_WP_LOOP} SELECT (it - 1)::INTEGER AS rank, l, r, {_JOIN_PAIR} AS merged FROM loop WHERE it > 0",
+    "wordpiece_vocabulary": f"{_WP_LOOP}, {_FIRST_PIECES} SELECT (row_number() OVER (ORDER BY k, seen) - 1)::INTEGER AS token_id, token FROM (SELECT 0 AS k, seen, token FROM firsts UNION ALL SELECT it, NULL, {_JOIN_PAIR} FROM loop WHERE it > 0)",
+    "sentence_bpe_train_distributed": f"{_sp(90)} SELECT (it - 1)::INTEGER AS rank, l, r, l || r AS merged FROM loop WHERE it > 0",
     "wordpiece_tokenize": f"{_GREEDY} SELECT word, array_to_string(tokens, '|') AS tokens FROM greedy",
     "wordpiece_frequencies": f"{_GREEDY} {_TOKENS.format('tokens', 'greedy')}",
     "unigram_seed": f"WITH {_SEEDED}, v AS (SELECT ch AS token FROM chars UNION ALL (SELECT token FROM subs WHERE length(token) > 1 ORDER BY c DESC, token LIMIT (SELECT 400 - count(*) FROM chars))) SELECT token, round(-ln(count(*) OVER ()), 6) AS log_prob FROM v",
@@ -187,6 +208,9 @@ ORACLES: dict[str, str] = {
     "unigram_em_step": f"{_EM} SELECT token, c, round(lp, 6) AS log_prob FROM em",
     "unigram_log_likelihood": f"{_EM}, model1 AS (SELECT id, token, lp FROM em){_viterbi(1)} SELECT round({_LIKELIHOOD.format(0)}, 3) AS before, round({_LIKELIHOOD.format(1)}, 3) AS after",
     "unigram_prune": f"{_EM}{_pruned('em', 'less', 'trunc((SELECT count(*) FROM em) * 0.2::DOUBLE)')} SELECT id::INTEGER AS token_id, token, round(lp, 6) AS log_prob FROM less",
+    "unigram_fallback": f"""{_KNOWN} SELECT s, tokens, round(lp, 6) AS lp FROM (SELECT sid, string_agg(token, '|' ORDER BY e) AS tokens FROM parts0 GROUP BY sid)
+        JOIN numbered USING (sid) JOIN (SELECT sid, e AS len, lp FROM walked0) USING (sid, len) UNION ALL SELECT s, tokens, round(lost.lp, 6) FROM lost JOIN sentences0 USING (sid)""",
+    "unigram_known_counts": f"{_KNOWN} SELECT token, sum(n)::BIGINT AS c FROM (SELECT token, n FROM parts0 UNION ALL SELECT token, n FROM letters SEMI JOIN lost USING (sid) SEMI JOIN model0 USING (token)) GROUP BY token",
     "unigram_train": f"{_trained(600, 300, 4)} SELECT id::INTEGER AS token_id, token, round(lp, 6) AS log_prob, length(token) = 1 OR token LIKE '<%' AS protected FROM final",
     "protected_tokens": f"WITH {WORDS} SELECT word, length(word) = 1 OR word LIKE '<%' AS protected FROM words",
 }

@@ -26,6 +26,20 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.histogram(S.sentences_of(_documents(spark, sf_dir)), "sentence")
 
 
+def _placed(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
+    """(doc_id, place, value) of what the pattern parts texts into."""
+    return S.spread(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", pattern)).alias("place", "value"))
+
+
+def _placed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with where each stands first."""
+    return S.histogram(_placed(spark, sf_dir, r"\s+").select(F.col("value").alias("word"), F.struct("doc_id", "place").alias("at")), "word", "at")
+
+
+def _placed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.histogram(S.useful(_placed(spark, sf_dir, "\n")).select(F.col("value").alias("sentence"), F.struct("doc_id", "place").alias("at")), "sentence", "at")
+
+
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sentences(spark, sf_dir).select(T.marked_sentence("sentence").alias("s"), "n").where("s <> ''")
     return rows.groupBy("s").agg(F.sum("n").alias("n"))
@@ -161,7 +175,8 @@ def sentence_bpe_train(spark, sf_dir):
 
 
 def sentence_bpe_vocabulary(spark, sf_dir):
-    vocab = SentenceBpe.train(_sentences(spark, sf_dir), _SP).vocab
+    """Ids by first occurrence: document, line, place."""
+    vocab = SentenceBpe.train(_placed_sentences(spark, sf_dir), _SP).vocab
     return spark.createDataFrame(list(enumerate(vocab)), "token_id int, token string")
 
 
@@ -170,9 +185,29 @@ def sentence_bpe_frequencies(spark, sf_dir):
     return SentenceBpe.train(rows, _SP).frequencies(rows)
 
 
+def _ten_more(spark, sf_dir) -> WordPieceConfig:
+    """Room for ten merges."""
+    return WordPieceConfig(10 + _words(spark, sf_dir).select(F.explode(T.continuation_pieces("word")).alias("t")).distinct().count(), 2)
+
+
 def wordpiece_train(spark, sf_dir):
-    seeds = 2 + _words(spark, sf_dir).select(F.explode(T.continuation_pieces("word")).alias("t")).distinct().count()
-    return _rules(spark, WordPiece.train(_words(spark, sf_dir), WordPieceConfig(seeds + 8, 2)).rules)
+    return _rules(spark, WordPiece.train(_words(spark, sf_dir), _ten_more(spark, sf_dir)).rules)
+
+
+def wordpiece_train_distributed(spark, sf_dir):
+    """The same rules by guessed rounds over a table."""
+    return _rules(spark, WordPiece.train(_words(spark, sf_dir), _ten_more(spark, sf_dir), compact_symbols=0).rules)
+
+
+def wordpiece_vocabulary(spark, sf_dir):
+    """Ids by first occurrence: document, word, place."""
+    vocab = WordPiece.train(_placed_words(spark, sf_dir), _ten_more(spark, sf_dir)).vocab
+    return spark.createDataFrame(list(enumerate(vocab)), "token_id int, token string")
+
+
+def sentence_bpe_train_distributed(spark, sf_dir):
+    """The same rules by guessed rounds over a table."""
+    return _rules(spark, SentenceBpe.train(_sentences(spark, sf_dir), SentenceBpeConfig(90, 0.9995, 2), compact_symbols=0).rules)
 
 
 def wordpiece_tokenize(spark, sf_dir):
@@ -234,8 +269,27 @@ def unigram_prune(spark, sf_dir):
     return spark.createDataFrame([(k, t, round(p, 6)) for k, (t, p) in enumerate(zip(model.vocab, model.log_probs, strict=True))], "token_id int, token string, log_prob double")
 
 
+def _known(spark, sf_dir) -> tuple[DataFrame, unigram.Model]:
+    """A model that lacks rare characters, and all pieces with them."""
+    marked, model = _seeded(spark, sf_dir)
+    often = {r["ch"] for r in counts.character_counts(marked, "s").where("c >= 200").collect()}  # an alphabet
+    return marked, unigram.Model.uniform([t for t in model.vocab if often.issuperset(t)])
+
+
+def unigram_fallback(spark, sf_dir):
+    """Best paths where some characters are unknown: such sentences become single characters."""
+    marked, model = _known(spark, sf_dir)
+    return unigram.segmented(marked.select("s"), model, "s").select("s", _line("tokens").alias("tokens"), F.round("lp", 6).alias("lp"))
+
+
+def unigram_known_counts(spark, sf_dir):
+    """How often known pieces occur on these paths; unknown characters don't count."""
+    return unigram.expected(*_known(spark, sf_dir))
+
+
 def unigram_train(spark, sf_dir):
-    model = Unigram.train(_sentences(spark, sf_dir), _UNI).model
+    """Learned from words as lines."""
+    model = Unigram.train(_words(spark, sf_dir).withColumnRenamed("word", "sentence"), _UNI).model
     return spark.createDataFrame([(k, t, round(p, 6), model.protected(k)) for k, (t, p) in enumerate(zip(model.vocab, model.log_probs, strict=True))], "token_id int, token string, log_prob double, protected boolean")
 
 
@@ -260,7 +314,7 @@ def dump_rules(spark, sf_dir):
 
 def dump_vocabulary(spark, sf_dir):
     """The vocabulary file of a sentence model, in id order."""
-    return _numbered(models.vocab_lines(spark, SentenceBpe.train(_sentences(spark, sf_dir), _SP)))
+    return _numbered(models.vocab_lines(spark, SentenceBpe.train(_placed_sentences(spark, sf_dir), _SP)))
 
 
 def dump_log_probs(spark, sf_dir):
@@ -274,7 +328,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scan_words, scan_sentences, scan_limit, pair_counts_top, pair_counts_all, wordpiece_pretokenize, wordpiece_token_counts, wordpiece_pair_scores,
         normalize_sentences, corpus_stats_words, corpus_stats_sentences, character_frequency, character_coverage, covered_sentences, first_seen_vocabulary,
         packed_pairs, seed_substrings, bpe_train, bpe_train_distributed, bpe_tokenize, bpe_token_frequencies, bpe_tokens_per_word, top_tokens, dump_rules, dump_vocabulary, dump_log_probs,
-        sentence_bpe_train, sentence_bpe_vocabulary, sentence_bpe_frequencies, wordpiece_train, wordpiece_tokenize, wordpiece_frequencies,
-        unigram_seed, unigram_tokenize, unigram_frequencies, unigram_em_step, unigram_log_likelihood, unigram_prune, unigram_train, protected_tokens,
+        sentence_bpe_train, sentence_bpe_vocabulary, sentence_bpe_frequencies, sentence_bpe_train_distributed, wordpiece_train, wordpiece_train_distributed, wordpiece_vocabulary, wordpiece_tokenize, wordpiece_frequencies,
+        unigram_seed, unigram_tokenize, unigram_frequencies, unigram_em_step, unigram_log_likelihood, unigram_prune, unigram_fallback, unigram_known_counts, unigram_train, protected_tokens,
     )
 }
