@@ -34,12 +34,14 @@ def main() -> None:
         "sentence_bpe_train_500": lambda: SentenceBpe.train(sentences, SentenceBpeConfig(500, 0.9995, 2)),
         "unigram_train_500": lambda: Unigram.train(few, UnigramConfig(500, 10.0, 3, 0.2)),
     }
-    # the table-at-a-time loops, which histograms beyond the compact bound take
+    # over tables, as histograms beyond the compact bounds are
     pieces = words.select(F.explode(T.continuation_pieces("word")).alias("t")).distinct().count()
+    lines = words.withColumnRenamed("word", "sentence")
     apart = {
-        "bpe_train_30_distributed": lambda: Bpe.train(words, BpeConfig(30, 2), compact_symbols=0),
-        "wordpiece_train_4_distributed": lambda: WordPiece.train(words, WordPieceConfig(pieces + 4, 2), compact_symbols=0),
-        "sentence_bpe_train_15_distributed": lambda: SentenceBpe.train(sentences, SentenceBpeConfig(len(SentenceBpe.alphabet(sentences, 0.9995)) + 16, 0.9995, 2), compact_symbols=0),
+        "bpe_train_450_distributed": lambda: Bpe.train(words, BpeConfig(450, 2), compact_symbols=0),
+        "wordpiece_train_320_distributed": lambda: WordPiece.train(words, WordPieceConfig(pieces + 320, 2), compact_symbols=0),
+        "sentence_bpe_train_60_distributed": lambda: SentenceBpe.train(sentences, SentenceBpeConfig(len(SentenceBpe.alphabet(sentences, 0.9995)) + 61, 0.9995, 2), compact_symbols=0),
+        "unigram_train_500_all_words": lambda: Unigram.train(lines, UnigramConfig(500, 2.0, 1, 0.2)),
     }
     took = {}
     for name, run in (runs | apart).items():

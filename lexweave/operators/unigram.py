@@ -7,7 +7,9 @@ of lattices, in which the pieces at every place were looked up once.
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +25,8 @@ from .lattice import CELLS, Lattice, Trie, best_pieces, blocks, costs
 
 #: What an unknown character costs, and the floor of a count (fixed values).
 UNKNOWN_LP, FLOOR, LONGEST = -100.0, 1e-10, 16
+#: Distinct sentences of at most this many characters in all are learned from in memory.
+COMPACT_CHARS = 200_000
 
 
 @dataclass
@@ -202,6 +206,42 @@ def counted(table: DataFrame, vocab: list[str], model: Model) -> dict[str, float
     return {vocab[r["piece"]]: r["c"] for r in rows.collect()}
 
 
+class Held:
+    """The same for distinct sentences of bounded size, whose lattices stay in memory."""
+
+    def __init__(self, rows: list[tuple[str, int]], vocab: list[str]):
+        self.vocab, trie = vocab, Trie(vocab)
+        self.parts = [(Lattice.of([rows[k][0] for k in group], trie), np.array([rows[k][1] for k in group], np.int64)) for group, alone in blocks([len(s) for s, _ in rows], trie.longest) if not alone]
+        self.alone = [rows[k] for group, alone in blocks([len(s) for s, _ in rows], trie.longest) if alone for k in group]
+
+    def counts(self, model: Model) -> dict[str, float]:
+        """How often each piece of the model is on the best paths. All characters must be pieces."""
+        number = {t: k for k, t in enumerate(self.vocab)}
+        cost, found = np.full(len(number) + 1, -np.inf), np.zeros(len(number) + 1)
+        cost[[number[t] for t in model.vocab]] = model.log_probs
+        for lattice, weight in self.parts:
+            owner, piece, _ = lattice.tokens(*lattice.paths(cost))
+            found += np.bincount(piece, weight[owner], len(found))
+        index, longest = closed(model.index()) if self.alone else {}, max([len(t) for t in model.vocab], default=1)
+        for s, n in self.alone:
+            for t in viterbi(s, index, longest)[0]:
+                if t in number:
+                    found[number[t]] += n
+        return {self.vocab[k]: float(found[k]) for k in np.flatnonzero(found).tolist()}
+
+
+def seed_of(rows: list[tuple[str, int]], most: int) -> Model:
+    """seed(), of few rows."""
+    found: Counter = Counter()
+    for s, n in rows:
+        for a in range(len(s)):
+            for b in range(a + 1, min(len(s), a + LONGEST) + 1):
+                found[s[a:b]] += n
+    chars = sorted(t for t in found if len(t) == 1)
+    extra = heapq.nsmallest(max(0, most - len(chars)), ((-c, t) for t, c in found.items() if len(t) > 1))
+    return Model.uniform([*chars, *(t for _, t in extra)])
+
+
 def em_step(marked: DataFrame, model: Model) -> tuple[Model, dict[str, float]]:
     """One round over a table (s, n)."""
     found = {r["token"]: float(r["c"]) for r in expected(marked, model).collect()}  # at most the vocabulary
@@ -218,29 +258,32 @@ def pruned(model: Model, found: dict[str, float], ratio: float) -> Model:
     return Model([model.vocab[k] for k in kept], [model.log_probs[k] for k in kept])
 
 
-def train(marked: DataFrame, target: int, factor: float, iterations: int, ratio: float) -> tuple[Model, list[int]]:
+def train(marked: DataFrame, target: int, factor: float, iterations: int, ratio: float, compact_chars: int = COMPACT_CHARS) -> tuple[Model, list[int]]:
     """EM and pruning until the target is reached or nothing can be removed, then EM once more. marked: (s, n)
-    of distinct sentences. Lattices are built once, and again when half of their pieces are gone. Also gives
-    the vocabulary sizes on the way."""
+    of distinct sentences. Lattices are built once, and again when half of their pieces are gone; of at most
+    `compact_chars` characters, counted first, in memory. Also gives the vocabulary sizes on the way."""
     parts = max(int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")), marked.sparkSession.sparkContext.defaultParallelism)
     marked = written(marked.repartition(parts))  # read several times
-    model = seed(marked, int(target * factor))
-    vocab, table = model.vocab, lattices(marked, model)
+    small = (marked.agg(F.sum(F.length("s").cast("long"))).first()[0] or 0) <= compact_chars
+    rows = [(r["s"], r["n"]) for r in marked.collect()] if small else []
+    model = seed_of(rows, int(target * factor)) if small else seed(marked, int(target * factor))
+    vocab, table = model.vocab, Held(rows, model.vocab) if small else lattices(marked, model)
+    told = lambda model: table.counts(model) if small else counted(table, vocab, model)
     sizes = [len(vocab)]
     while len(model.vocab) > target:
         found: dict[str, float] = {}
         for _ in range(iterations):
-            found = counted(table, vocab, model)
+            found = told(model)
             model = maximised(model, found)
         smaller = pruned(model, found, ratio)
         if len(smaller.vocab) == len(model.vocab):
             break
         model = smaller
         sizes.append(len(model.vocab))
-        if 2 * len(model.vocab) < len(vocab):
+        if 2 * len(model.vocab) < len(vocab) and not small:
             forget(table)
             vocab, table = model.vocab, lattices(marked, model)
     for _ in range(iterations):
-        model = maximised(model, counted(table, vocab, model))
-    forget(table, marked)
+        model = maximised(model, told(model))
+    forget(marked, None if small else table)
     return model, sizes

@@ -164,6 +164,8 @@ def test_unigram_training(spark):
     assert len(unigram.pruned(after, found, 0.2).vocab) == 18
     assert {"a", "b", "c", "▁"} <= set(unigram.pruned(after, found, 0.5).vocab)
     model = Unigram.train(rows, UnigramConfig(10, 10.0, 3, 0.2))
+    spread, sizes = unigram.train(marked, 10, 10.0, 3, 0.2, compact_chars=0)
+    assert spread.vocab == model.model.vocab and sizes == model.sizes and spread.log_probs == pytest.approx(model.model.log_probs)
     assert model.sizes == [22, 18, 15, 12, 10]
     assert set(model.model.vocab) == {"a", "b", "c", "▁", "▁a", "▁ab", "▁abc", "▁abca", "▁abcab", "▁abcabc"}
     assert sorted(round(p, 6) for p in model.model.log_probs)[0] == -26.427048
@@ -236,6 +238,7 @@ def test_counts_from_lattices(spark):
     for s, n in rows.items():
         for t in unigram.viterbi(s, unigram.closed(model.index()), 16)[0]:
             want[t] += n
+    assert unigram.seed_of(list(rows.items()), 80) == first and unigram.Held(list(rows.items()), first.vocab).counts(model) == want
     assert unigram.counted(table, first.vocab, model) == want == unigram.em_step(marked, model)[1]
 
 
