@@ -66,7 +66,7 @@ class Bpe:
 
         def make():
             replay = segment.Replay(shared.value)
-            return lambda word: replay(list(word))
+            return segment.each(lambda word: replay(list(word)))
 
         return segment.segmented(rows, column, make)
 
@@ -151,7 +151,7 @@ class SentenceBpe:
         def make():
             rules, known = shared.value
             replay = segment.Replay(rules)
-            return lambda marked: replay([c if c in known else T.UNK for c in marked])
+            return segment.each(lambda marked: replay([c if c in known else T.UNK for c in marked]))
 
         names = [c for c in rows.columns if c != "tokens"]
         return segment.segmented(rows.withColumn("__s", T.marked_sentence(column)), "__s", make).select(*[F.col(f"`{c}`") for c in names], "tokens")

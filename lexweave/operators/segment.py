@@ -16,26 +16,62 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.text import CONTINUES, WP_UNK
+from .lattice import Trie
 
 
 class Greedy:
-    """The longest piece in the vocabulary at each place; a dead end makes the whole word [UNK]."""
-
-    def __init__(self, vocab: list[str]):
-        self.heads = set(vocab)
-        self.tails = {t.removeprefix(CONTINUES) for t in vocab if t.startswith(CONTINUES)}
-        self.longest = max([len(t) for t in (*self.heads, *self.tails)], default=1)
-
-    def __call__(self, word: str) -> list[str]:
-        out, at, n = [], 0, len(word)
-        while at < n:
-            known = self.tails if at else self.heads
-            end = next((e for e in range(min(n, at + self.longest), at, -1) if word[at:e] in known), 0)
-            if not end:
-                return [WP_UNK]
-            out.append(CONTINUES + word[at:end] if at else word[at:end])
-            at = end
-        return out
+    """The longest piece in the vocabulary at each place; a dead end makes the whole word [UNK]. Tries give
+    the longest piece at every place of all words in step; all words then jump from piece to piece together,
+    so the time is linear in the text for a given longest piece."""
+
+    def __init__(self, vocab: list[str], block: int = 1 << 20):
+        heads, tails = list(dict.fromkeys(vocab)), list(dict.fromkeys(t.removeprefix(CONTINUES) for t in vocab if t.startswith(CONTINUES)))
+        self.heads, self.tails, self.block = Trie(heads), Trie(tails), block
+        self.names = pa.array([*heads, *(CONTINUES + t for t in tails), WP_UNK], pa.string())
+
+    @staticmethod
+    def _longest(trie: Trie, letters: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """At each place the length of the longest piece (0 without one) and its number, from `first` on."""
+        size, piece = np.zeros(len(letters), np.int64), np.zeros(len(letters), np.int64)
+        for length, start, found in trie.walks(letters):  # longer ones come later
+            size[start], piece[start] = length, found + first
+        return size, piece
+
+    def __call__(self, words: list[str]) -> pa.Array:
+        """The pieces of each word."""
+        out, lo = [], 0
+        sizes = np.cumsum([0, *(len(w) + 1 for w in words)])
+        while lo < len(words):
+            hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + self.block, "right")) - 1)
+            out.append(self._some(words[lo:hi]))
+            lo = hi
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
+
+    def _some(self, words: list[str]) -> pa.Array:
+        size = np.array([len(w) for w in words], np.int64)
+        first = np.cumsum(size + 1) - size - 1
+        ends, text = first + size, "\0".join([*words, ""])
+        letters = [trie.letters(text) for trie in (self.heads, self.tails)]
+        for x in letters:
+            x[ends] = 0
+        head_size, head = self._longest(self.heads, letters[0], 0)
+        tail_size, tail = self._longest(self.tails, letters[1], len(self.heads.vocab))
+        word, at = np.flatnonzero(size), first[size > 0]
+        step, piece = head_size[at], head[at]
+        lost, owners, pieces = np.zeros(len(words), bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(word):
+            lost[word[step == 0]] = True
+            owners.append(word)
+            pieces.append(piece)
+            at = at + step
+            on = (step > 0) & (at < ends[word])
+            word, at = word[on], at[on]
+            step, piece = tail_size[at], tail[at]
+        owner, found = np.concatenate(owners), np.concatenate(pieces)
+        keep = ~lost[owner]
+        owner, found = np.concatenate([owner[keep], np.flatnonzero(lost)]), np.concatenate([found[keep], np.full(int(lost.sum()), len(self.names) - 1)])
+        order = np.argsort(owner, kind="stable")
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[order], np.arange(len(words) + 1)), pa.int32()), self.names.take(pa.array(found[order])))
 
 
 class Replay:
@@ -75,8 +111,14 @@ class Replay:
         return [t for t in token if t is not None]
 
 
-def segmented(rows: DataFrame, column: str, make: Callable[[], Callable[[str], list[str]]]) -> DataFrame:
-    """rows with `tokens` of a text column beside them; null is empty. `make` builds the function once a task."""
+def each(cut: Callable[[str], list[str]]) -> Callable[[list[str]], pa.Array]:
+    """A function of one text as one of many."""
+    return lambda texts: pa.array([cut(t) for t in texts], pa.list_(pa.string()))
+
+
+def segmented(rows: DataFrame, column: str, make: Callable[[], Callable[[list[str]], pa.Array]]) -> DataFrame:
+    """rows with `tokens` of a text column beside them; null is empty. `make` builds, once a task, the function
+    that segments a batch's distinct texts."""
     names = [c for c in rows.columns if c != "tokens"]
     rows = rows.select(*[F.col(f"`{c}`") for c in names])
     place = names.index(column)
@@ -85,7 +127,7 @@ def segmented(rows: DataFrame, column: str, make: Callable[[], Callable[[str], l
         cut = make()
         for batch in batches:
             coded = batch.column(place).fill_null("").dictionary_encode()
-            found = pa.array([cut(t) for t in coded.dictionary.to_pylist()], pa.list_(pa.string()))
+            found = cut(coded.dictionary.to_pylist())
             tokens = found.take(pa.array(np.asarray(coded.indices), pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, tokens], [*names, "tokens"])
 

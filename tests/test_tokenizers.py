@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.__main__ import main
 from lexweave.functions import text as T
-from lexweave.operators import counts, guessed, lattice, merges, unigram
+from lexweave.operators import counts, guessed, lattice, merges, segment, unigram
 from lexweave.operators.models import Bpe, BpeConfig, SentenceBpe, SentenceBpeConfig, Unigram, UnigramConfig, WordPiece, WordPieceConfig
 from lexweave.plans import models
 from lexweave.sources import text_files as S
@@ -210,6 +210,29 @@ def test_row_by_row_segmentation_equals_columns(spark):
             assert tokens == plain
 
 
+def test_greedy_longest_match():
+    """Against the longest piece found by trying all of them; a word of 100,000 characters takes linear time."""
+    for seed in range(40):
+        rng = random.Random(seed)
+        words = ["".join(rng.choices("abcé😀#", [5, 5, 3, 1, 1, 1], k=rng.randint(0, 14))) for _ in range(60)]
+        vocab = list({("##" if i and rng.random() < 0.9 else "") + w[i:j] for w in words for i in range(len(w)) for j in range(i + 1, min(len(w), i + 4) + 1) if rng.random() < (0.8 if j == i + 1 else 0.3)})
+        want = []
+        for w in words:
+            out, at = [], 0
+            while at < len(w):
+                mark = "##" if at else ""
+                end = next((e for e in range(len(w), at, -1) if mark + w[at:e] in vocab), None)
+                if end is None:
+                    out = ["[UNK]"]
+                    break
+                out.append(mark + w[at:end])
+                at = end
+            want.append(out)
+        assert segment.Greedy(vocab, block=rng.choice([20, 1 << 20]))(words).to_pylist() == want
+    long = segment.Greedy(["a", "##a", "##ab", "##b"])(["a" + "ab" * 50_000])[0].as_py()
+    assert long == ["a", *["##ab"] * 50_000]
+
+
 def test_lattices_give_the_best_paths(spark, monkeypatch):
     """Blocks of texts against one at a time: scores, ties, unknown characters, ends that aren't reached."""
     for seed in range(40):
