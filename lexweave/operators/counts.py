@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import adjacent, characters
@@ -128,9 +128,24 @@ def corpus_stats(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(F.sum("n").alias("n_rows"), F.sum(F.length(column).cast("long") * F.col("n")).alias("n_chars")).withColumn("mean_chars", F.round(F.col("n_chars") / F.col("n_rows"), 6))
 
 
-def first_seen_ids(tokens: DataFrame) -> DataFrame:
-    """(token_id, token) numbered by first occurrence; tokens: (token, row_no, pos).
+def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows, and `place` 1, 2, 3 ... in the order of columns that tell all rows apart: sorted by ranges and
+    written, then numbered by how many rows the ranges before hold. No task sees all rows."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    table = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    block = F.shiftrightunsigned("__at", 33)
+    ahead, offsets = 0, []
+    for r in table.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n")).orderBy("block").collect():  # a row a partition
+        offsets.append((r["block"], ahead))
+        ahead += r["n"]
+    starts = spark.createDataFrame(offsets, "__block long, __ahead long")
+    numbered = table.withColumn("__block", block).join(F.broadcast(starts), "__block")
+    return numbered.withColumn("place", F.col("__ahead") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__block", "__ahead")
+
 
-    The window has one partition, over distinct tokens only."""
+def first_seen_ids(tokens: DataFrame) -> DataFrame:
+    """(token_id, token) numbered by first occurrence; tokens: (token, row_no, pos). Dense ranks of distinct
+    tokens, however many, by ranges of where they stand first."""
     first = tokens.groupBy("token").agg(F.min(F.struct("row_no", "pos")).alias("at"))
-    return first.select((F.row_number().over(Window.orderBy("at")) - 1).alias("token_id"), "token")
+    return ranked(first, [F.col("at")]).select((F.col("place") - 1).alias("token_id"), "token")

@@ -31,14 +31,38 @@ def limited(rows: DataFrame, limit: int | None, *order: str) -> DataFrame:
     return rows if limit is None else rows.orderBy(*order).limit(limit)
 
 
+def first_lines(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows of files in their order, all without a limit. rows: with place, as lines() gives it.
+
+    Rows are counted by split; whole splits are taken as they are until the limit falls into one, and only
+    that one is ordered and cut. At most one count a split reaches the driver."""
+    if limit is None:
+        return rows
+    found = rows.groupBy(F.col("place.path").alias("path"), F.col("place.split").alias("split")).agg(F.count(F.lit(1)).alias("n")).collect()
+    whole, cut, left = [], None, limit
+    for r in sorted(found, key=lambda r: (r["path"], r["split"])):
+        if r["n"] > left:
+            cut = (r["path"], r["split"])
+            break
+        whole.append((r["path"], r["split"]))
+        left -= r["n"]
+    taken = rows.sparkSession.createDataFrame(whole, "__path string, __split long")
+    of = (F.col("place.path") == F.col("__path")) & (F.col("place.split") == F.col("__split"))
+    out = rows.join(F.broadcast(taken), of, "left_semi")
+    if cut is None or not left:
+        return out
+    last = rows.where((F.col("place.path") == cut[0]) & (F.col("place.split") == cut[1]))
+    return out.unionByName(last.orderBy("place").limit(left))
+
+
 def load_words(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(word, place): the first field of each useful line; with a limit the first so many in file order."""
-    return _required(limited(useful(lines(spark, path)), limit, "place").select(first_field().alias("word"), "place"), path)
+    return _required(first_lines(useful(lines(spark, path)), limit).select(first_field().alias("word"), "place"), path)
 
 
 def load_sentences(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(sentence, place): each useful line, whole."""
-    return _required(limited(useful(lines(spark, path)), limit, "place").select(F.col("value").alias("sentence"), "place"), path)
+    return _required(first_lines(useful(lines(spark, path)), limit).select(F.col("value").alias("sentence"), "place"), path)
 
 
 def _required(rows: DataFrame, path: str) -> DataFrame:

@@ -210,6 +210,30 @@ def test_row_by_row_segmentation_equals_columns(spark):
             assert tokens == plain
 
 
+def test_first_lines_by_split(spark, tmp_path):
+    """Several files, read in many splits, and every kind of limit."""
+    for k in range(3):
+        (tmp_path / f"{k}.txt").write_text("".join(f"line {k} {n} {'x' * (n % 40)}\n" + "# no\n\n" * (n % 3) for n in range(400)))
+    want = [f"line {k} {n} {'x' * (n % 40)}".strip() for k in range(3) for n in range(400)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        for limit in (1, 37, 400, 777, 1200, 5000):
+            got = sorted(S.load_sentences(spark, str(tmp_path), limit).collect(), key=lambda r: r["place"])
+            assert [r["sentence"] for r in got] == want[:limit]
+        assert S.lines(spark, str(tmp_path)).select("place.split").distinct().count() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_places_without_one_task(spark):
+    rows = spark.range(10_000).selectExpr("id", "id % 7 AS k").repartition(5)
+    got = counts.ranked(rows, [F.desc("k"), F.asc("id")]).collect()
+    want = {r["id"]: n + 1 for n, r in enumerate(sorted(got, key=lambda r: (-r["k"], r["id"])))}
+    assert all(r["place"] == want[r["id"]] for r in got)
+    assert counts.ranked(rows.where("false"), [F.col("id")]).count() == 0
+
+
 def test_greedy_longest_match():
     """Against the longest piece found by trying all of them; a word of 100,000 characters takes linear time."""
     for seed in range(40):
