@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.counts import ranked
 from .common import forget, written
 
 #: A word, after A-Z are lower-cased.
@@ -220,22 +221,6 @@ class Draw:
     salt: str = "7:"
 
 
-def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """rows, and `place` 1, 2, 3 ... in the order of columns that tell all rows apart: sorted by ranges and
-    written, then numbered by how many rows the ranges before hold. No task sees all rows."""
-    spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    table = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
-    block = F.shiftrightunsigned("__at", 33)
-    ahead, offsets = 0, []
-    for r in table.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n")).orderBy("block").collect():  # a row a partition
-        offsets.append((r["block"], ahead))
-        ahead += r["n"]
-    starts = spark.createDataFrame(offsets, "__block long, __ahead long")
-    numbered = table.withColumn("__block", block).join(F.broadcast(starts), "__block")
-    return numbered.withColumn("place", F.col("__ahead") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__block", "__ahead")
-
-
 def resample(docs: DataFrame, target: DataFrame, draw: Draw | None = None, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_features, weight, score, rank of every document; rank is null where it isn't drawn.
 

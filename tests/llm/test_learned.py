@@ -226,10 +226,3 @@ def test_resampling_of_nothing(spark):
     assert sorted(map(str, map(tuple, got))) == resampled([(1, "a " * 30), (2, "b " * 30)], [], share=50)
     with pytest.raises(ValueError, match="buckets"):
         resampling.resample(docs, docs, resampling.Draw(buckets=70_000))
-
-
-def test_places_without_one_task(spark):
-    rows = spark.range(10_000).selectExpr("id", "id % 7 AS k").repartition(5)
-    got = resampling.ranked(rows, [resampling.F.desc("k"), resampling.F.asc("id")]).collect()
-    want = {r["id"]: n + 1 for n, r in enumerate(sorted(got, key=lambda r: (-r["k"], r["id"])))}
-    assert all(r["place"] == want[r["id"]] for r in got)
