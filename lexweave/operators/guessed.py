@@ -226,7 +226,7 @@ def _reordered(head: Head, guess: list[Rule], least: int) -> tuple[list[tuple[st
         return None if any(not taken[k] for k in steps[:n]) else (steps[n - 1] + 1 if n else 0)
 
     def at_most(p: tuple[str, str]) -> float:
-        return most.get(p) if p in most else max(0.0, value[index[p]]) if p in index else floor
+        return most[p] if p in most else max(least - 1.0, value[index[p]]) if p in index else floor
 
     while True:
         k = int(value.argmax()) if len(value) else -1
