@@ -20,9 +20,11 @@ import bisect
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,7 +94,13 @@ class WordEncoder:
             texts = [s for s in texts if s]
         if not texts:
             return
-        pieces = self.find(" \x01 ".join(texts).lower())
+        # a chunk of letters is one piece; the others are cut by the pattern
+        texts = " \x01 ".join(texts).lower().split(" \x01 ")
+        letters = [s.isalpha() for s in texts]
+        other = [s for s, plain in zip(texts, letters, strict=True) if not plain]
+        chunks = [*compress(chunks, letters), *(c for c, plain in zip(chunks, letters, strict=True) if not plain)]
+        pieces = [x for s in compress(texts, letters) for x in (s, "\x01")]
+        pieces = pieces + self.find(" \x01 ".join(other)) if other else pieces[:-1]
         ranks = np.array(self.fast.encode_ordinary("\0".join(pieces) + "\0"), np.int64)
         gaps = 4 * np.flatnonzero(ranks == self.gap)
         body = self.id_of[ranks].astype("<u4").tobytes()
@@ -100,14 +108,28 @@ class WordEncoder:
         self.cache.update(zip(chunks, [body[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
 
     def encode(self, raws: list[bytes]) -> list[bytes]:
-        split = [(r.lower() if b"<|" not in r else r).split() for r in raws]
+        """The ids of each text. Its chunks are numbered once for all texts, so the cache is asked for distinct
+        ones only, and ids are gathered by number."""
+        if not raws:
+            return []
         if len(self.cache) > self.most_cached:
             self.cache.clear()
-        missing = set().union(*split) - self.cache.keys()
-        if missing:
-            self.learn(list(missing))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        self.cache[b""] = b""  # white space at either end
+        lowered = pa.array([r.lower() if b"<|" not in r else r for r in raws], pa.large_binary())
+        words = pc.ascii_split_whitespace(pc.cast(lowered, pa.large_string(), safe=False))
+        coded = words.flatten().dictionary_encode()
+        chunks = pc.cast(coded.dictionary, pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.cache.get, chunks))
+        if None in found:
+            self.learn([c for c, ids in zip(chunks, found, strict=True) if ids is None])
+            found = list(map(self.cache.__getitem__, chunks))
+        flat, size = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) >> 2 for x in found], np.int64)
+        code = coded.indices.to_numpy()
+        n = size[code]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(size) - size)[code] - (ends - n), n) + np.arange(int(n.sum()))]
+        cut = np.concatenate([[0], ends])[words.offsets.to_numpy()]
+        return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -127,9 +149,9 @@ def _cut(path: str, window: int, end_id: int):
         known = encoder(path)
         for batch in batches:
             raws, out, lo = texts_of(batch.column(1)), [], 0
-            while lo < len(raws):  # about a megabyte of text at a time
+            while lo < len(raws):  # about four megabytes of text at a time
                 hi, size = lo, 0
-                while hi < len(raws) and (hi == lo or size + len(raws[hi]) < 1 << 20):
+                while hi < len(raws) and (hi == lo or size + len(raws[hi]) < 1 << 22):
                     size += len(raws[hi])
                     hi += 1
                 for body in known.encode(raws[lo:hi]):
